@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auctra.llm import quality
+from auctra.llm import line_windows, ngram_rtree, poisson_mix, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,36 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", *[F.col("counts")[c].alias(c) for c in quality.COUNTS], "base_failed", "kept", "distance2")
 
 
+#: Target weights of the mixture; every other source has weight 1.
+MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = poisson_mix.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mixed.select("doc.doc_id", "doc.source", "doc.text", "copy_no", "shuffle_key")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_windows.dedup_lines(_table(spark, sf_dir, "documents"))
+    return clean.select("doc.doc_id", "line_dedup.*", F.md5("text").alias("text_md5"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rtree.near_components(_table(spark, sf_dir, "documents"), n=4, pct=85).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {
+        "op5_mixing": op5_mixing,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": poisson_mix.sql(MIX_WEIGHTS),
+        "op7_line_dedup": line_windows.SQL,
+        "op8_ngram_jaccard": ngram_rtree.SQL,
+    }
