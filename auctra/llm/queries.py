@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auctra.llm import line_windows, ngram_rtree, nnls_pack, poisson_mix, quality
+from auctra.llm import license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", *[F.col("counts")[c].alias(c) for c in quality.COUNTS], "base_failed", "kept", "distance2")
 
 
+#: Listed URL rules of the query.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("row.page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.tokens")
+
+
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_digest.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc.doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
 #: Target weights of the mixture; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
 
@@ -46,6 +60,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_rules": op1_url_rules,
+        "op3_license_digests": op3_license_digests,
         "op5_mixing": op5_mixing,
         "op6_quality_rules": op6_quality_rules,
         "op7_line_dedup": op7_line_dedup,
@@ -56,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_rules": url_rules.sql(URL_RULES),
+        "op3_license_digests": license_digest.sql(),
         "op5_mixing": poisson_mix.sql(MIX_WEIGHTS),
         "op7_line_dedup": line_windows.SQL,
         "op8_ngram_jaccard": ngram_rtree.SQL,
