@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auctra.llm import license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules
+from auctra.llm import bit_sliced, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc.doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
 
 
+def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 #: Target weights of the mixture; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": op1_url_rules,
         "op3_license_digests": op3_license_digests,
+        "op4_bit_sliced_topk": op4_bit_sliced_topk,
         "op5_mixing": op5_mixing,
         "op6_quality_rules": op6_quality_rules,
         "op7_line_dedup": op7_line_dedup,
@@ -74,6 +79,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_rules": url_rules.sql(URL_RULES),
         "op3_license_digests": license_digest.sql(),
+        "op4_bit_sliced_topk": bit_sliced.SQL,
         "op5_mixing": poisson_mix.sql(MIX_WEIGHTS),
         "op7_line_dedup": line_windows.SQL,
         "op8_ngram_jaccard": ngram_rtree.SQL,
