@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auctra.llm import bit_sliced, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules
+from auctra.llm import bit_sliced, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc_index.new_folder(spark)
+    index = warc_index.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc_index.read_records(index, folder, payload=False).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": op1_url_rules,
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_packing": op9_packing,
+        "op10_warc_index": op10_warc_index,
     }
 
 
@@ -83,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": poisson_mix.sql(MIX_WEIGHTS),
         "op7_line_dedup": line_windows.SQL,
         "op8_ngram_jaccard": ngram_rtree.SQL,
+        "op10_warc_index": warc_index.SQL,
     }
