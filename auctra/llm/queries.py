@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auctra.llm import bit_sliced, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules, warc_index
+from auctra.llm import bit_sliced, language_crf, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.tokens")
 
 
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_crf.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc.doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_digest.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.select("doc.doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
@@ -72,6 +77,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": op1_url_rules,
+        "op2_language_crf": op2_language_crf,
         "op3_license_digests": op3_license_digests,
         "op4_bit_sliced_topk": op4_bit_sliced_topk,
         "op5_mixing": op5_mixing,
