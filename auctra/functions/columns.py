@@ -475,13 +475,14 @@ def protocol_attachment(html, preferred: list[str]) -> Column:
     ids = F.regexp_extract_all(_col(html), F.lit(r'(?s)data-id="([^"]+)"[^>]*>[^<]*<'), F.lit(1))
     titles = F.regexp_extract_all(_col(html), F.lit(r'(?s)data-id="[^"]+"[^>]*>([^<]*)<'), F.lit(1))
     both = F.arrays_zip(ids.alias("id"), titles.alias("title"))
-    return F.coalesce(*[F.get(F.filter(both, lambda x, t=t: F.lower(x["title"]).contains(t.lower())), F.lit(0))["id"] for t in preferred])
+    titled = lambda t: F.filter(both, lambda x: F.lower(x["title"]).contains(t.lower()))
+    return F.coalesce(*[F.get(titled(t), F.lit(0))["id"] for t in preferred])
 
 
 def protocol_fields(text) -> Column:
     """Start price, winner price, runner-up price and duration from a protocol's text. Names of winners are not kept."""
     t = _col(text)
-    amount = lambda p: to_money(blank_to_null(F.regexp_extract(t, rf"(?isu){p}[^0-9]{{0,80}}([0-9][0-9\s ]*(?:[.,][0-9]{{1,2}})?)", 1)))
+    amount = lambda p: to_money(blank_to_null(F.regexp_extract(t, rf"(?isu)(?:{p})[^0-9]{{0,80}}([0-9][0-9\s ]*(?:[.,][0-9]{{1,2}})?)", 1)))
     return F.struct(
         amount("начальн[а-я]+ цен[а-я]+").alias("start_price"), amount("цена,? предложенная победителем|цен[а-я]+ победител[а-я]+").alias("winner_price"),
         amount("предпоследн[а-я]+ предложени[а-я]+|второ[а-я]+ мест[а-я]+").alias("second_price"),

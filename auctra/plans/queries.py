@@ -478,7 +478,7 @@ def match_addresses(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", C.canonical_address(C.normalize_address(raw)).alias("address"))
 
 
-@query(f"WITH {LOTS} SELECT lot_id, CASE WHEN trade_form = '1-URGENT' AND final_price >= start_price THEN round_even(excess, 1) END AS strict, round_even(excess, 1) AS filled FROM lots")
+@query(f"WITH {LOTS} SELECT lot_id, CASE WHEN trade_form = '1-URGENT' AND final_price >= start_price THEN round_even(excess, 1) + 0.0::DOUBLE END AS strict, round_even(excess, 1) + 0.0::DOUBLE AS filled FROM lots")
 def excess_policies(spark, d):
     x = lots(spark, d).withColumn("f", F.when(F.col("trade_form") == "1-URGENT", V.AUCTION).otherwise(V.PUBLIC_OFFER))
     return x.select("lot_id", C.price_excess("start_price", "final_price", "f").alias("strict"), C.price_excess("start_price", "final_price", "f", policy="fill").alias("filled"))
