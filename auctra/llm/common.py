@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auctra.tables import materialise, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "WORD_PATTERN", "lookup", "materialise", "shared_dir"]
+
 #: Words of the contracts: maximal runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -17,31 +19,6 @@ BROADCAST_ROWS = 20_000
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none (tests, local runs).
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("/tmp/checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the reread table.
-
-    Cuts the lineage: a lost executor costs only the tasks after this point.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/auctra-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "left") -> DataFrame:
     """Join a lookup table (one row per key, already written) to a large, skewed table.
 

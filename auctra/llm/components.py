@@ -1,37 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components, from the core library."""
 
-from __future__ import annotations
+from auctra.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from auctra.llm.common import materialise
-
-
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """One step over directed pairs (u, v): neighbours point to the smallest of the neighbourhood."""
-    low = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-    out = pairs.join(low, "u")
-    if large:
-        return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = low.where("u != m").select("u", F.col("m").alias("v"))
-    return out.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): component is the smallest node that ``edges`` (u, v: long) reach.
-
-    Nodes without an edge to another node are not listed. Every step is a pre-aggregated
-    minimum and a join of two written or shuffled tables, so hubs can be split.
-    """
-    seen = None
-    edges = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        grown = materialise(_star(both, large=True).where("u != v").distinct(), "cc-large")
-        edges = materialise(_star(grown, large=False).where("u != v").distinct(), "cc-small")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]
