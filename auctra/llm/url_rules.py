@@ -64,7 +64,7 @@ def tokens_of(url: Column) -> Column:
     n = F.size(labels)
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     depth = F.size(parts)
-    leaf = F.element_at(parts, -1)
+    leaf = F.try_element_at(parts, F.lit(-1))
     ext = F.regexp_extract(leaf, r"\.([A-Za-z0-9]+)$", 1)
     keys = F.array_sort(F.array_distinct(F.transform(F.split(F.regexp_extract(rest, r"\?([^#]*)", 1), "&"), lambda x: F.split(x, "=")[0])))
     query = F.array_join(keys, "&")
