@@ -553,3 +553,87 @@ def similar_names(spark, d):
     n = table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct()
     o = n.withColumnRenamed("p_name", "other")
     return n.join(o, ["p_brand", "p_type"]).where("p_name < other").withColumn("similarity", r(name_similarity("p_name", "other")))
+
+
+# Reports
+
+_MATCHED = f"""{LOTS}, mt AS (SELECT *, CASE lot_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'existing_tenant' WHEN 3 THEN 'cleared' END AS confidence, 'Org ' || (lot_id % 40) AS company, (lot_id % 400)::INTEGER AS after_days FROM lots),
+mk AS (SELECT *, CASE WHEN confidence = 'existing_tenant' THEN 'existing_tenant' WHEN confidence IN ('high', 'medium', 'low') THEN 'new_business' ELSE 'not_found' END AS match_class FROM mt)"""
+
+
+def _matched(spark, d):
+    k = F.col("lot_id")
+    c = F.when(k % 5 == 0, "high").when(k % 5 == 1, "medium").when(k % 5 == 2, "existing_tenant").when(k % 5 == 3, "cleared")
+    return lots(spark, d).withColumn("confidence", c).withColumn("company", F.concat(F.lit("Org "), (k % 40).cast("string"))).withColumn("after_days", (k % 400).cast("int"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"""WITH {_MATCHED}, o AS (SELECT *, row_number() OVER (PARTITION BY company, address_canon ORDER BY after_days, lot_id) AS rn FROM mk WHERE match_class != 'not_found'),
+x AS (SELECT company, CASE WHEN confidence != 'existing_tenant' AND after_days BETWEEN 1 AND 365 THEN after_days END AS days FROM o WHERE rn = 1)
+SELECT count(*) AS tenants, round(count(*) FILTER (company IN ('Ozon')) * 100.0::DOUBLE / count(*), 4) AS marketplace_pct, round(median(days), 4) AS median_days, round(count(*) FILTER (days < 90) * 100.0::DOUBLE / count(days), 4) AS under_90_pct, round(count(*) FILTER (days < 180) * 100.0::DOUBLE / count(days), 4) AS under_180_pct FROM x""")
+def tenant_kpis(spark, d):
+    from auctra.operators import reports
+
+    return _rounded(reports.tenant_kpis(_matched(spark, d)))
+
+
+@query(f"WITH {LOTS} SELECT trade_form, count(final_price / start_price) AS n, round(median(final_price / start_price), 4) AS median_ratio FROM lots GROUP BY 1")
+def form_discount(spark, d):
+    from auctra.operators import reports
+
+    return _rounded(reports.form_discount(lots(spark, d)))
+
+
+@query(f"WITH {_MATCHED} SELECT match_class, count(*) AS lots, round(avg(bidders), 4) AS mean_bidders, round(median(final_price), 4) AS median_final FROM mk GROUP BY 1")
+def tenant_shares(spark, d):
+    from auctra.operators import reports
+
+    return _rounded(reports.tenant_shares(_matched(spark, d)))
+
+
+@query(f"WITH {_MATCHED} SELECT year(sale_date)::INTEGER AS year, count(*) AS lots, count(*) FILTER (match_class != 'not_found') AS matched, round(count(*) FILTER (match_class != 'not_found') * 100.0::DOUBLE / count(*), 4) AS matched_pct FROM mk GROUP BY 1")
+def matches_by_year(spark, d):
+    from auctra.operators import reports
+
+    return _rounded(reports.matches_by_year(_matched(spark, d)))
+
+
+@query(f"WITH {_MATCHED} SELECT trade_form, match_class, count(*) AS n, median(area) AS median_area, round(median(excess), 4) AS median_excess, median(bidders) AS median_bidders, round(count(*) FILTER (final_price < start_price) * 100.0::DOUBLE / count(*), 4) AS below_pct FROM mk GROUP BY 1, 2")
+def form_by_class(spark, d):
+    from auctra.operators import reports
+
+    return _rounded(reports.form_by_class(_matched(spark, d)))
+
+
+@query(f"WITH {LOTS} SELECT trade_form, count(deposit / start_price) AS n, round(avg(deposit / start_price * 100), 4) AS mean_pct, round(min(deposit / start_price * 100), 4) AS min_pct, round(max(deposit / start_price * 100), 4) AS max_pct FROM lots GROUP BY 1")
+def deposit_distribution(spark, d):
+    from auctra.operators import reports
+
+    return _rounded(reports.deposit_distribution(lots(spark, d), ["trade_form"]))
+
+
+@query(f"""WITH {LISTINGS}, s AS (SELECT l_entrance AS entrance, count(*) AS n, avg(l_price) AS mean, median(l_price) AS median, median(l_price) FILTER (l_floor = '1') AS floor_median FROM listings GROUP BY 1)
+SELECT entrance, n, round(mean, 4) AS mean, round(median, 4) AS median, round(floor_median, 4) AS floor_median, round((floor_median / max(floor_median) OVER () - 1) * 100, 4) AS discount_pct FROM s""")
+def entrance_discount(spark, d):
+    from auctra.operators import reports
+
+    return _rounded(reports.entrance_discount(listings(spark, d, "")))
+
+
+@query(f"WITH {LOTS}, p AS (SELECT lot_id, CASE WHEN lot_id % 3 = 0 THEN final_price WHEN lot_id % 3 = 1 THEN final_price + 1 END AS w FROM lots) SELECT count(*) AS lots, count(final_price) AS priced, count(*) FILTER (final_price IS NOT NULL AND w = final_price) AS confirmed, count(*) FILTER (final_price IS NOT NULL AND w IS NULL) AS unconfirmed, count(*) FILTER (w != final_price) AS differing FROM lots JOIN p USING (lot_id)")
+def price_reconciliation(spark, d):
+    from auctra.operators import reports
+
+    x = lots(spark, d)
+    p = x.select("lot_id", F.when(F.col("lot_id") % 3 == 0, F.col("final_price")).when(F.col("lot_id") % 3 == 1, F.col("final_price") + 1).alias("winner_price_num"))
+    return reports.reconcile_prices(x, p)
+
+
+@query(f"WITH {SNAPSHOTS} SELECT org_id, any_value(lat) AS lat FROM snaps GROUP BY 1 HAVING count(DISTINCT (lat, lon)) = 1")
+def unique_locations(spark, d):
+    from auctra.operators import reports
+
+    return reports.unique_locations(snapshots(spark, d), "org_id").select("org_id", "lat")
