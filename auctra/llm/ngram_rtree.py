@@ -25,8 +25,6 @@ join and passed through by ``keep_one``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +37,7 @@ from auctra.llm.components import connected_components
 
 GROUPS = 64
 #: A page holds up to so many documents and, but for one long document, shingles.
-PAGE_DOCS, PAGE_SHINGLES = 512, 262_144
+PAGE_DOCS, PAGE_SHINGLES = 2048, 1 << 20
 
 #: Rows of ids (some 60 bytes each) up to which they are broadcast.
 BROADCAST_NODES = 500_000
@@ -110,42 +108,52 @@ def _point(s: np.ndarray) -> np.ndarray:
     return np.bincount((_mix(s ^ _GOLD) >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
-_FEATURES = T.StructType([
-    T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
-])
-_SET = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("shingles", T.BinaryType())])
+_SIZE = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])
+_POINT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("point", T.ArrayType(T.IntegerType()))])
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.md5(s.tobytes()).digest()
+
+
+def _per_text(of, kind):
+    """A pandas UDF that applies ``of`` to the texts of each batch."""
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(x) for x in texts], columns=kind.names)
+
+    return run
+
+
+def _size_udf(n: int):
+    def of(text):
+        s = shingle_set(text, n)
+        return len(s), _digest(s)
+
+    return _per_text(of, _SIZE)
 
 
-def _features_udf(n: int, pct: int):
-    @F.pandas_udf(_FEATURES)
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows = []
-            for text in batch:
-                s = shingle_set(text, n)
-                rows.append((len(s), hashlib.md5(s.tobytes()).digest(), fine_keys(s, pct).view(np.int64)))
-            yield pd.DataFrame(rows, columns=_FEATURES.names)
+def _point_udf(n: int):
+    def of(text):
+        s = shingle_set(text, n)
+        return _digest(s), _point(s).astype(np.int32)
 
-    return features
+    return _per_text(of, _POINT)
 
 
-def _set_udf(n: int):
-    @F.pandas_udf(_SET)
-    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows = []
-            for text in batch:
-                s = shingle_set(text, n)
-                rows.append((hashlib.md5(s.tobytes()).digest(), _point(s).astype(np.int32), s.tobytes()))
-            yield pd.DataFrame(rows, columns=_SET.names)
+def _keys_udf(n: int, pct: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([fine_keys(shingle_set(x, n), pct).view(np.int64) for x in texts], dtype=object)
 
-    return sets
+    return keys
 
 
-def _page(members) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _page(members, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     ids = np.array([m["nid"] for m in members], np.int64)
     points = np.array([m["point"] for m in members], np.int32).reshape(len(ids), GROUPS)
-    return ids, points, [np.frombuffer(m["shingles"], np.uint64) for m in members]
+    return ids, points, [shingle_set(m["text"], n) for m in members]
 
 
 def page_links(a, b, pct: int) -> list[tuple[int, int]]:
@@ -184,19 +192,19 @@ def page_links(a, b, pct: int) -> list[tuple[int, int]]:
     return found
 
 
-def _within(pct: int):
+def _within(n: int, pct: int):
     def run(batches):
         for pdf in batches:
-            links = [x for m in pdf["members"] for x in page_links(_page(m), None, pct)]
+            links = [x for m in pdf["members"] for x in page_links(_page(m, n), None, pct)]
             yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def _across(pct: int):
+def _across(n: int, pct: int):
     def run(batches):
         for pdf in batches:
-            links = [x for m, o in zip(pdf["members"], pdf["others"]) for x in page_links(_page(m), _page(o), pct)]
+            links = [x for m, o in zip(pdf["members"], pdf["others"]) for x in page_links(_page(m, n), _page(o, n), pct)]
             yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
@@ -213,24 +221,24 @@ def _doc_key():
 
 def near_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, doc_key, n_shingles, component_id."""
-    featured = docs.select("doc_id", _doc_key().alias("doc_key"), _features_udf(n, pct)(F.col("text")).alias("f"))
-    featured = materialise(featured.select("doc_id", "doc_key", "f.*"), "rtree-features")
+    texts = docs.select("doc_id", _doc_key().alias("doc_key"), "text")
+    featured = materialise(texts.select("doc_id", "doc_key", _size_udf(n)(F.col("text")).alias("f")).select("doc_id", "doc_key", "f.*"), "rtree-sizes")
 
-    # Exact copies: one node for each distinct set. The aggregate reads neither keys nor texts.
+    # Exact copies: one node for each distinct set.
     nodes = featured.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_key").alias("nid"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"))
     nodes = materialise(nodes, "rtree-nodes")
 
     # Fine groups with two sets or more: every other set gets an edge to the smallest one.
-    reps = nodes.select("digest", F.col("nid").alias("doc_key"))
-    keys = featured.select("doc_key", "digest", "keys").join(_small(reps), ["digest", "doc_key"], "left_semi")
-    keys = keys.select(F.col("doc_key").alias("nid"), F.explode("keys").alias("key")).repartition("key")
+    reps = materialise(nodes.select(F.col("nid").alias("doc_key")).distinct(), "rtree-reps")
+    keys = texts.join(_small(reps), "doc_key", "left_semi").select(F.col("doc_key").alias("nid"), F.explode(_keys_udf(n, pct)(F.col("text"))).alias("key"))
+    keys = keys.repartition("key")
     stars = keys.select("nid", F.min("nid").over(W.partitionBy("key")).alias("first")).where("nid != first").distinct()
     families = materialise(connected_components(stars.select(F.col("nid").alias("u"), F.col("first").alias("v"))), "rtree-families")
 
     # Pages: by size within a family; their number follows from counts, no group is collected.
     members = families.select(F.col("node").alias("nid"), F.col("component").alias("family")).join(nodes, "nid")
     members = members.select("nid", "family", "digest", "size", F.floor(8 * F.log2("size")).cast("int").alias("band"))
-    members = materialise(members, "rtree-sizes")
+    members = materialise(members, "rtree-members")
     room = F.greatest(F.lit(1), F.least(F.lit(PAGE_DOCS), F.lit(PAGE_SHINGLES) / F.max("size"))).cast("long")
     bands = materialise(members.groupBy("family", "band").agg(F.ceil(F.count("*") / room).cast("long").alias("pages")), "rtree-bands")
     members = lookup(members, bands, ["family", "band"], "nid", "inner").withColumn("page", F.pmod(F.xxhash64("nid"), F.col("pages")))
@@ -240,27 +248,27 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     place = F.struct(F.when(F.col("one"), -1).otherwise(F.col("band")).alias("band"), F.when(F.col("one"), 0).otherwise(F.col("page")).alias("page"))
     members = materialise(members.select(F.col("nid").alias("doc_key"), "family", "digest", "size", place.alias("place")), "rtree-places")
 
-    texts = docs.select(_doc_key().alias("doc_key"), "text")
-    full = texts.join(_small(members), "doc_key").select("doc_key", "family", "place", "size", "digest", _set_udf(n)(F.col("text")).alias("s"))
+    full = texts.join(_small(members), "doc_key").select("doc_key", "family", "place", "size", "digest", "text", _point_udf(n)(F.col("text")).alias("s"))
     full = full.where(F.col("digest") == F.col("s.digest"))
     if featured.groupBy("doc_key", "digest").count().where("count > 1").limit(1).count():
         full = full.dropDuplicates(["doc_key"])  # repeated rows
     corner = F.array(*[F.max(F.col("s.point")[i]) for i in range(GROUPS)])
     pages = full.groupBy("family", "place").agg(
-        F.min("size").alias("least"), F.count("*").alias("docs"), corner.alias("corner"), F.collect_list(F.struct(F.col("doc_key").alias("nid"), F.col("s.point").alias("point"), F.col("s.shingles").alias("shingles"))).alias("members")
+        F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("docs"), corner.alias("corner"), F.collect_list(F.struct(F.col("doc_key").alias("nid"), F.col("s.point").alias("point"), "text")).alias("members")
     )
     pages = materialise(pages, "rtree-pages")
 
-    links = pages.where("docs > 1").select("members").mapInPandas(_within(pct), "u long, v long")
-    heads = pages.where("place.band >= 0").select("family", "place", "least", "corner")
-    other = heads.select("family", F.col("place").alias("place_b"), F.col("least").alias("least_b"), F.col("corner").alias("corner_b"))
+    links = pages.where("docs > 1").select("members").mapInPandas(_within(n, pct), "u long, v long")
+    heads = pages.where("place.band >= 0").select("family", "place", "least", "most", "corner")
+    other = heads.select("family", F.col("place").alias("place_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.col("corner").alias("corner_b"))
     bound = F.aggregate(F.zip_with("corner", "corner_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    bound = F.least(bound, "most", "most_b")  # the total count is a coordinate as well
     pairs = heads.join(other, "family").where((F.col("place") < F.col("place_b")) & ((100 + pct) * bound >= pct * (F.col("least") + F.col("least_b"))))
     pairs = materialise(pairs.select("family", "place", "place_b"), "rtree-pairs")
     content = pages.where("place.band >= 0").select("family", "place", "members")
     joined = pairs.join(content, ["family", "place"]).select("family", F.col("place_b").alias("place"), F.col("members").alias("others"))
     joined = joined.join(content, ["family", "place"]).select("members", "others")
-    links = links.unionByName(joined.mapInPandas(_across(pct), "u long, v long"))
+    links = links.unionByName(joined.mapInPandas(_across(n, pct), "u long, v long"))
 
     found = materialise(connected_components(links), "rtree-components")
     nodes = nodes.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
