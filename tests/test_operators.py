@@ -6,8 +6,10 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
+from auctra.operators import components
 from auctra.operators import lots as L
 from auctra.operators import matching as M
 from auctra.operators import spatial as S
@@ -41,11 +43,13 @@ def test_flag_near_borders(spark):
     assert got == {1: (True, "s0"), 2: (False, None)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", few)
     edges = [(1, 2), (2, 3), (5, 4), (6, 6), (10, 9), (9, 8), (8, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 7, 8: 7, 9: 7, 10: 7}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long").where("u = v")).count() == 0
 
 
 def test_similarity():
