@@ -15,7 +15,6 @@ own. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from auctra.llm.common import WORD_PATTERN, materialise
+from auctra.llm.common import materialise
 
 WINDOW, UNIT, EOS = 4096, 64, 2
 #: Most different lengths of a combination; each may repeat.
@@ -35,39 +34,58 @@ DEPTH = 2
 #: Mean rows of a (length, bucket) in ranking.
 BUCKET_ROWS = 50_000
 #: Words in a worker's memory of token ids, by generation.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 
-_word = re.compile(WORD_PATTERN)
 _memory: dict[str, tuple] = {}
 
 
 class WordTokens:
-    """Token ids of texts for tokenizers that never join across white space, word by word.
+    """Token ids of texts for lower-casing tokenizers that never join across white space, word by word.
 
     Ids are little-endian unsigned 32-bit. Two generations of words are remembered, so memory is
-    bounded and frequent words stay.
+    bounded and frequent words stay. A comma or full stop after an ASCII letter or digit is a piece of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        self.marks = {m: self._encode([m.decode()])[0] for m in (b",", b".")}
 
-    def encode(self, text: str | None) -> bytes:
-        words = _word.findall(text) if text else []
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
         new, old = self.new, self.old
-        missing = {w for w in words if w not in new}
-        for w in list(missing):
+        ended, whole = {}, set()
+        for w in words:
             if w in old:
                 new[w] = old[w]
-                missing.discard(w)
-        if missing:
-            missing = list(missing)
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                new[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([new[w] for w in words])
-        if len(new) > CACHED_WORDS:
-            self.new, self.old = {}, new
+            elif w[-1:] in self.marks and w[-2:-1].isalnum():
+                ended[w] = w[:-1]
+                if w[:-1] not in new:
+                    whole.add(w[:-1])
+            else:
+                whole.add(w)
+        for w in [w for w in whole if w in old]:
+            new[w] = old[w]
+            whole.discard(w)
+        order = list(whole)
+        new.update(zip(order, self._encode([w.decode("utf-8", "surrogatepass") for w in order])))
+        for w, stem in ended.items():
+            new[w] = new[stem] + self.marks[w[-1:]]
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        data = text.encode("utf-8", "surrogatepass")
+        # Special tokens are spelled with "<|" and count in lower case only.
+        words = (data if b"<|" in data else data.lower()).split()
+        if missing := set(words).difference(self.new):
+            self._learn(missing)
+        out = b"".join(map(self.new.__getitem__, words))
+        if len(self.new) > CACHED_WORDS:
+            self.new, self.old = {}, self.new
         return out
 
 
