@@ -116,15 +116,19 @@ def known_digests(spark: SparkSession, entries: list[tuple[str, str]] | None = N
 
 
 def scan(docs: DataFrame, entries: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Struct ``doc`` with the columns that came in; ``digest`` and ``license`` of the whole text, ``notices`` of its lines (sorted licences)."""
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("id")).withColumn("lines", canonical_lines(F.col("doc.text")))
-    parts = F.transform(F.array_distinct(F.filter("lines", lambda x: x != "")), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("digest")))
-    rows = rows.withColumn("digest", digest_of(F.col("lines")))
-    rows = rows.select("doc", "id", "digest", F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("digest").alias("digest"))), F.coalesce(parts, F.array().cast("array<struct<whole:boolean,digest:string>>"))).alias("parts"))
-    looked = rows.select("id", F.inline("parts")).join(F.broadcast(known_digests(docs.sparkSession, entries)), "digest")
-    hits = looked.groupBy("id").agg(F.max(F.when(F.col("whole"), F.col("license"))).alias("license"), F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))).alias("notices"))
-    none = F.array().cast("array<string>")
-    return rows.select("doc", "id", "digest").join(hits, "id", "left").select("doc", "digest", "license", F.coalesce("notices", none).alias("notices"))
+    """Struct ``doc`` with the columns that came in; ``digest`` and ``license`` of the whole text, ``notices`` of its lines (sorted licences).
+
+    One pass without a shuffle: the whole text is looked up by a broadcast hash join, its lines by hash against the same fixed list.
+    """
+    known_table = known_digests(docs.sparkSession, entries)
+    by_digest = {r["digest"]: r["license"] for r in known_table.collect()}  # a fixed list
+    table = F.create_map(*[F.lit(x) for kv in by_digest.items() for x in kv])
+    rows = docs.select(F.struct("*").alias("doc"), canonical_lines(F.col("text")).alias("lines"))
+    lines = F.transform(F.array_distinct(F.filter("lines", lambda x: x != "")), lambda x: F.sha2(x, 256))
+    rows = rows.select("doc", digest_of(F.col("lines")).alias("digest"), F.array_intersect(lines, F.array(*map(F.lit, by_digest))).alias("hits"))
+    notices = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.element_at(table, x))))
+    rows = rows.join(F.broadcast(known_table), "digest", "left")
+    return rows.select("doc", "digest", "license", F.coalesce(notices, F.array().cast("array<string>")).alias("notices"))
 
 
 def sql() -> str:
