@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,7 +110,7 @@ def _point(s: np.ndarray) -> np.ndarray:
 
 
 _SIZE = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])
-_POINT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("point", T.ArrayType(T.IntegerType()))])
+_POINT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -137,7 +138,7 @@ def _size_udf(n: int):
 def _point_udf(n: int):
     def of(text):
         s = shingle_set(text, n)
-        return _digest(s), _point(s).astype(np.int32)
+        return _digest(s), _point(s).astype(np.int32), zstandard.compress((text or "").encode("utf-8", "surrogatepass"))
 
     return _per_text(of, _POINT)
 
@@ -153,7 +154,7 @@ def _keys_udf(n: int, pct: int):
 def _page(members, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     ids = np.array([m["nid"] for m in members], np.int64)
     points = np.array([m["point"] for m in members], np.int32).reshape(len(ids), GROUPS)
-    return ids, points, [shingle_set(m["text"], n) for m in members]
+    return ids, points, [shingle_set(zstandard.decompress(m["packed"]).decode("utf-8", "surrogatepass"), n) for m in members]
 
 
 def page_links(a, b, pct: int) -> list[tuple[int, int]]:
@@ -248,13 +249,13 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     place = F.struct(F.when(F.col("one"), -1).otherwise(F.col("band")).alias("band"), F.when(F.col("one"), 0).otherwise(F.col("page")).alias("page"))
     members = materialise(members.select(F.col("nid").alias("doc_key"), "family", "digest", "size", place.alias("place")), "rtree-places")
 
-    full = texts.join(_small(members), "doc_key").select("doc_key", "family", "place", "size", "digest", "text", _point_udf(n)(F.col("text")).alias("s"))
+    full = texts.join(_small(members), "doc_key").select("doc_key", "family", "place", "size", "digest", _point_udf(n)(F.col("text")).alias("s"))
     full = full.where(F.col("digest") == F.col("s.digest"))
     if featured.groupBy("doc_key", "digest").count().where("count > 1").limit(1).count():
         full = full.dropDuplicates(["doc_key"])  # repeated rows
     corner = F.array(*[F.max(F.col("s.point")[i]) for i in range(GROUPS)])
     pages = full.groupBy("family", "place").agg(
-        F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("docs"), corner.alias("corner"), F.collect_list(F.struct(F.col("doc_key").alias("nid"), F.col("s.point").alias("point"), "text")).alias("members")
+        F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("docs"), corner.alias("corner"), F.collect_list(F.struct(F.col("doc_key").alias("nid"), F.col("s.point").alias("point"), F.col("s.packed").alias("packed"))).alias("members")
     )
     pages = materialise(pages, "rtree-pages")
 
