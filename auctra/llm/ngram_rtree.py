@@ -25,10 +25,11 @@ join and passed through by ``keep_one``.
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -211,6 +212,18 @@ def _across(n: int, pct: int):
     return run
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, size: str):
+    """Pages are large rows: Arrow batches of few bytes keep a worker's memory to a page or two."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _small(table: DataFrame) -> DataFrame:
     """Marks a written table of short rows for broadcast if its counted rows allow it."""
     return F.broadcast(table) if table.count() <= BROADCAST_NODES else table
@@ -271,6 +284,8 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     joined = joined.join(content, ["family", "place"]).select("members", "others")
     links = links.unionByName(joined.mapInPandas(_across(n, pct), "u long, v long"))
 
+    with _batches_of(docs.sparkSession, "8m"):
+        links = materialise(links, "rtree-links")
     found = materialise(connected_components(links), "rtree-components")
     nodes = nodes.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     nodes = materialise(nodes, "rtree-nodes")
