@@ -37,15 +37,17 @@ UNIT = 256
 
 #: Standard deviations added to the scatter in each direction (in natural-log units): mean word
 #: length, symbols per 1000 characters, repeated lines and repeated words per 100 words. They keep
-#: the estimate regular where most documents have no symbol or repeat at all.
-FLOORS = (0.12, 0.6, 0.8, 1.0)
+#: the estimate regular where most documents have no symbol or repeat at all, and are small enough
+#: that with TAIL each statistic rejects alone: beside documents without any, from about 3.3 symbols,
+#: 1.6 repeated lines or 20 repeated words on (the base rule starts at 50).
+FLOORS = (0.04, 0.3, 0.2, 0.6)
 
 #: Share of a group in the concentrated half.
 ALPHA = 0.75
 STEPS = 6
 MIN_ROWS = 100
 #: Probability that a clean, normal document is rejected.
-TAIL = 1e-6
+TAIL = 1e-4
 
 _word = re.compile(WORD_PATTERN)
 

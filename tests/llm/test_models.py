@@ -118,6 +118,27 @@ def test_quality_edges(spark):
     assert quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(6)
+    word = lambda size=6: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(size - 2, size + 2)))
+    text = lambda words, per=8: "\n".join(" ".join(words[i : i + per]) for i in range(0, len(words), per))
+    clean = [text([word() for _ in range(200)]) for _ in range(300)]
+    clean += [x + "\n" + x.split("\n")[0] for x in clean[:20]]  # one line twice
+    some = [word() for _ in range(30)]
+    planted = [
+        text([word() for _ in range(140)] + some + some, 7),  # 30 % repeated words
+        text([word(9) for _ in range(200)]),  # long words
+        text([word() + ("#$" if i % 8 == 0 else "") for i in range(200)]),  # symbols
+        "\n".join(f"{word()} {word()}\nnext" for _ in range(70)),  # a short line over and over, no phrase twice
+    ]
+    counts = [brute_counts(x) for x in planted]
+    assert counts[0][4] == 60 and counts[0][3] < 6 and all(c[4] == 0 for c in counts[1:]) and counts[3][3] == 69 and [c[2] > 0 for c in counts] == [False, False, True, False]
+    df = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(clean + planted)], DOCS)
+    got = {r.doc_id: r for r in quality.quality_verdicts(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i, r in sorted(got.items()) if not r.kept] == list(range(len(clean), len(clean) + len(planted)))
+
+
 def shingles(text, n):
     words = [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
