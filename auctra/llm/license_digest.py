@@ -12,6 +12,9 @@ Repeated rows are scanned alike. An empty table gives an empty result. Extra col
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,54 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
 }
 
+#: The BSD family. Clause marks, the name in the third clause and the number of holders vary.
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_NAMES = ["the copyright holder", "the copyright holders", "the author", "the authors", "the University", "the project", "the organization", "the company", "the <organization>"]
+
+#: Whole licence files in the folder ``licenses``, with the words that open their body and their appendix.
+FILES = {
+    "Apache-2.0": ("TERMS AND CONDITIONS FOR USE, REPRODUCTION", "APPENDIX: How to apply"),
+    "GPL-2.0-only": ("Preamble", "How to Apply These Terms"),
+    "GPL-3.0-only": ("Preamble", "How to Apply These Terms"),
+    "LGPL-3.0-only": ("This version of the GNU Lesser", None),
+    "MPL-2.0": ("1. Definitions", "Exhibit A - Source Code"),
+    "CC0-1.0": ("Statement of Purpose", None),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public", None),
+}
+
+#: Spots in which published copies of one licence differ (licence, from, to).
+COPIES = [
+    ("MIT", "NONINFRINGEMENT", "NON-INFRINGEMENT"),
+    ("MIT", "AUTHORS OR COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS OR AUTHORS"),
+    ("MIT", "and this permission notice shall", "and this permission notice (including the next paragraph) shall"),
+    ("ISC", "and/or distribute", "and distribute"),
+    ("Apache-2.0", "Copyright [yyyy] [name of copyright owner]", "Copyright {yyyy} {name of copyright owner}"),
+    ("Apache-2.0", '"[]"', '"{}"'),
+    ("GPL-2.0-only", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"),
+]
+
+#: Title lines above the text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT", "License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "The ISC License (ISC)", "ISC License (ISC)", "License: ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License", "The BSD License"],
+    "Apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+}
+
 #: Names of licences in one-line notices.
 NAMES = {
     "MIT License": "MIT",
@@ -91,10 +142,37 @@ NAMES = {
 FORMS = ["{} {}", "Released {} {}", "Licensed {} {}", "Available {} {}", "This work is licensed {} {}", "This software is licensed {} {}", "This project is licensed {} {}", "This software is released {} {}"]
 
 
+def _bsd() -> list[tuple[str, str]]:
+    clauses, end = BSD.split("3. Neither")[0], BSD[BSD.index("THIS SOFTWARE IS PROVIDED BY") :]
+    third = BSD[len(clauses) : -len(end)]
+    found = [("BSD-2-Clause", clauses + end)] + [("BSD-3-Clause", clauses + third.replace("the copyright holder", name) + end) for name in BSD_NAMES]
+    regents = end.replace("THE COPYRIGHT HOLDERS AND", "THE REGENTS AND").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
+    found.append(("BSD-3-Clause", clauses + third.replace("the copyright holder", "the University") + regents))
+    found += [(k, x.replace("THE COPYRIGHT HOLDER OR", "THE COPYRIGHT HOLDERS OR")) for k, x in found]
+    return found
+
+
+def _files() -> list[tuple[str, str]]:
+    """Licence files, also without the lines before their body and without their appendix."""
+    found = []
+    for ident, (body, appendix) in FILES.items():
+        text = files("auctra.llm").joinpath("licenses", f"{ident}.txt").read_text(encoding="utf-8")
+        # The appendix is named in the text's own references as well: its heading is the last mention that starts a line.
+        ends = [len(text)] + ([max(m.start() for m in re.finditer(rf"(?m)^[ \t]*{re.escape(appendix)}", text))] if appendix else [])
+        starts = [0, re.search(rf"(?m)^[ \t]*{re.escape(body)}", text).start()]
+        found += [(ident, text[a:b]) for a in starts for b in ends]
+    return found
+
+
 def known() -> list[tuple[str, str]]:
-    """(licence, text) of everything that is looked up; notices are built from names and forms."""
+    """(licence, text) of everything that is looked up; notices are built from names and forms, whole texts from their parts and titles."""
     notices = [(ident, form.format(under, name)) for name, ident in NAMES.items() for form in FORMS for under in ("under", "under the")]
-    return [*TEXTS.items(), *notices]
+    whole = [*TEXTS.items(), *_bsd()]
+    whole += [(k, re.sub(r"(?m)^[123]\. ", "* ", x)) for k, x in whole] + _files()
+    for ident, a, b in COPIES:
+        whole += [(k, re.sub(r"\s+".join(map(re.escape, a.split())), lambda _: b, x)) for k, x in whole if k == ident]
+    titled = [(k, f"{title}\n\n{x}") for k, x in whole for title in TITLES.get(k, [])]
+    return list(dict.fromkeys([*whole, *titled, *notices]))
 
 
 def canonical_lines(text: Column) -> Column:

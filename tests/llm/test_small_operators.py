@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -48,6 +50,27 @@ def test_license_forms(spark):
     assert license_digest.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_whole_and_titled_licenses(spark):
+    folder = Path(license_digest.__file__).with_name("licenses")
+    full = {p.stem: p.read_text(encoding="utf-8") for p in folder.glob("*.txt")}
+    assert set(full) == {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"}
+    clauses, rest = license_digest.BSD.split("3. Neither")
+    bsd2, owner = clauses + rest[rest.index("THIS SOFTWARE IS") :], "Copyright (c) 2021, Somebody and others\nAll rights reserved.\n\n"
+    texts = license_digest.TEXTS
+    cases = [
+        ("MIT", f"MIT License\n\n{owner}{texts['MIT']}"), ("MIT", f"# The MIT License (MIT)\n\n{owner}{texts['MIT'].upper()}"), ("ISC", f"ISC Licence\n{owner}{texts['ISC']}"),
+        ("Zlib", f"zlib License\n\n(C) 2020 Somebody\n\n{texts['Zlib'].replace('acknowledgment', 'acknowledgement')}"),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\n{owner}{bsd2}"), ("BSD-2-Clause", owner + bsd2.replace("1. ", " * ").replace("2. ", " * ").replace("HOLDER OR", "OWNER OR")),
+        ("BSD-3-Clause", owner + license_digest.BSD), ("BSD-3-Clause", f"BSD 3-Clause Licence\n\n{owner}{license_digest.BSD.replace('the copyright holder', 'the author')}"),
+        ("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2022 Somebody")), ("Apache-2.0", full["Apache-2.0"].split("   APPENDIX")[0]),
+        ("GPL-2.0-only", full["GPL-2.0-only"].split("\t    How to Apply")[0]), ("MPL-2.0", f"Mozilla Public License 2.0\n\n{full['MPL-2.0']}"),
+        *full.items(), *((k, "  " + re.sub(r"\bLICENSE\b", "Licence", x.upper()).replace(",", " ,").replace("\n", "\r\n")) for k, x in full.items()),
+        (None, full["GPL-3.0-only"][:-2000]), (None, "MIT License"), (None, f"Other License\n\n{texts['MIT']}"),
+    ]
+    got = license_digest.scan(spark.createDataFrame(list(enumerate(x for _, x in cases)), "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(got, key=lambda r: r.doc.doc_id)] == [k for k, _ in cases]
+
+
 def test_top_k_is_exact(spark):
     rng = random.Random(1)
     rows = [(i, [rng.choice([-0.3, 0.0, 0.1, 0.25]) for _ in range(3)]) for i in range(400)]
