@@ -53,11 +53,16 @@ def best_matches(candidates: DataFrame, previews: int = 5) -> DataFrame:
     """One row per (lot, snapshot): count, best candidate, confidence, previews in order of distance."""
     ranked = candidates.withColumn("r", F.row_number().over(W.partitionBy("lot_id", "snapshot_label").orderBy("distance_m", "company", "org_id")))
     first = lambda c: F.max(F.when(F.col("r") == 1, F.col(c)))
-    near = F.col("r") <= 20 * previews  # previews need the first distinct names only
     out = ranked.groupBy("lot_id", "snapshot_label").agg(
         F.count("*").alias("n"), first("band").alias("band"), first("company").alias("company"), first("usage").alias("usage"), first("after_days").alias("after_days"), first("distance_m").alias("distance_m"),
-        ordered_preview(F.when(near, F.col("company")), F.col("r"), previews).alias("company_preview"), ordered_preview(F.when(near, F.col("usage")), F.col("r"), previews).alias("usage_preview"),
     )
+    # Previews over all candidates: each value's smallest rank first, then the first few values.
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("company", "usage")])).alias("x")
+    values = ranked.select(F.col("lot_id").alias("p_lot"), F.col("snapshot_label").alias("p_label"), "r", values).groupBy("p_lot", "p_label", "x.kind", "x.value").agg(F.min("r").alias("r"))
+    values = top_per_group(values, ["p_lot", "p_label", "kind"], ["r"], previews)
+    joined = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("r", "value")))), lambda x: x["value"]), " | ")
+    values = values.groupBy("p_lot", "p_label").agg(joined("company").alias("company_preview"), joined("usage").alias("usage_preview"))
+    out = out.join(values, F.col("lot_id").eqNullSafe(F.col("p_lot")) & F.col("snapshot_label").eqNullSafe(F.col("p_label"))).drop("p_lot", "p_label")
     return out.withColumn("confidence", C.confidence("n", "band"))
 
 

@@ -95,6 +95,16 @@ def test_revalidate(spark):
     assert {r.reason: r.n for r in report.collect()} == {"implausible": 2}
 
 
+def test_previews_reach_beyond_a_long_run_of_one_name(spark):
+    rows = [(lot, "2024-01", i, "Сеть", "Кафе", "near", float(i), 10) for lot in (1, None) for i in range(150)]
+    rows += [(lot, "2024-01", 200 + i, f"Иная {i // 2}", f"Вид {i % 4}", "near", 200.0 + i, 10) for lot in (1, None) for i in range(12)] + [(2, "2024-01", 1, None, "Кафе", "near", 1.0, 10), (2, "2024-01", 2, "Сеть", "Кафе", "near", 2.0, 10)]
+    df = spark.createDataFrame(rows, "lot_id long, snapshot_label string, org_id long, company string, usage string, band string, distance_m double, after_days int")
+    got = {r.lot_id: (r.n, r.company, r.company_preview, r.usage_preview) for r in M.best_matches(df).collect()}
+    long = (162, "Сеть", "Сеть | Иная 0 | Иная 1 | Иная 2 | Иная 3", "Кафе | Вид 0 | Вид 1 | Вид 2 | Вид 3")
+    assert got == {1: long, None: long, 2: (2, None, "Сеть", "Кафе")}
+    assert {r.usage_preview for r in M.best_matches(df.where("lot_id = 1"), 3).collect()} == {"Кафе | Вид 0 | Вид 1"}
+
+
 def test_preexisting(spark):
     c = spark.createDataFrame([(1, 7, "2024-01-10", "Пекарня Хлебница", 55.0, 37.0), (1, 8, "2024-01-10", "Аптека", 55.0, 37.0)], "lot_id long, org_id long, sale_date string, org_name string, o_lat double, o_lon double")
     s = spark.createDataFrame([("2023-12-31", "Пекарня Хлебнца", 55.0, 37.0), ("2024-01-31", "Аптека", 55.0, 37.0)], "snapshot_date string, org_name string, lat double, lon double")
