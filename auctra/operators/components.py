@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,40 +18,17 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
 
 
-#: Edges up to which one task finds the components: counted first, so no larger table gets there.
-ONE_TASK_EDGES = 200_000
-
-
-def _by_union(batches):
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for pdf in batches:
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            a, b = find(u), find(v)
-            root[max(a, b)] = min(a, b)
-    nodes = list(root)
-    yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]}, dtype="int64")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node that ``edges`` (u, v: long) reach.
 
-    Nodes without an edge to another node are not listed. Few edges (counted) are joined up in one task.
-    Otherwise every step is a pre-aggregated minimum and a join of two written or shuffled tables, so hubs can be split.
+    Nodes without an edge to another node are not listed. Every step is a pre-aggregated minimum and a join of
+    two written tables, so hubs can be split; steps end when the edges no longer change.
     """
     edges = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    if edges.count() <= ONE_TASK_EDGES:
-        return edges.coalesce(1).mapInPandas(_by_union, "node long, component long")
     seen = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or now[0] == 0:
             break
         seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

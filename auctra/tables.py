@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own is set only where the session names none."""
+    """``spark.checkpoint.dir``. Only a local session that names none gets a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("/tmp/checkpoints")
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -29,10 +33,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of ``materialise`` whose every reader has been written."""
+    for path in {f.rpartition("/")[0].removeprefix("file:") for f in table.inputFiles()}:
+        if found := next((x for x in _written if x.removeprefix("file:").replace("//", "/").rstrip("/") == path.replace("//", "/")), None):
+            _written.remove(found)
+            _delete(table.sparkSession, found)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this process has written; call it when no result is read any more."""
     n = 0
     while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        n += _delete(spark, _written.pop())
     return n
