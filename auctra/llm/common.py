@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auctra.tables import materialise, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD_PATTERN", "lookup", "materialise", "shared_dir"]
+__all__ = ["BROADCAST_ROWS", "WORD_PATTERN", "batches_of", "lookup", "materialise", "shared_dir"]
 
 #: Words of the contracts: maximal runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -31,3 +33,15 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how:
     salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return left.join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: str):
+    """Texts are long rows: Arrow batches of few bytes keep the memory of a worker small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

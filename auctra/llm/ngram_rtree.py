@@ -1,48 +1,53 @@
 """Operator 8, n-gram Jaccard join by a count-vector R-tree.
 
-A document's shingles (word n-grams, as 64-bit hashes) are dealt into 64 groups; the counts per group
+A document's shingles (word n-grams, as 64-bit hashes) are dealt into groups; the counts per group
 are its point. The overlap of two documents is at most the sum over groups of the smaller count,
-and the overlap with any document of a node is at most that sum against the node's largest corner.
-
-A tree over all points at once would not prune: the points of unrelated documents of one length lie
-closer than the similarity bound allows to tell, so nearly all pairs of pages would be opened. The
-root is therefore split losslessly. For each size class the shingles are dealt into slightly more
-fine groups than two linked documents can have differing shingles; hence at least one fine group is
-not empty and equal in both. Documents that share an equal fine group are put under the same
-subtree (connected by those groups, a *family*); texts without any such partner are never compared.
-Under a family, documents are packed by size into pages; pairs of pages are joined if their
-corners allow it, then pairs of points within them, and surviving pairs are verified on the whole
-shingle sets. A pair of pages only reports links that connect something new, so a group of copies
-yields a spanning set of links, not all pairs. Exact copies are merged before any of this.
+and the overlap between documents of two tree nodes is at most that sum over their upper corners; the
+distance of two points is at least the gap between the corners of their nodes.
+
+One tree over all points would not prune: the points of unrelated documents of one length lie closer
+than the similarity bound allows to tell. The root is therefore split losslessly, by the content of
+fine groups (``fine_keys``): any two linked documents have one key in common. What happens below:
+
+1. Documents that share a key are compared with the first document of that key (points, then whole
+   sets). That joins up groups of near copies by work in proportion to their keys.
+2. Keys whose documents are not all joined up yet connect them to *families*, the subtrees of the root.
+   Within a family the points are sorted and tiled (by total, then group counts) into leaf pages, pages
+   into inner nodes, each with its lower and upper corners. Nodes are paired by their bounds, then the pages of surviving
+   nodes, then points, and surviving pairs are verified on whole shingle sets. Pages of documents
+   that are joined up already are not paired, and a pair of pages reports only links that connect
+   something new, so a group of copies yields a spanning set of links, not all pairs.
+
+Exact copies are merged before any of this. A set is named by 64 bits of its digest, as a shingle is by 64 bits of its words; should two sets
+meet in them, both are compared and no link is lost.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lower-cased. A null or empty
-text has no shingle and is linked with nothing. Rows with a null doc_id take part through the hash
-of their text; they count for links, but a component's id is the smallest non-null doc_id in it (null
-if there is none). Rows that share a doc_id share a component. Extra columns are ignored by the
-join and passed through by ``keep_one``.
+text has no shingle and is linked with nothing. Rows that share a doc_id (not null) share a component.
+Rows with a null doc_id take part and count for links, but a component's id is the smallest non-null
+doc_id in it (null if there is none). Texts of any length are taken whole; a page holds one very long text at least. Repeated rows
+count once for links and each has its row in the result. An empty table gives an empty result. Extra columns are
+ignored by the join and passed through by ``keep_one``, whatever their names (but those that start with two underscores).
 """
 
 from __future__ import annotations
 
 import hashlib
-from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from auctra.llm.common import lookup, materialise
-from auctra.llm.components import connected_components
+from auctra.llm.common import batches_of, materialise
+from auctra.operators.components import connected_components
+from auctra.tables import discard
 
 GROUPS = 64
-#: A page holds up to so many documents and, but for one long document, shingles.
-PAGE_DOCS, PAGE_SHINGLES = 2048, 1 << 20
-
-#: Rows of ids (some 60 bytes each) up to which they are broadcast.
-BROADCAST_NODES = 500_000
+#: A leaf page holds up to so many documents and, but for one long document, shingles; a node so many pages.
+PAGE_DOCS, PAGE_SHINGLES, NODE_PAGES = 512, 1 << 19, 16
+#: Documents of one component from which they get pages of their own.
+OWN_PAGES = 256
 
 #: Odd 64-bit multipliers for mixing (the finaliser of splitmix64 and the golden ratio).
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -87,20 +92,29 @@ def _needed(total, pct: int):
 
 
 def fine_keys(s: np.ndarray, pct: int) -> np.ndarray:
-    """Keys of the fine groups, for every size class in which the set can be the smaller or larger of a pair."""
+    """Keys by content of fine groups, for every size class in which the set can be the smaller or larger of a pair.
+
+    Linked sets differ in at most d shingles, hence in at most d fine groups. All groups of all sets
+    have one order (more shingles first, then by hash), and a set keeps its first d + 1: in that order
+    the first group that two linked sets have in common comes after at most d others in either set, so both keep it. Groups of
+    few shingles, which common passages share by chance, are mostly beyond that. Two linked sets
+    without a common group have d groups at most each, and such sets get one more key.
+    """
     out, size = [], len(s)
     c = int(np.searchsorted(BOUNDS, size, side="right")) - 1
     while size and int(BOUNDS[c]) * pct <= 100 * size:
         d = _differing(int(BOUNDS[c + 1]) - 1, pct)
         if d:
-            k = d + d // 8 + 8
+            k = d + d // 4 + 8
             seed = _mix(np.array([c + 1], np.uint64) * _GOLD)[0]
             g = (_mix(s ^ seed) % np.uint64(k)).astype(np.int64)
             order = np.argsort(g, kind="stable")
             starts = np.flatnonzero(np.diff(g[order], prepend=-1))
             content = np.add.reduceat(_mix(s + _GOLD)[order], starts)
-            out.append(_mix(content + g[order][starts].astype(np.uint64) * _M1 + seed))
-            if len(starts) <= d:  # too few groups for the guarantee: such sets meet each other
+            keys = _mix(content + g[order][starts].astype(np.uint64) * _M1 + seed)
+            counts = np.diff(starts, append=size)
+            out.append(keys[np.lexsort((keys, -counts))[: d + 1]])
+            if len(starts) <= d:
                 out.append(_mix(np.array([seed]) + _M2))
         c += 1
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -110,58 +124,64 @@ def _point(s: np.ndarray) -> np.ndarray:
     return np.bincount((_mix(s ^ _GOLD) >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
-_SIZE = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])
-_POINT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
-
+_FEATURES = T.StructType(
+    [
+        T.StructField("n_shingles", T.LongType()),
+        T.StructField("digest", T.BinaryType()),
+        T.StructField("point", T.ArrayType(T.IntegerType())),
+        T.StructField("keys", T.ArrayType(T.LongType())),
+    ]
+)
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.md5(s.tobytes()).digest()
 
+def _features_udf(n: int, pct: int):
+    @F.pandas_udf(_FEATURES)
+    def features(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            s = shingle_set(x, n)
+            rows.append((len(s), hashlib.md5(s.tobytes()).digest(), _point(s).astype(np.int32), fine_keys(s, pct).view(np.int64)))
+        return pd.DataFrame(rows, columns=_FEATURES.names)
 
-def _per_text(of, kind):
-    """A pandas UDF that applies ``of`` to the texts of each batch."""
+    return features
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(x) for x in texts], columns=kind.names)
-
-    return run
 
+def _similar(s: np.ndarray, t: np.ndarray, pct: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= pct * (len(s) + len(t) - both)
 
-def _size_udf(n: int):
-    def of(text):
-        s = shingle_set(text, n)
-        return len(s), _digest(s)
 
-    return _per_text(of, _SIZE)
+def _similar_udf(n: int, pct: int):
+    @F.pandas_udf(T.BooleanType())
+    def similar(texts: pd.Series, hubs: pd.Series) -> pd.Series:
+        out, last, t = [], None, None
+        for x, hub in zip(texts, hubs):
+            if hub is not last and hub != last:
+                last, t = hub, shingle_set(hub, n)
+            out.append(_similar(shingle_set(x, n), t, pct))
+        return pd.Series(out, dtype=bool)
 
+    return similar
 
-def _point_udf(n: int):
-    def of(text):
-        s = shingle_set(text, n)
-        return _digest(s), _point(s).astype(np.int32), zstandard.compress((text or "").encode("utf-8", "surrogatepass"))
 
-    return _per_text(of, _POINT)
+class Page:
+    """Members of a leaf page; shingle sets are made when a pair needs them."""
 
+    def __init__(self, members, n: int):
+        self.ids = [int(m["nid"]) for m in members]
+        self.components = [int(m["component"]) for m in members]
+        self.points = np.array([m["point"] for m in members], np.int32).reshape(len(self.ids), GROUPS)
+        self._texts, self._n, self._sets = [m["text"] for m in members], n, {}
 
-def _keys_udf(n: int, pct: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([fine_keys(shingle_set(x, n), pct).view(np.int64) for x in texts], dtype=object)
+    def set_of(self, i: int) -> np.ndarray:
+        if i not in self._sets:
+            self._sets[i] = shingle_set(self._texts[i], self._n)
+        return self._sets[i]
 
-    return keys
 
-
-def _page(members, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    ids = np.array([m["nid"] for m in members], np.int64)
-    points = np.array([m["point"] for m in members], np.int32).reshape(len(ids), GROUPS)
-    return ids, points, [shingle_set(zstandard.decompress(m["packed"]).decode("utf-8", "surrogatepass"), n) for m in members]
-
-
-def page_links(a, b, pct: int) -> list[tuple[int, int]]:
+def page_links(a: Page, b: Page | None, pct: int) -> list[tuple[int, int]]:
     """Links between two pages (or within one, if b is None) that connect what was not connected."""
-    ids_a, pts_a, sets_a = a
-    ids_b, pts_b, sets_b = a if b is None else b
+    other = b or a
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -170,144 +190,209 @@ def page_links(a, b, pct: int) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    sum_a, sum_b = pts_a.sum(1), pts_b.sum(1)
+    sum_a, sum_b = a.points.sum(1), other.points.sum(1)
     found = []
-    for lo in range(0, len(ids_a), 64):
-        part = pts_a[lo : lo + 64]
-        over = np.zeros((len(part), len(ids_b)), np.int32)
+    for lo in range(0, len(a.ids), 64):
+        part = a.points[lo : lo + 64]
+        over = np.zeros((len(part), len(other.ids)), np.int32)
         for g in range(GROUPS):
-            over += np.minimum(part[:, g, None], pts_b[None, :, g])
+            over += np.minimum(part[:, g, None], other.points[None, :, g])
         slack = over - _needed(sum_a[lo : lo + 64, None] + sum_b[None, :], pct)
         if b is None:
-            slack[np.arange(lo, lo + len(part))[:, None] >= np.arange(len(ids_b))[None, :]] = -1
+            slack[np.arange(lo, lo + len(part))[:, None] >= np.arange(len(other.ids))[None, :]] = -1
         i, j = np.nonzero(slack >= 0)
         for x in np.argsort(-slack[i, j], kind="stable"):
             p, q = lo + int(i[x]), int(j[x])
-            u, v = int(ids_a[p]), int(ids_b[q])
-            ru, rv = find(u), find(v)
-            if ru != rv:
-                s, t = sets_a[p], sets_b[q]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= pct * (len(s) + len(t) - both):
-                    root[ru] = rv
-                    found.append((u, v))
+            u, v = find(a.components[p]), find(other.components[q])
+            if u != v and _similar(a.set_of(p), other.set_of(q), pct):
+                root[u] = v
+                found.append((a.ids[p], other.ids[q]))
     return found
 
 
-def _within(n: int, pct: int):
+def _links(n: int, pct: int):
+    """Over rows of members and, for a pair of pages, others."""
+
     def run(batches):
         for pdf in batches:
-            links = [x for m in pdf["members"] for x in page_links(_page(m, n), None, pct)]
+            others = pdf["others"] if "others" in pdf else [None] * len(pdf)
+            links = [x for m, o in zip(pdf["members"], others) for x in page_links(Page(m, n), None if o is None else Page(o, n), pct)]
             yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def _across(n: int, pct: int):
+_PAGES = (
+    "family long, node long, page long, docs long, least long, most long, first long, last long, lower array<int>, upper array<int>, "
+    "members array<struct<nid: long, component: long, point: array<int>, text: string>>"
+)
+_PAGE_COLUMNS = ["family", "node", "page", "docs", "least", "most", "first", "last", "lower", "upper", "members"]
+
+
+def _tile(page_docs: int, node_pages: int):
+    """Cuts rows in order into pages and nodes (each named by its first member), which never reach over a change of (family, bin)."""
+
+    def close(rows, node):
+        points = np.array([r.point for r in rows], np.int32)
+        sizes, components = [r.size for r in rows], [r.component for r in rows]
+        members = [{"nid": r.nid, "component": r.component, "point": r.point, "text": r.text} for r in rows]
+        return (rows[0].family, node, rows[0].nid, len(rows), min(sizes), max(sizes), min(components), max(components), points.min(0), points.max(0), members)
+
     def run(batches):
+        rows, place, shingles, node, pages = [], None, 0, None, 0
         for pdf in batches:
-            links = [x for m, o in zip(pdf["members"], pdf["others"]) for x in page_links(_page(m, n), _page(o, n), pct)]
-            yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+            done = []
+            for r in pdf.itertuples(index=False):
+                here = (r.family, r.bin)
+                if rows and (here != place or len(rows) >= page_docs or shingles + r.size > PAGE_SHINGLES):
+                    done.append(close(rows, node))
+                    rows, shingles, pages = [], 0, pages + 1
+                if here != place or (not rows and pages >= node_pages):
+                    place, node, pages = here, r.nid, 0
+                rows.append(r)
+                shingles += r.size
+            yield pd.DataFrame(done, columns=_PAGE_COLUMNS)
+        if rows:
+            yield pd.DataFrame([close(rows, node)], columns=_PAGE_COLUMNS)
 
     return run
 
 
-@contextmanager
-def _batches_of(spark: SparkSession, size: str):
-    """Pages are large rows: Arrow batches of few bytes keep a worker's memory to a page or two."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """Marks a written table of short rows for broadcast if its counted rows allow it."""
-    return F.broadcast(table) if table.count() <= BROADCAST_NODES else table
-
-
-def _doc_key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-
-
-def near_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, doc_key, n_shingles, component_id."""
-    texts = docs.select("doc_id", _doc_key().alias("doc_key"), "text")
-    featured = materialise(texts.select("doc_id", "doc_key", _size_udf(n)(F.col("text")).alias("f")).select("doc_id", "doc_key", "f.*"), "rtree-sizes")
-
-    # Exact copies: one node for each distinct set.
-    nodes = featured.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_key").alias("nid"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"))
-    nodes = materialise(nodes, "rtree-nodes")
-
-    # Fine groups with two sets or more: every other set gets an edge to the smallest one.
-    reps = materialise(nodes.select(F.col("nid").alias("doc_key")).distinct(), "rtree-reps")
-    keys = texts.join(_small(reps), "doc_key", "left_semi").select(F.col("doc_key").alias("nid"), F.explode(_keys_udf(n, pct)(F.col("text"))).alias("key"))
-    keys = keys.repartition("key")
-    stars = keys.select("nid", F.min("nid").over(W.partitionBy("key")).alias("first")).where("nid != first").distinct()
-    families = materialise(connected_components(stars.select(F.col("nid").alias("u"), F.col("first").alias("v"))), "rtree-families")
-
-    # Pages: by size within a family; their number follows from counts, no group is collected.
-    members = families.select(F.col("node").alias("nid"), F.col("component").alias("family")).join(nodes, "nid")
-    members = members.select("nid", "family", "digest", "size", F.floor(8 * F.log2("size")).cast("int").alias("band"))
-    members = materialise(members, "rtree-members")
-    room = F.greatest(F.lit(1), F.least(F.lit(PAGE_DOCS), F.lit(PAGE_SHINGLES) / F.max("size"))).cast("long")
-    bands = materialise(members.groupBy("family", "band").agg(F.ceil(F.count("*") / room).cast("long").alias("pages")), "rtree-bands")
-    members = lookup(members, bands, ["family", "band"], "nid", "inner").withColumn("page", F.pmod(F.xxhash64("nid"), F.col("pages")))
-    small = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles")).where((F.col("docs") <= PAGE_DOCS) & (F.col("shingles") <= PAGE_SHINGLES))
-    small = materialise(small.select("family", F.lit(True).alias("one")), "rtree-small")
-    members = lookup(members, small, ["family"], "nid", "left")
-    place = F.struct(F.when(F.col("one"), -1).otherwise(F.col("band")).alias("band"), F.when(F.col("one"), 0).otherwise(F.col("page")).alias("page"))
-    members = materialise(members.select(F.col("nid").alias("doc_key"), "family", "digest", "size", place.alias("place")), "rtree-places")
-
-    full = texts.join(_small(members), "doc_key").select("doc_key", "family", "place", "size", "digest", _point_udf(n)(F.col("text")).alias("s"))
-    full = full.where(F.col("digest") == F.col("s.digest"))
-    if featured.groupBy("doc_key", "digest").count().where("count > 1").limit(1).count():
-        full = full.dropDuplicates(["doc_key"])  # repeated rows
-    corner = F.array(*[F.max(F.col("s.point")[i]) for i in range(GROUPS)])
-    pages = full.groupBy("family", "place").agg(
-        F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("docs"), corner.alias("corner"), F.collect_list(F.struct(F.col("doc_key").alias("nid"), F.col("s.point").alias("point"), F.col("s.packed").alias("packed"))).alias("members")
+def _sum_of(a: Column, b: Column, of) -> Column:
+    return F.aggregate(F.zip_with(a, b, of), F.lit(0), lambda x, y: x + y)
+
+
+def _may_link(pct: int) -> Column:
+    """Whether two nodes, pages or points (columns of the second end in _b) may hold a link between two components."""
+    c = F.col
+    over = F.least(_sum_of(c("upper"), c("upper_b"), lambda x, y: F.least(x, y)), c("most"), c("most_b"))
+    gap = _sum_of(c("lower"), c("upper_b"), lambda x, y: F.greatest(x - y, F.lit(0))) + _sum_of(c("lower_b"), c("upper"), lambda x, y: F.greatest(x - y, F.lit(0)))
+    apart = (c("first") != c("last")) | (c("first_b") != c("last_b")) | (c("first") != c("first_b"))
+    return apart & ((100 + pct) * over >= pct * (c("least") + c("least_b"))) & ((100 + pct) * gap <= (100 - pct) * (c("most") + c("most_b")))
+
+
+_HEAD = ["least", "most", "first", "last", "lower", "upper"]
+
+
+def tree_pairs(pages: DataFrame, pct: int) -> DataFrame:
+    """Pairs of leaf pages (page, page_b) that the tree opens: pairs of nodes first, then of their pages."""
+    heads = materialise(pages.drop("members"), "rtree-heads")
+    corners = [F.array(*[f(F.col(x)[i]) for i in range(GROUPS)]).alias(x) for x, f in (("lower", F.min), ("upper", F.max))]
+    nodes = heads.groupBy("family", "node").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"), *corners)
+    nodes = materialise(nodes, "rtree-inner")
+    second = lambda df, *more: df.select("family", *[F.col(x).alias(f"{x}_b") for x in [*more, *_HEAD]])
+    opened = nodes.join(second(nodes, "node"), "family").where((F.col("node") <= F.col("node_b")) & _may_link(pct))
+    opened = materialise(opened.select("family", "node", "node_b"), "rtree-opened")
+    pairs = opened.join(heads.select("family", "node", "page", *_HEAD), ["family", "node"]).join(second(heads, "node", "page"), ["family", "node_b"])
+    pairs = pairs.where(((F.col("node") < F.col("node_b")) | (F.col("page") < F.col("page_b"))) & _may_link(pct))
+    return materialise(pairs.select("page", "page_b"), "rtree-pairs")
+
+
+def leaf_pages(members: DataFrame, page_docs: int = PAGE_DOCS, node_pages: int = NODE_PAGES) -> DataFrame:
+    """Leaf pages of members (family, bin, nid, component, size, point, text): a distributed sort-tile by total and group counts."""
+    band = F.floor(8 * F.log2("size")).cast("int")
+    # The first group counts in halves of the mean count.
+    tile = F.transform(F.slice("point", 1, 8), lambda x: F.floor(x * (2 * GROUPS) / F.col("size")).cast("int"))
+    order = ["family", "bin", "band", "tile", "nid"]
+    members = members.withColumns({"band": band, "tile": tile}).repartitionByRange(*order).sortWithinPartitions(*order)
+    with batches_of(members.sparkSession, "8m"):
+        return materialise(members.drop("band", "tile").mapInPandas(_tile(page_docs, node_pages), _PAGES), "rtree-pages")
+
+
+def page_joins(pages: DataFrame, n: int, pct: int) -> DataFrame:
+    """Links (u, v) within and between leaf pages that connect something new."""
+    within = pages.where("docs > 1 AND first != last").select("members")
+    content = pages.select("page", "members")
+    joined = tree_pairs(pages, pct).join(content, "page").select(F.col("page_b").alias("page"), F.col("members").alias("others")).join(content, "page")
+    with batches_of(pages.sparkSession, "8m"):
+        inner = materialise(within.mapInPandas(_links(n, pct), "u long, v long"), "rtree-links")
+        return inner.unionByName(materialise(joined.select("members", "others").mapInPandas(_links(n, pct), "u long, v long"), "rtree-links"))
+
+
+def _keys_of_row() -> list[Column]:
+    text_key = F.xxhash64("text")
+    return [F.coalesce(F.col("doc_id").cast("long"), text_key).alias("doc_key"), text_key.alias("text_key")]
+
+
+def _component(nodes: DataFrame, components: DataFrame, of: str, name: str) -> DataFrame:
+    """Adds the component of column ``of`` (itself, if nothing is joined to it) as column ``name``."""
+    return nodes.join(components.select(F.col("node").alias(of), F.col("component").alias("__c")), of, "left").withColumn(name, F.coalesce("__c", of)).drop("__c")
+
+
+def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int = PAGE_DOCS, node_pages: int = NODE_PAGES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, doc_key, text_key, n_shingles, component (null without shingles), component_id."""
+    texts = docs.select("doc_id", *_keys_of_row(), "text")
+    with batches_of(docs.sparkSession, "8m"):
+        featured = materialise(texts.select("doc_id", "doc_key", "text_key", _features_udf(n, pct)(F.col("text")).alias("f")).select("doc_id", "doc_key", "text_key", "f.*"), "rtree-keys")
+    nid = F.when(F.col("n_shingles") > 0, F.xxhash64("digest")).alias("nid")
+    rows = materialise(featured.select("doc_id", "doc_key", "text_key", "n_shingles", "digest", "point", nid), "rtree-rows")
+
+    # Keys with two sets or more, with their smallest set.
+    keys = featured.select(nid, F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where("hub != last").select("key", "hub")
+    shared = materialise(shared, "rtree-shared")
+    shared = materialise(keys.join(shared, "key").select("key", "nid", "hub"), "rtree-shared")
+    discard(featured)
+    stars = materialise(shared.where("nid != hub").select("nid", "hub").distinct(), "rtree-stars")
+
+    # Exact copies: one text for each distinct set that shares a key.
+    nodes = rows.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("nid").alias("nid"), F.min("doc_id").alias("least"), F.min(F.struct("doc_key", "text_key")).alias("r"), F.first("n_shingles").alias("size"), F.first("point").alias("point")
     )
-    pages = materialise(pages, "rtree-pages")
-
-    links = pages.where("docs > 1").select("members").mapInPandas(_within(n, pct), "u long, v long")
-    heads = pages.where("place.band >= 0").select("family", "place", "least", "most", "corner")
-    other = heads.select("family", F.col("place").alias("place_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.col("corner").alias("corner_b"))
-    bound = F.aggregate(F.zip_with("corner", "corner_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    bound = F.least(bound, "most", "most_b")  # the total count is a coordinate as well
-    pairs = heads.join(other, "family").where((F.col("place") < F.col("place_b")) & ((100 + pct) * bound >= pct * (F.col("least") + F.col("least_b"))))
-    pairs = materialise(pairs.select("family", "place", "place_b"), "rtree-pairs")
-    content = pages.where("place.band >= 0").select("family", "place", "members")
-    joined = pairs.join(content, ["family", "place"]).select("family", F.col("place_b").alias("place"), F.col("members").alias("others"))
-    joined = joined.join(content, ["family", "place"]).select("members", "others")
-    links = links.unionByName(joined.mapInPandas(_across(n, pct), "u long, v long"))
-
-    with _batches_of(docs.sparkSession, "8m"):
-        links = materialise(links, "rtree-links")
-    found = materialise(connected_components(links), "rtree-components")
-    nodes = nodes.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    nodes = materialise(nodes, "rtree-nodes")
-    ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = materialise(nodes.join(ids, "component").select("digest", "component_id"), "rtree-ids")
-    out = featured.select("doc_id", "doc_key", "n_shingles", "digest").join(nodes, "digest", "left")
-    return out.select("doc_id", "doc_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    nodes = materialise(nodes.select("digest", "nid", "least", "r.*", "size", "point"), "rtree-nodes")
+    met = materialise(stars.select("nid").union(stars.select("hub")).distinct(), "rtree-met")
+    wanted = materialise(nodes.join(met, "nid").select("doc_key", "text_key", "digest", "nid", "size", "point"), "rtree-wanted")
+    full = materialise(texts.join(wanted, ["doc_key", "text_key"]).select("digest", "nid", "size", "point", "text").dropDuplicates(["digest"]).drop("digest"), "rtree-texts")
+
+    # Every set against the hubs of its keys.
+    points = full.select("nid", F.col("size").alias("least"), F.col("size").alias("most"), F.col("nid").alias("first"), F.col("nid").alias("last"), F.col("point").alias("lower"), F.col("point").alias("upper"))
+    hubs = points.select(*[F.col(x).alias(f"{x}_b") for x in _HEAD], F.col("nid").alias("hub"))
+    near = materialise(stars.join(points, "nid").join(hubs, "hub").where(_may_link(pct)).select("nid", "hub"), "rtree-near")
+    near = near.join(full.select("nid", "text"), "nid").join(full.select(F.col("nid").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    with batches_of(docs.sparkSession, "8m"):
+        links = materialise(near.where(_similar_udf(n, pct)(F.col("text"), F.col("hub_text"))).select(F.col("nid").alias("u"), F.col("hub").alias("v")), "rtree-links")
+    twice = rows.where("doc_id IS NOT NULL AND nid IS NOT NULL").groupBy("doc_id").agg(F.min("nid").alias("v"), F.max("nid").alias("last")).where("v != last").select("doc_id", "v")
+    links = links.unionByName(rows.join(materialise(twice, "rtree-twice"), "doc_id").select(F.col("nid").alias("u"), "v"))
+    joined = materialise(connected_components(links), "rtree-joined")
+
+    # Keys whose sets are not all joined up: families of components, and the tree below each.
+    crossed = _component(_component(stars, joined, "nid", "u"), joined, "hub", "v").where("u != v")
+    crossed = materialise(crossed, "rtree-crossed")
+    families = materialise(connected_components(crossed.select("u", "v")), "rtree-families")
+    open_keys = materialise(shared.join(crossed.select("nid", "hub"), ["nid", "hub"], "left_semi").select("key").distinct(), "rtree-open")
+    members = _component(shared.join(open_keys, "key", "left_semi").select("nid").distinct(), joined, "nid", "component")
+    members = materialise(members.join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component"), "rtree-members")
+    large = materialise(members.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") >= OWN_PAGES).select("component", F.col("component").alias("bin")), "rtree-large")
+    members = members.join(large, "component", "left").select("family", F.coalesce("bin", F.lit(-1)).alias("bin"), "nid", "component").join(full, "nid")
+    found = page_joins(leaf_pages(members, page_docs, node_pages), n, pct)
+    found = _component(_component(found, joined, "u", "a"), joined, "v", "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = materialise(connected_components(found), "rtree-found")
+
+    nodes = materialise(_component(_component(nodes.select("nid", "least"), joined, "nid", "c"), found, "c", "component"), "rtree-ends")
+    ids = materialise(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "rtree-least")
+    ids = materialise(nodes.select("nid", "component").distinct().join(ids, "component"), "rtree-ids")
+    out = rows.select("doc_id", "doc_key", "text_key", "n_shingles", "nid").join(ids, "nid", "left")
+    return out.select("doc_id", "doc_key", "text_key", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest doc_id stays.
+    """The documents without near duplicates: of each component one row stays.
 
-    Repeated rows of that doc_id go too; rows with a null doc_id stay.
+    That is the row with the smallest doc_id, or in a component without any the one whose text has the smallest hash; its
+    repetitions go too. Documents without shingles stay.
     """
-    rows = materialise(near_components(docs, n, pct), "rtree-rows")
-    drop = materialise(rows.where("doc_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct(), "rtree-drop")
-    twice = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "rtree-twice")
-    left = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    if twice.limit(1).count():
-        again = left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-        left = left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
-    return left
+    rows = materialise(near_components(docs, n, pct).where("component IS NOT NULL"), "rtree-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_key", "text_key"))
+    kept = materialise(rows.groupBy("component").agg(best.alias("r"), F.count("*").alias("c")).where("c > 1").select("component", F.col("r.doc_key").alias("kept_key"), F.col("r.text_key").alias("kept_text")), "rtree-kept")
+    groups = materialise(rows.join(kept, "component").select("doc_key", "text_key", "kept_key", "kept_text"), "rtree-groups")
+    same = (F.col("doc_key") == F.col("kept_key")) & (F.col("text_key") == F.col("kept_text"))
+    drop = materialise(groups.where(~same).select(F.col("doc_key").alias("__doc"), F.col("text_key").alias("__text")).distinct(), "rtree-drop")
+    twice = groups.where(same).groupBy(F.col("doc_key").alias("__doc"), F.col("text_key").alias("__text")).count().where("count > 1").select("__doc", "__text")
+    twice = materialise(twice, "rtree-again")
+    doc, text = _keys_of_row()
+    keyed = docs.withColumns({"__doc": doc, "__text": text}).join(drop, ["__doc", "__text"], "left_anti")
+    again = keyed.join(twice, ["__doc", "__text"], "left_semi").dropDuplicates(["__doc", "__text"])
+    return keyed.join(twice, ["__doc", "__text"], "left_anti").unionByName(again).select(docs.columns)
 
 
 #: DuckDB form of the query with four-word shingles and 85 percent (unique doc_ids).

@@ -179,18 +179,61 @@ def test_near_join_equals_brute_force(spark):
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_rtree.near_components(df, n, pct).collect()), key=str)
         assert got == sorted(brute_components(docs, n, pct), key=str)
     left = ngram_rtree.keep_one(df, 4, 85)
-    want = {c for i, _, c in brute_components(docs, 4, 85) if i is not None}
+    want = [c for c in {c for i, k, c in brute_components(docs, 4, 85) if i is not None and k}] + [900, 901]
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(want)
     assert ngram_rtree.near_components(df.limit(0)).count() == 0
 
 
-def test_pages_across_a_large_family(spark, monkeypatch):
-    monkeypatch.setattr(ngram_rtree, "PAGE_DOCS", 4)
+def near_copies(rng, base, n, rate):
+    return [" ".join(w if rng.random() > rate else f"x{rng.random()}" for w in base) for _ in range(n)]
+
+
+def test_tree_below_a_large_family(spark, monkeypatch):
+    """Small pages, own pages and several nodes; copies that are partly linked to the hub and partly not."""
+    monkeypatch.setattr(ngram_rtree, "OWN_PAGES", 8)
     rng = random.Random(2)
-    base = [f"w{i}" for i in range(60)]
-    docs = [(i, " ".join(w if rng.random() > 0.02 else f"x{rng.random()}" for w in base)) for i in range(40)]
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_rtree.near_components(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80).collect())
-    assert got == sorted(brute_components(docs, 2, 80))
+    texts = near_copies(rng, [f"w{i}" for i in range(60)], 40, 0.02) + near_copies(rng, [f"v{i}" for i in range(90)], 40, 0.035)
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for page_docs, node_pages in ((4, 2), (2, 3)):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_rtree.near_components(df, 2, 80, page_docs, node_pages).collect())
+        assert got == sorted(brute_components(docs, 2, 80))
+
+
+def test_tree_prunes_without_loss(spark):
+    """One family of clusters in several sizes: the tree opens every pair of pages that holds a link, and few others."""
+    rng = random.Random(3)
+    docs = [t for k in range(12) for t in near_copies(rng, [f"c{k}.{i}" for i in range(rng.choice([100, 115, 130]))], 8, 0.004)]
+    rows = [(1, -1, i, i, len(s := ngram_rtree.shingle_set(t, 2)), ngram_rtree._point(s).tolist(), t) for i, t in enumerate(docs)]
+    members = spark.createDataFrame(rows, "family long, bin long, nid long, component long, size long, point array<int>, text string")
+    pages = ngram_rtree.leaf_pages(members, page_docs=4, node_pages=2)
+    page_of = {m.nid: p.page for p in pages.collect() for m in p.members}
+    opened = {frozenset((r.page, r.page_b)) for r in ngram_rtree.tree_pairs(pages, 85).collect()}
+    sets = [ngram_rtree.shingle_set(t, 2) for t in docs]
+    linked = {frozenset((page_of[a], page_of[b])) for a in range(len(docs)) for b in range(a) if ngram_rtree._similar(sets[a], sets[b], 85)}
+    n = len(set(page_of.values()))
+    assert n >= 24 and {x for x in linked if len(x) == 2} <= opened and len(opened) < 0.4 * n * (n - 1) / 2
+
+
+def test_one_doc_id_with_two_texts_beside_a_repeated_row(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"{k}{i}" for i in range(80)] for k in "abc")
+    a2, b2, c2 = (" ".join([*x[:-1], "other"]) for x in (a, b, c))
+    a, b, c = map(" ".join, (a, b, c))
+    docs = [(2, b), (2, c), (3, b2), (4, c2), (1, a), (1, a), (9, a2), (None, a2), (None, "no copy of anything"), (None, "no copy of anything")]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_rtree.near_components(df, 4, 85).collect()), key=str)
+    assert got == sorted(brute_components(docs, 4, 85), key=str)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_rtree.keep_one(df, 4, 85).collect()), key=str)
+    assert [x for x in kept if x[0] != 2] == [(1, a), (None, "no copy of anything")] and [x[0] for x in kept].count(2) == 1 and len(kept) == 3
+
+
+def test_long_text_of_distinct_words(spark):
+    words = [f"w{i}" for i in range(50_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-500])), (3, " ".join(words[25_000:])), (4, "short")]
+    got = {r.doc_id: r.component_id for r in ngram_rtree.near_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_plan_uses_up_the_histogram():
