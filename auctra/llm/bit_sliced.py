@@ -27,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from auctra.llm.common import materialise
 
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 128
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,6 +54,7 @@ class Slices:
         order = np.argsort(ids, kind="stable")
         self.ids, self.v = ids[order], v[order]
         self.low = self.v.min(0)
+        self.high = [max(-a, b) for a, b in zip(self.low.tolist(), self.v.max(0).tolist())]
         above = (self.v - self.low).T
         self.bits = [int(x).bit_length() for x in above.max(1)]
         self.slices = [_bitmap(np.array([(a >> b) & 1 for b in range(n)], bool).reshape(n, len(ids))) for a, n in zip(above, self.bits)]
@@ -96,6 +97,8 @@ class Slices:
 
     def top(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (id, score), the smaller ids where scores tie at the boundary."""
+        if sum(abs(x) * y for x, y in zip(q.tolist(), self.high)) >= 2**63:
+            raise OverflowError("inner products beyond 64 bits")
         tied = self.valid.copy()
         for i in range(*np.searchsorted(self.ids, [own, own + 1]).tolist()):
             tied[i // 64] &= ~np.uint64(1 << (i % 64))
