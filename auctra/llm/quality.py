@@ -1,8 +1,9 @@
 """Operator 6, quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Every text gets counts, then a vector of four transformed statistics. Per language and source the
-minimum-covariance-determinant estimate of centre and scatter is found by concentration steps that
-run as Spark aggregations over all rows; a document is rejected if its squared Mahalanobis
+minimum-covariance-determinant estimate of centre and scatter is searched from three deterministic starts
+(quartiles, moments, spatial signs): concentration steps, Spark aggregations over all rows, go on from each as long as its
+determinant falls, and the end with the smallest determinant counts. A document is rejected if its squared Mahalanobis
 distance exceeds a chi-square quantile.
 
 Defined results: a null or empty text has no words and fails the base rules. Null languages and
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from auctra.llm.common import WORD_PATTERN, lookup, materialise
+from auctra.llm.common import WORD_PATTERN, batches_of, lookup, materialise
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -44,7 +45,8 @@ FLOORS = (0.04, 0.3, 0.2, 0.6)
 
 #: Share of a group in the concentrated half.
 ALPHA = 0.75
-STEPS = 6
+#: Concentration steps at most; a search ends when its determinant no longer falls, after some 5 to 10.
+STEPS = 50
 MIN_ROWS = 100
 #: Probability that a clean, normal document is rejected.
 TAIL = 1e-4
@@ -116,24 +118,47 @@ def _distance(v: Column) -> Column:
     return sum(((1 if i == j else 2) * F.col("inverse")[k] * d[i] * d[j] for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def _estimates(batches):
-    """From sums over the concentrated rows: centre and inverse of the corrected scatter."""
-    fix = ALPHA / chi2_cdf(chi2_quantile(1 - ALPHA, DIM), DIM + 2)
-    ridge = np.diag([(UNIT * x) ** 2 for x in FLOORS])
+_RIDGE = np.diag([(UNIT * x) ** 2 for x in FLOORS])
+
+
+def _square(values) -> np.ndarray:
+    m = np.zeros((DIM, DIM))
+    for (i, j), x in zip(PAIRS, values):
+        m[i, j] = m[j, i] = x
+    return m
+
+
+def _upper(m: np.ndarray) -> list[float]:
+    return [float(m[i, j]) for i, j in PAIRS]
+
+
+def _estimates(fix: float):
+    """From sums over rows: centre, inverse of the corrected scatter, logarithm of its determinant."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for w, s, ss in zip(pdf["w"], pdf["s"], pdf["ss"]):
+                m = np.asarray(s, float) / w
+                cov = fix * (_square(np.asarray(ss, float) / w) - np.outer(m, m)) + _RIDGE
+                rows.append((m.tolist(), _upper(np.linalg.inv(cov)), float(np.linalg.slogdet(cov)[1])))
+            yield pdf[["g_lang", "g_source", "start", "n"]].assign(**dict(zip(("centre", "inverse", "logdet"), map(list, zip(*rows)))) if rows else {"centre": [], "inverse": [], "logdet": []})
+
+    return run
+
+
+def _from_signs(batches):
+    """From sums over directions (whole numbers of 1/UNIT): the scatter of the signs in the units of the quartile start."""
     for pdf in batches:
-        centres, inverses = [], []
-        for w, s, ss in zip(pdf["w"], pdf["s"], pdf["ss"]):
-            m = np.asarray(s, float) / w
-            cov = np.zeros((DIM, DIM))
-            for (i, j), x in zip(PAIRS, ss):
-                cov[i, j] = cov[j, i] = x / w - m[i] * m[j]
-            inv = np.linalg.inv(fix * cov + ridge)
-            centres.append(m.tolist())
-            inverses.append([float(inv[i, j]) for i, j in PAIRS])
-        yield pdf[["g_lang", "g_source", "n"]].assign(centre=centres, inverse=inverses)
+        inverses = []
+        for w, ss, inverse in zip(pdf["w"], pdf["ss"], pdf["inverse"]):
+            sd = 1 / np.sqrt(np.diag(_square(inverse)))
+            signs = DIM * _square(np.asarray(ss, float) / w) / UNIT**2
+            inverses.append(_upper(np.linalg.inv(signs * np.outer(sd, sd) + _RIDGE)))
+        yield pdf[["g_lang", "g_source", "start", "n", "centre"]].assign(inverse=inverses, logdet=float("inf"))
 
 
-_PARAMS = "g_lang string, g_source string, n long, centre array<double>, inverse array<double>"
+_PARAMS = "g_lang string, g_source string, start int, n long, centre array<double>, inverse array<double>, logdet double"
 
 
 def _sums() -> list[Column]:
@@ -173,7 +198,27 @@ def fit(counted: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS) -> tup
     groups = materialise(groups.groupBy("q_lang", "q_source").agg(F.min_by(F.struct("g_lang", "g_source"), fine).alias("g")).select("q_lang", "q_source", "g.*"), "mcd-groups")
     cells = materialise(cells.groupBy("g_lang", "g_source", "v").agg(F.sum("w").alias("w")), "mcd-cells")
 
-    # Start: medians and scaled quartile ranges of each statistic.
+    params = _starts(cells, total)
+    while True:
+        step = materialise(_concentrated(cells, params.where("fell")).mapInPandas(_estimates(ALPHA / chi2_cdf(chi2_quantile(1 - ALPHA, DIM), DIM + 2)), _PARAMS), "mcd-step")
+        new = step.select(*_SEARCH, F.struct("centre", "inverse", "logdet").alias("new"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - 1e-9, F.lit(False))
+        better = lambda c: F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
+        params = params.join(new, _SEARCH, "left").select(*_SEARCH, "n", better("centre"), better("inverse"), better("logdet"), falls.alias("fell"))
+        params = materialise(params, "mcd-params")
+        steps -= 1
+        if not steps or not params.where("fell").limit(1).count():
+            break
+    least = F.min_by(F.struct("n", "centre", "inverse"), F.struct("logdet", "start"))
+    return groups, materialise(params.groupBy("g_lang", "g_source").agg(least.alias("p")).select("g_lang", "g_source", "p.*"), "mcd-best")
+
+
+_SEARCH = ["g_lang", "g_source", "start"]
+
+
+def _starts(cells: DataFrame, total: DataFrame) -> DataFrame:
+    """The three starts of every group."""
+    # Medians and scaled quartile ranges of each statistic.
     values = cells.select("g_lang", "g_source", "w", F.posexplode("v").alias("k", "x")).groupBy("g_lang", "g_source", "k", "x").agg(F.sum("w").alias("w"))
     below = W.partitionBy("g_lang", "g_source", "k").orderBy("x")
     whole = W.partitionBy("g_lang", "g_source", "k")
@@ -182,25 +227,39 @@ def fit(counted: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS) -> tup
     start = values.groupBy("g_lang", "g_source", "k").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"))
     pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     flat = lambda k: 1 / (pick("sd", k) * pick("sd", k) + (UNIT * FLOORS[k]) ** 2)
-    params = (
+    quartiles = (
         start.groupBy("g_lang", "g_source")
         .agg(F.array(*[pick("mid", k) for k in range(DIM)]).alias("centre"), F.array(*[flat(i) if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"))
         .join(total, ["g_lang", "g_source"])
-        .select("g_lang", "g_source", "n", "centre", "inverse")
+        .select("g_lang", "g_source", F.lit(0).alias("start"), "n", "centre", "inverse", F.lit(float("inf")).alias("logdet"))
+    )
+    quartiles = materialise(quartiles, "mcd-start")
+    # Mean and covariance of all rows.
+    moments = cells.groupBy("g_lang", "g_source").agg(*_sums()).join(total, ["g_lang", "g_source"]).withColumn("start", F.lit(1))
+    moments = moments.mapInPandas(_estimates(1.0), _PARAMS).withColumn("logdet", F.lit(float("inf")))
+    # Directions from the median, in units of the quartile ranges.
+    near = lookup(cells.withColumn("spread", F.xxhash64("v")), quartiles, ["g_lang", "g_source"], "spread", "inner")
+    z = F.array(*[(F.col("v")[i] - F.col("centre")[i]) * F.sqrt(F.col("inverse")[PAIRS.index((i, i))]) for i in range(DIM)])
+    length = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))
+    near = near.withColumn("z", z).withColumn("length", length)
+    near = near.withColumn("v", F.transform("z", lambda x: F.coalesce(F.round(UNIT * F.try_divide(x, F.col("length"))), F.lit(0.0)).cast("long")))
+    signs = near.groupBy("g_lang", "g_source").agg(*_sums()).join(quartiles, ["g_lang", "g_source"]).withColumn("start", F.lit(2)).mapInPandas(_from_signs, _PARAMS)
+    return materialise(quartiles.unionByName(moments).unionByName(signs).withColumn("fell", F.lit(True)), "mcd-params")
+
+
+def _concentrated(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """Sums over the rows nearest to each estimate.
+
+    Buckets of distance (1/128 of a doubling) stand for its exact order; the last bucket
+    that the half reaches into is taken whole.
+    """
+    near = lookup(cells.withColumn("spread", F.xxhash64("v")), params, ["g_lang", "g_source"], "spread", "inner")
+    near = near.groupBy(*_SEARCH, "n", F.floor(128 * F.log2(1 + _distance(F.col("v")))).alias("b")).agg(*_sums())
+    cum = W.partitionBy(*_SEARCH).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    near = near.withColumn("before", F.coalesce(F.sum("w").over(cum), F.lit(0))).where(F.col("before") < F.ceil(ALPHA * F.col("n")))
+    return near.groupBy(*_SEARCH, "n").agg(
+        F.sum("w").alias("w"), F.array(*[F.sum(F.col("s")[i]) for i in range(DIM)]).alias("s"), F.array(*[F.sum(F.col("ss")[k]) for k in range(len(PAIRS))]).alias("ss")
     )
-    params = materialise(params, "mcd-params")
-    for _ in range(steps):
-        near = lookup(cells.withColumn("spread", F.xxhash64("v")), params, ["g_lang", "g_source"], "spread", "inner")
-        # Buckets of distance (1/128 of a doubling) stand for its exact order; the last bucket
-        # that the half reaches into is taken whole.
-        near = near.groupBy("g_lang", "g_source", "n", F.floor(128 * F.log2(1 + _distance(F.col("v")))).alias("b")).agg(*_sums())
-        cum = W.partitionBy("g_lang", "g_source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-        near = near.withColumn("before", F.coalesce(F.sum("w").over(cum), F.lit(0))).where(F.col("before") < F.ceil(ALPHA * F.col("n")))
-        near = near.groupBy("g_lang", "g_source", "n").agg(
-            F.sum("w").alias("w"), F.array(*[F.sum(F.col("s")[i]) for i in range(DIM)]).alias("s"), F.array(*[F.sum(F.col("ss")[k]) for k in range(len(PAIRS))]).alias("ss")
-        )
-        params = materialise(near.mapInPandas(_estimates, _PARAMS), "mcd-params")
-    return groups, params
 
 
 def score(counted: DataFrame, groups: DataFrame, params: DataFrame, tail: float = TAIL) -> DataFrame:
@@ -213,14 +272,19 @@ def score(counted: DataFrame, groups: DataFrame, params: DataFrame, tail: float
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= chi2_quantile(tail, DIM)))).drop("centre", "inverse")
 
 
+def _counted(docs: DataFrame, *columns) -> DataFrame:
+    """A written table of the columns and the counts of each text."""
+    with batches_of(docs.sparkSession, "8m"):
+        return materialise(docs.select(*columns, "lang", "source", text_counts(F.col("text")).alias("counts")), "counts")
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, lang, source, counts, base_failed, distance2, kept."""
-    counted = materialise(docs.select("doc_id", "lang", "source", text_counts(F.col("text")).alias("counts")), "counts")
+    counted = _counted(docs, "doc_id")
     return score(counted, *fit(counted))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    counted = docs.select(F.struct("*").alias("doc"), "lang", "source", text_counts(F.col("text")).alias("counts"))
-    groups, params = fit(materialise(counted.drop("doc"), "counts"))
-    return score(counted, groups, params).where("kept").select("doc.*")
+    """The documents that pass, with their own columns. Texts are counted once and written beside their counts."""
+    counted = _counted(docs, F.struct("*").alias("doc"))
+    return score(counted, *fit(counted.drop("doc"))).where("kept").select("doc.*")
