@@ -214,9 +214,9 @@ def display_entry(name, rubric, brands: list[str] | None = None) -> Column:
 
 
 def chart_category(usage) -> Column:
-    """First rubric of a usage text; parcel logistics are pick-up points."""
+    """First rubric of a usage text; the rubric of parcel services counts as pick-up points."""
     first = F.trim(F.split(F.split(_col(usage), "->")[0], ",")[0])
-    return F.when(F.lower(first).contains("почта") | F.lower(first).contains("логистич"), "Пункты выдачи").otherwise(first)
+    return F.when(first == V.PICKUP_RUBRIC, V.PICKUP_CATEGORY).otherwise(first)
 
 
 def is_implausible(name, usage, ruleset: str = "match") -> Column:

@@ -60,6 +60,9 @@ def cells_around(lat, lon, radius_m: float) -> Column:
 
     def of_row(r: Column) -> Column:
         w = _lon_step(r, step)
-        return F.transform(F.sequence(F.floor((_c(lon) - w) / w), F.floor((_c(lon) + w) / w)), lambda x: F.struct(r.alias("y"), x.alias("x")))
+        # Beyond the 180th meridian the cells go on at the other end.
+        turns = F.filter(F.array(*[F.lit(t) for t in (0.0, -360.0, 360.0)]), lambda t: (t == 0) | F.abs(_c(lon) + t).between(0, 180 + w))
+        xs = F.flatten(F.transform(turns, lambda t: F.sequence(F.floor((_c(lon) + t - w) / w), F.floor((_c(lon) + t + w) / w))))
+        return F.transform(F.array_distinct(xs), lambda x: F.struct(r.alias("y"), x.alias("x")))
 
     return F.flatten(F.transform(F.sequence(row - 1, row + 1), of_row))

@@ -112,6 +112,21 @@ RETAIL_CATEGORIES = [
 ]
 ALCOHOL_CATEGORY = "Алкомаркеты"
 
+#: The rubric that charts show as pick-up points.
+PICKUP_RUBRIC, PICKUP_CATEGORY = "Грузоперевозки / Транспортные услуги", "Маркетплейсы (ПВЗ)"
+#: Words by which a chain asks for the first floor.
+FIRST_FLOOR_WORDS = "1 этаж|первый этаж|1-ом|1-й|1 эт"
+#: Parts of an entrance text and their kind, first hit wins.
+ENTRY_KINDS = [("отдель", "street"), ("подъезд", "hallway"), ("места общего пользования", "common"), ("иную собственность", "shared")]
+#: Headings of suggested uses, in the order of their rules; then the general ones and the filler.
+USES = [
+    "Пункт выдачи заказов и микро-ритейл", "Кафе, кофейня to-go или пекарня", "Клиентский офис или сервисный центр", "Образовательная площадка или детский клуб",
+    "Фитнес, йога или танцевальная студия", "Мастерские, студии или бэк-офис", "Кабинеты услуг по записи", "Шоурум маркетплейса или демонстрационный зал",
+    "Мультимедийные/креативные студии", "Фуд-маркет локального масштаба или гастропарк",
+]
+GENERAL_USES = ["Гибкий склад-офис для e-commerce", "Социальные сервисы", "Частная клиника или стоматология", "IT- или цифровой кампус"]
+FILLER_USE = "Многофункциональная площадка с гибким графиком"
+
 #: Entrance in any source vocabulary -> label.
 ENTRANCES = {
     "отдельный": "отдельный", "общий": "общий",

@@ -86,16 +86,16 @@ def match_class(confidence: str = "confidence") -> Column:
 
 
 def use_suggestions(df: DataFrame, n: int = 5) -> DataFrame:
-    """First n uses that fit area, floor_label and entrance, padded by general ones."""
-    a, street = F.col("area"), F.coalesce(F.lower("entrance").contains("отдельн"), F.lit(False))
-    low = F.col("floor_label").isin("Подвал", "Цоколь")
-    ground = F.col("floor_label") == "1 этаж"
+    """First n uses that fit area, floor_label and entrance, in the order of the rules, padded by general ones."""
+    a, basement, cellar = F.col("area"), F.col("floor_label") == "Подвал", F.col("floor_label") == "Цоколь"
+    kind = C.first_hit(F.lower("entrance"), V.ENTRY_KINDS)
+    no = lambda c: F.coalesce(c, F.lit(False))
     rules = [
-        F.when(ground & street & a.between(30, 150), "пункт выдачи заказов"), F.when(ground & street & a.between(40, 200), "кофейня или кафе"), F.when(ground & street & (a >= 150), "магазин у дома"),
-        F.when(ground & a.between(15, 80), "салон красоты"), F.when(low & (a >= 100), "фитнес-студия"), F.when(low & (a < 100), "мастерская или склад"), F.when(low, "кладовые помещения"), F.when(~low & (a >= 100), "офис"),
-        F.when(~low & (a < 100), "небольшой офис"), F.lit("студия или кабинет"), F.lit("учебный класс"), F.lit("шоурум"), F.lit("сервисная точка"), F.lit("хранение"),
+        a <= 60, a.between(40, 140) & (kind == "street"), a >= 80, (a >= 120) & ~no(basement), a >= 200, no(basement) | no(cellar),
+        (a <= 120) & kind.isin("hallway", "common", "shared"), a.between(60, 200), a >= 90, a > 250,
     ]
-    return df.withColumn("suggestions", F.slice(F.array_distinct(F.array_compact(F.array(*rules))), 1, n))
+    fit = [F.when(no(c), use) for c, use in zip(rules, V.USES)]
+    return df.withColumn("suggestions", F.slice(F.array_compact(F.array(*fit, *[F.lit(x) for x in [*V.GENERAL_USES, V.FILLER_USE]])), 1, n))
 
 
 def value_lots(df: DataFrame, alpha: float = 0.0, mape: float = 0.284) -> DataFrame:

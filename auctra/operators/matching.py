@@ -17,18 +17,20 @@ from auctra.functions.geo import haversine_m
 from auctra.operators.similarity import name_similarity
 from auctra.operators.spatial import radius_join
 from auctra.operators.stats import ordered_preview, previous_snapshot, top_per_group
+from auctra.tables import materialise
 
 GOOD = ["high", "medium"]
 
 
 def new_orgs(snapshots: DataFrame, key: str = "address_name", canonical_key: bool = False) -> DataFrame:
     """Organisations of each snapshot that the snapshot before did not have; the first snapshot has none."""
-    address = "address_canon" if canonical_key else "address_norm"
-    k = F.xxhash64("org_id") if key == "id" else F.xxhash64(address, F.lower("org_name"))
-    rows = snapshots.withColumn("k", k)
-    before = rows.select(F.col("snapshot_label").alias("previous_label"), "k").distinct()
+    keys = [F.col("org_id")] if key == "id" else [F.col("address_canon" if canonical_key else "address_norm"), F.lower("org_name")]
+    before = snapshots.select(F.col("snapshot_label").alias("b_label"), *[k.alias(f"b_{i}") for i, k in enumerate(keys)]).distinct()
     labels = previous_snapshot(snapshots).where("previous_label IS NOT NULL")
-    return rows.join(F.broadcast(labels), "snapshot_label").join(before, ["previous_label", "k"], "left_anti").drop("k")
+    same = F.col("previous_label") == F.col("b_label")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"b_{i}"))
+    return snapshots.join(F.broadcast(labels), "snapshot_label").join(before, same, "left_anti")  # one row a snapshot
 
 
 def eligible_lots(lots: DataFrame, matches: DataFrame | None = None, skip_windows: list[str] = ("180-365d",)) -> DataFrame:
@@ -43,7 +45,11 @@ def match_candidates(lots: DataFrame, orgs: DataFrame, min_days: int = 0, max_da
     """Plausible new organisations at a lot's address in a window of days after the sale."""
     o = orgs.select(F.col(address), "snapshot_label", "snapshot_date", "org_id", "org_name", C.usage_text("rubric", "subrubric").alias("usage"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
     o = o.where(~C.is_implausible("org_name", "usage"))
-    pairs = lots.select("lot_id", "sale_date", "lat", "lon", F.col(address)).join(o, address)
+    # Joined by address and month of the snapshot, so that only pairs of the window meet.
+    month = lambda d: F.trunc(d, "month")
+    months = F.sequence(month(F.date_add("sale_date", min_days)), month(F.date_add("sale_date", max_days)), F.expr("INTERVAL 1 MONTH"))
+    near = lots.select("lot_id", "sale_date", "lat", "lon", F.col(address), F.explode(months).alias("month"))
+    pairs = near.join(o.withColumn("month", month(F.col("snapshot_date"))), [address, "month"]).drop("month")
     pairs = pairs.withColumn("after_days", C.after_days("sale_date", "snapshot_date")).where(F.col("after_days").between(min_days, max_days))
     pairs = pairs.withColumn("distance_m", haversine_m("lat", "lon", "o_lat", "o_lon")).where(F.col("distance_m") <= max_m)
     return pairs.withColumn("band", C.distance_band("distance_m")).withColumn("company", C.company_name("org_name"))
@@ -79,6 +85,14 @@ def best_per_lot(best: DataFrame) -> DataFrame:
     return top_per_group(best, ["lot_id"], ["after_days", C.confidence_rank("confidence"), "snapshot_label"]).drop("rank")
 
 
+def best_match_of_lots(candidates: DataFrame, previews: int = 5) -> DataFrame:
+    """``best_per_lot`` of ``best_matches``; the snapshot is chosen from counts first, so only its candidates are ranked."""
+    heads = candidates.groupBy("lot_id", "snapshot_label").agg(F.count("*").alias("n"), F.min("after_days").alias("after_days"), F.min("distance_m").alias("distance_m"))
+    heads = heads.withColumn("confidence", C.confidence("n", C.distance_band("distance_m")))
+    chosen = materialise(best_per_lot(heads).select("lot_id", "snapshot_label"), "chosen")
+    return best_matches(candidates.join(chosen, ["lot_id", "snapshot_label"], "left_semi"), previews)
+
+
 def first_seen(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("org_id").agg(F.min("snapshot_date").alias("first_seen"))
 
@@ -127,16 +141,23 @@ def presale_distribution(hits: DataFrame) -> DataFrame:
 
 
 def tenant_buyout(lots: DataFrame, snapshots: DataFrame, radius_m: float = 50, before: int = 3, after: int = 1) -> DataFrame:
-    """Businesses near a lot that are in ``before`` snapshots up to the sale date and ``after`` later ones."""
-    s = snapshots.select("snapshot_label", "snapshot_date", C.company_name("org_name", V.HISTORY_ALIASES).alias("name"), C.usage_text("rubric", "subrubric").alias("usage"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    pairs = radius_join(lots.select("lot_id", "sale_date", "lat", "lon"), s, radius_m, right_at=("s_lat", "s_lon"))
-    old = F.col("snapshot_date") <= F.col("sale_date")
-    out = pairs.groupBy("lot_id", "name").agg(
-        F.count_distinct(F.when(old, F.col("snapshot_label"))).alias("n_before"), F.count_distinct(F.when(~old, F.col("snapshot_label"))).alias("n_after"),
-        F.min("snapshot_label").alias("first_seen"), F.max("snapshot_label").alias("last_seen"),
-        F.min(F.struct("distance_m", "usage")).alias("near"), F.array_sort(F.collect_set("snapshot_label")).alias("labels"),
+    """Businesses near a lot that are in ``before`` snapshots up to the sale date and ``after`` later ones.
+
+    A business is its name in lower case; name and usage are those of the nearest entry. Snapshots are brought
+    together by place before the distance join.
+    """
+    s = snapshots.select("snapshot_label", "snapshot_date", F.trim("org_name").alias("name"), C.usage_text("rubric", "subrubric").alias("usage"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    s = s.where(~C.is_implausible("name", "usage")).withColumn("key", F.lower("name")).where("key != ''")
+    places = s.groupBy("key", "s_lat", "s_lon").agg(F.collect_set(F.struct("snapshot_date", "snapshot_label")).alias("seen"), F.min(F.struct("name", "usage")).alias("shown"))
+    pairs = radius_join(lots.select("lot_id", "sale_date", "lat", "lon"), places, radius_m, right_at=("s_lat", "s_lon"))
+    out = pairs.groupBy("lot_id", "sale_date", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"), F.min(F.struct("distance_m", "shown")).alias("near"))
+    labels = lambda cond: F.transform(F.filter("seen", cond), lambda x: x["snapshot_label"])
+    out = out.withColumn("before_labels", labels(lambda x: x["snapshot_date"] <= F.col("sale_date"))).withColumn("after_labels", labels(lambda x: x["snapshot_date"] > F.col("sale_date")))
+    out = out.where((F.size("before_labels") >= before) & (F.size("after_labels") >= after))
+    return out.select(
+        "lot_id", F.col("near.shown.name").alias("name"), F.col("near.shown.usage").alias("usage"), F.col("near.distance_m").alias("distance_m"), F.size("before_labels").alias("n_before"), F.size("after_labels").alias("n_after"),
+        F.col("seen")[0]["snapshot_date"].alias("first_seen"), F.element_at("seen", -1)["snapshot_date"].alias("last_seen"), "before_labels", "after_labels",
     )
-    return out.where((F.col("n_before") >= before) & (F.col("n_after") >= after)).select("lot_id", "name", "n_before", "n_after", "first_seen", "last_seen", F.col("near.distance_m").alias("distance_m"), F.col("near.usage").alias("usage"), "labels")
 
 
 def buyout_summary(buyout: DataFrame, lots: DataFrame) -> DataFrame:
@@ -146,25 +167,40 @@ def buyout_summary(buyout: DataFrame, lots: DataFrame) -> DataFrame:
 
 
 def business_history(lots: DataFrame, snapshots: DataFrame, max_m: float = 250) -> DataFrame:
-    """Per (lot, business) first and last snapshot and whether it is in the newest one; aggregated before any list is made."""
+    """Per (lot, business) first and last snapshot, whether it is in the newest one, and its entries then and now.
+
+    A business is its canonical name in lower case; what is no tenant is left out. Snapshots are brought together by place before
+    they meet the lots. Of several entries in one snapshot the first in text order is the entry, the last the current one.
+    """
     newest = snapshots.agg(F.max("snapshot_label").alias("newest"))
-    s = snapshots.select("address_canon", "snapshot_label", C.company_name("org_name", V.HISTORY_ALIASES).alias("name"), F.col("rubric"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    pairs = lots.select("lot_id", "address_canon", "lat", "lon").join(s, "address_canon").where(haversine_m("lat", "lon", "s_lat", "s_lon") <= max_m)
-    rows = pairs.groupBy("lot_id", "name").agg(F.min("snapshot_label").alias("first_seen"), F.max("snapshot_label").alias("last_seen"), F.min(F.struct("snapshot_label", "rubric"))["rubric"].alias("rubric"))
-    rows = rows.join(F.broadcast(newest), F.lit(True), "left")  # one row
-    return rows.withColumn("current", F.col("last_seen") == F.col("newest")).withColumn("entry", C.display_entry("name", "rubric")).drop("newest")
+    s = snapshots.where(~C.is_implausible("org_name", C.usage_text("rubric", "subrubric")))
+    s = s.select("address_canon", "snapshot_label", C.company_name("org_name", V.HISTORY_ALIASES).alias("name"), "rubric", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    s = s.select("address_canon", "snapshot_label", F.lower("name").alias("key"), C.display_entry("name", "rubric").alias("entry"), "s_lat", "s_lon")
+    seen = F.struct("snapshot_label", "entry")
+    places = s.groupBy("address_canon", "key", "s_lat", "s_lon").agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
+    pairs = lots.select("lot_id", "address_canon", "lat", "lon").join(places, "address_canon").where(haversine_m("lat", "lon", "s_lat", "s_lon") <= max_m)
+    rows = pairs.groupBy("lot_id", "key").agg(F.min("first").alias("first"), F.max("last").alias("last")).join(F.broadcast(newest), F.lit(True), "left")  # one row
+    current = F.col("last.snapshot_label") == F.col("newest")
+    return rows.select("lot_id", "key", F.col("first.entry").alias("entry"), F.when(current, F.col("last.entry")).alias("now_entry"), F.col("first.snapshot_label").alias("first_seen"), F.col("last.snapshot_label").alias("last_seen"), current.alias("current"))
+
+
+def history_lists(history: DataFrame) -> DataFrame:
+    """Per lot: all, current and gone businesses, each in text order."""
+    pick = lambda c: F.array_join(F.array_sort(F.collect_list(c)), " | ")
+    gone = F.when(~F.col("current"), F.col("entry"))
+    return history.groupBy("lot_id").agg(pick("entry").alias("all"), pick("now_entry").alias("now"), pick(gone).alias("gone"), F.count("*").alias("n_all"), F.count_if("current").alias("n_now"))
 
 
-def history_lists(history: DataFrame, n: int = 50) -> DataFrame:
-    """Per lot: previews of all, current and gone businesses."""
-    pick = lambda cond: ordered_preview(F.when(cond, F.col("entry")), F.col("first_seen"), n)
-    return history.groupBy("lot_id").agg(pick(F.lit(True)).alias("all"), pick(F.col("current")).alias("now"), pick(~F.col("current")).alias("gone"), F.count("*").alias("n_all"), F.count_if("current").alias("n_now"))
+def entry_category(entry) -> Column:
+    """What stands in the last brackets at the end of an entry, else the entry."""
+    c = F.col(entry) if isinstance(entry, str) else entry
+    return F.when(c.endswith(")") & c.contains("("), F.trim(F.regexp_extract(c, r"\(([^(]*)\)$", 1))).otherwise(c)
 
 
 def category_survival(history: DataFrame, min_total: int = 50, n: int = 5) -> DataFrame:
     """Share of businesses of a category that are still there; the best and worst n."""
-    cat = F.trim(F.split("rubric", ",")[0])
-    stats = history.where(C.blank_to_null("rubric").isNotNull()).groupBy(cat.alias("category")).agg(F.count_if("current").alias("now"), F.count_if(~F.col("current")).alias("gone"))
+    shown = F.coalesce("now_entry", "entry")
+    stats = history.groupBy(entry_category(shown).alias("category")).agg(F.count_if("current").alias("now"), F.count_if(~F.col("current")).alias("gone"))
     stats = stats.where(F.col("now") + F.col("gone") >= min_total).withColumn("survival", F.col("now") / (F.col("now") + F.col("gone")) * 100)
     return stats.orderBy(F.desc("survival"), "category").limit(n).withColumn("end", F.lit("best")).unionByName(stats.orderBy("survival", "category").limit(n).withColumn("end", F.lit("worst")))
 
@@ -179,17 +215,25 @@ def likely_usage(candidates: DataFrame, n: int = 3) -> DataFrame:
 # Retail chains
 
 
+def _area_class(c) -> Column:
+    """Eighths of doublings of an area, from 0 (1 m² and less) to 160 (a million and more)."""
+    return F.least(F.greatest(F.floor(8 * F.log2(F.greatest(c, F.lit(1.0)))), F.lit(0)), F.lit(160)).cast("int")
+
+
 def match_chains(lots: DataFrame, chains: DataFrame) -> DataFrame:
     """Lots (area, floor_label, separate, near_school) and chains whose area range, floors, entrance and school rule fit.
 
-    Chains are a short list of requirements; the theta join emits matches only.
+    Joined by classes of the area; a chain is in every class that its range touches. A lot without an area fits none.
     """
-    c = chains.withColumn("f", C.chain_floor_flags("floor")).select(F.col("name").alias("chain"), "category", "area_min_m2", "area_max_m2", "separate_entrance", "f")
-    area = F.coalesce(F.col("area") >= F.col("area_min_m2"), F.col("area").isNotNull()) & F.coalesce(F.col("area") <= F.col("area_max_m2"), F.lit(True))
+    lo, hi = F.coalesce("area_min_m2", F.lit(0.0)), F.coalesce("area_max_m2", F.lit(float("inf")))
+    c = chains.where(lo <= hi).withColumn("f", C.chain_floor_flags("floor")).withColumn("area_class", F.explode(F.sequence(_area_class(lo), _area_class(hi))))
+    c = c.select(F.col("name").alias("chain"), "category", "area_min_m2", "area_max_m2", "separate_entrance", "f", "area_class")
+    area = F.coalesce(F.col("area") >= F.col("area_min_m2"), F.lit(True)) & F.coalesce(F.col("area") <= F.col("area_max_m2"), F.lit(True))
     floor = F.col("f.any") | ((F.col("floor_label") == "1 этаж") & F.col("f.first")) | ((F.col("floor_label") == "Подвал") & F.col("f.basement")) | ((F.col("floor_label") == "Цоколь") & F.col("f.cellar"))
     entrance = ~F.col("separate_entrance") | F.col("separate")
     school = ~((F.col("category") == V.ALCOHOL_CATEGORY) & F.col("near_school"))
-    return lots.join(c, area & floor & entrance & school).drop("f")
+    placed = lots.where("area IS NOT NULL").withColumn("area_class", _area_class(F.col("area")))
+    return placed.join(c, "area_class").where(area & floor & entrance & school).drop("f", "area_class")
 
 
 def chain_summary(matched: DataFrame, n: int = 8) -> DataFrame:
@@ -210,7 +254,7 @@ def area_limits(chains: DataFrame, lo: float = 0.25, hi: float = 4.0, q: float =
 def first_floor_chains(chains: DataFrame) -> DataFrame:
     """Names of chains that ask for the first floor and take no basement."""
     f = F.lower(F.trim("floor"))
-    wants = f.rlike("1 этаж|первый этаж|1-ом|1-й|1 эт")
+    wants = f.rlike(V.FIRST_FLOOR_WORDS)
     return chains.where(wants & ~f.contains("подвал") & ~f.contains("цоколь")).select(F.lower(F.trim("name")).alias("chain")).where("chain != ''").distinct()
 
 
@@ -294,7 +338,7 @@ def recover_matches(candidates: DataFrame, matches: DataFrame, lots: DataFrame,
     """Matches beyond the usual window for lots without any; high turns medium beyond ``far_days``."""
     free = candidates.join(matches.where("confidence IS NOT NULL").select("lot_id"), "lot_id", "left_anti").where(F.col("after_days") >= min_days)
     ok = invalid_reason(free.join(lots.select("lot_id", "area", "floor"), "lot_id"), limits, chains).where("reason IS NULL")
-    best = best_per_lot(best_matches(ok))
+    best = best_match_of_lots(ok)
     low = (F.col("confidence") == "high") & (F.col("after_days") > far_days)
     return best.withColumn("confidence", F.when(low, "medium").otherwise(F.col("confidence"))).withColumn("time_window", F.concat(F.lit("first_after_snapshot_"), F.col("snapshot_label")))
 

@@ -10,8 +10,6 @@ from auctra.functions import columns as C
 from auctra.functions import vocab as V
 from auctra.operators.stats import share, top_n
 
-PICKUP_BRANDS = ("Wildberries", "Ozon", "Яндекс Маркет")
-
 
 def one_per_place(matches: DataFrame) -> DataFrame:
     """One row per (company, address_canon): the earliest opening, then the smaller lot id."""
@@ -20,14 +18,17 @@ def one_per_place(matches: DataFrame) -> DataFrame:
 
 
 def tenant_kpis(matches: DataFrame, max_days: int = 365) -> DataFrame:
-    """Unique tenants, share of marketplaces' pick-up points, and how soon new businesses open."""
-    m = one_per_place(matches.where(F.col("confidence").isin(V.MATCHED)))
-    fresh = F.col("confidence") != "existing_tenant"
-    days = F.when(fresh & (F.col("after_days") > 0) & (F.col("after_days") <= max_days), F.col("after_days"))
+    """Unique tenants and the share of pick-up points among them; over all matched lots how soon new businesses open, and the shares of first floors and basements.
+
+    Columns company, usage, address_canon, confidence, after_days, floor_label.
+    """
+    matched = matches.where(F.col("confidence").isin(V.MATCHED))
+    unique = one_per_place(matched.where("company != ''")).agg(F.count("*").alias("tenants"), share(C.chart_category("usage") == V.PICKUP_CATEGORY).alias("marketplace_pct"))
+    days = F.when((F.col("confidence") != "existing_tenant") & (F.col("after_days") > 0) & (F.col("after_days") <= max_days), F.col("after_days"))
     part = lambda d: F.count_if(days < d) / F.count(days) * 100
-    return m.agg(
-        F.count("*").alias("tenants"), share(F.col("company").isin(*PICKUP_BRANDS)).alias("marketplace_pct"), F.median(days).alias("median_days"), part(90).alias("under_90_pct"), part(180).alias("under_180_pct")
-    )
+    floor = lambda label: share(F.col("floor_label").eqNullSafe(label))
+    every = matched.agg(F.median(days).alias("median_days"), part(90).alias("under_90_pct"), part(180).alias("under_180_pct"), floor("1 этаж").alias("first_floor_pct"), floor("Подвал").alias("basement_pct"))
+    return unique.join(every, F.lit(True))  # one row each
 
 
 def form_discount(lots: DataFrame) -> DataFrame:
@@ -37,9 +38,9 @@ def form_discount(lots: DataFrame) -> DataFrame:
 
 
 def history_sizes(history: DataFrame, matches: DataFrame) -> DataFrame:
-    """Median number of businesses ever seen at matched and at unmatched lots."""
+    """Median number of businesses ever seen at matched and at unmatched lots, of lots that have any."""
     n = history.groupBy("lot_id").agg(F.count("*").alias("n"))
-    return matches.join(n, "lot_id", "left").groupBy(F.col("confidence").isin(V.MATCHED).alias("matched")).agg(F.count("*").alias("lots"), F.median(F.coalesce("n", F.lit(0))).alias("median_n"))
+    return matches.join(n, "lot_id").groupBy(F.coalesce(F.col("confidence").isin(V.MATCHED), F.lit(False)).alias("matched")).agg(F.count("*").alias("lots"), F.median("n").alias("median_n"))
 
 
 def tenant_shares(matches: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def matches_by_year(matches: DataFrame) -> DataFrame:
 def history_overlap(matches: DataFrame, history: DataFrame) -> DataFrame:
     """Matched companies that the history of their lot shows at all, now, or gone."""
     m = matches.where("company IS NOT NULL").select("lot_id", C.company_key("company").alias("key"))
-    h = history.select("lot_id", C.company_key("name").alias("h_key"), "current")
+    h = history.select("lot_id", C.company_key("key").alias("h_key"), "current")
     same = F.col("key").contains(F.col("h_key")) | F.col("h_key").contains(F.col("key"))
     hit = m.join(h, "lot_id").where(same & (F.col("h_key") != "")).groupBy("lot_id").agg(F.max("current").alias("now"), F.max(~F.col("current")).alias("gone"))
     return m.join(hit, "lot_id", "left").agg(F.count("*").alias("lots"), F.count("now").alias("in_all"), F.count_if("now").alias("in_now"), F.count_if("gone").alias("in_gone"))

@@ -38,14 +38,17 @@ def share_of_total(df: DataFrame, value: str) -> DataFrame:
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Smallest value at which the running weight reaches half of the total, as ``weighted_median``."""
+    """Smallest value at which the running weight reaches half of the total, as ``weighted_median``. Equal values of a key are added up first."""
+    df = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
     run = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = df.withColumn("c", F.sum(weight).over(run)).withColumn("t", F.sum(weight).over(W.partitionBy(*keys)))
+    cum = df.withColumn("c", F.sum("w").over(run)).withColumn("t", F.sum("w").over(W.partitionBy(*keys)))
     return cum.where(F.col("c") >= F.col("t") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
 def multilot_flag(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("multilot", F.count("*").over(W.partitionBy(key)) > 1)
+    """Adds ``multilot``: whether another row has the same key (null counts as one). Keys are counted before they meet their rows."""
+    many = df.groupBy(F.col(key).alias("m_key")).agg(F.count("*").alias("m_n")).where("m_n > 1")
+    return df.join(many, F.col(key).eqNullSafe(F.col("m_key")), "left").withColumn("multilot", F.col("m_n").isNotNull()).drop("m_key", "m_n")
 
 
 def previous_snapshot(labels: DataFrame, label: str = "snapshot_label") -> DataFrame:

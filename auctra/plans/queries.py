@@ -326,31 +326,37 @@ def new_organisations(spark, d):
     return M.new_orgs(snapshots(spark, d)).select("snapshot_label", "previous_label", "org_id", "address_canon")
 
 
-@query(f"WITH {SNAPSHOTS}, lab AS (SELECT snapshot_label, lag(snapshot_label) OVER (ORDER BY snapshot_label) AS previous_label FROM (SELECT DISTINCT snapshot_label FROM snaps)), fresh AS (SELECT s.* FROM snaps s JOIN lab l USING (snapshot_label) WHERE l.previous_label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snaps p WHERE p.snapshot_label = l.previous_label AND p.org_id = s.org_id)) SELECT snapshot_label, rubric, count(*) AS n FROM fresh GROUP BY 1, 2")
+@query(f"WITH {SNAPSHOTS}, s AS (SELECT *, org_id || '@' || address_canon AS branch FROM snaps), lab AS (SELECT snapshot_label, lag(snapshot_label) OVER (ORDER BY snapshot_label) AS previous_label FROM (SELECT DISTINCT snapshot_label FROM snaps)), fresh AS (SELECT s.* FROM s JOIN lab l USING (snapshot_label) WHERE l.previous_label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s p WHERE p.snapshot_label = l.previous_label AND p.branch = s.branch)) SELECT snapshot_label, rubric, count(*) AS n FROM fresh GROUP BY 1, 2")
 def new_organisation_stats(spark, d):
-    return M.new_orgs(snapshots(spark, d), key="id").groupBy("snapshot_label", "rubric").agg(F.count("*").alias("n"))
+    """New branches by snapshot and rubric; a branch has an id of its own."""
+    branches = snapshots(spark, d).withColumn("org_id", F.concat_ws("@", F.col("org_id").cast("string"), "address_canon"))
+    return M.new_orgs(branches, key="id").groupBy("snapshot_label", "rubric").agg(F.count("*").alias("n"))
 
 
-_CAND = f"{LOTS}, {_NEW}, cand AS (SELECT l.lot_id, l.sale_date, o.snapshot_label, o.org_id, o.org_name AS company, o.rubric AS usage, o.snapshot_date - l.sale_date AS after_days, {sql_metres('l.lat', 'l.lon', 'o.lat', 'o.lon')} AS distance_m FROM lots l JOIN fresh o USING (address_canon) WHERE o.snapshot_date - l.sale_date BETWEEN 0 AND 365)"
+_CAND = f"{LOTS}, {_NEW}, cand0 AS (SELECT l.lot_id, l.sale_date, o.snapshot_label, o.org_id, CASE WHEN o.org_id % 10 = 4 THEN 'Ozon' ELSE o.org_name END AS company, o.rubric AS usage, o.snapshot_date - l.sale_date AS after_days, {sql_metres('l.lat', 'l.lon', 'o.lat', 'o.lon')} AS distance_m FROM lots l JOIN fresh o USING (address_canon) WHERE o.snapshot_date - l.sale_date BETWEEN 0 AND 365 AND o.org_id % 10 != 5), cand AS (SELECT * FROM cand0 WHERE distance_m <= 250)"
 
 
 def _candidates(spark, d):
-    return M.match_candidates(M.eligible_lots(lots(spark, d)), M.new_orgs(snapshots(spark, d)), max_m=1e9)
+    return M.match_candidates(M.eligible_lots(lots(spark, d)), M.new_orgs(snapshots(spark, d)))
 
 
-@query(f"WITH {_CAND} SELECT lot_id, snapshot_label, org_id, after_days::INTEGER AS after_days, round(distance_m, 3) AS distance_m FROM cand")
+@query(f"WITH {_CAND} SELECT lot_id, snapshot_label, org_id, company, usage, after_days::INTEGER AS after_days, round(distance_m, 3) AS distance_m FROM cand")
 def match_candidates(spark, d):
-    return _candidates(spark, d).select("lot_id", "snapshot_label", "org_id", "after_days", r("distance_m", 3).alias("distance_m"))
+    return _candidates(spark, d).select("lot_id", "snapshot_label", "org_id", "company", "usage", "after_days", r("distance_m", 3).alias("distance_m"))
 
 
 _BEST = f"""{_CAND}, rk AS (SELECT *, row_number() OVER (PARTITION BY lot_id, snapshot_label ORDER BY distance_m, company, org_id) AS r, CASE WHEN distance_m <= 30 THEN '0-30m' WHEN distance_m <= 100 THEN '30-100m' WHEN distance_m <= 250 THEN '100-250m' ELSE '250m+' END AS band FROM cand),
-best AS (SELECT lot_id, snapshot_label, count(*) AS n, max(company) FILTER (r = 1) AS company, max(after_days) FILTER (r = 1) AS after_days, max(band) FILTER (r = 1) AS band, string_agg(company, ' | ' ORDER BY r) FILTER (r <= 5) AS company_preview FROM rk GROUP BY 1, 2),
-conf AS (SELECT *, CASE WHEN n = 1 AND band = '0-30m' THEN 'high' WHEN n <= 3 AND band IN ('0-30m', '30-100m') THEN 'medium' ELSE 'low' END AS confidence FROM best)"""
+vc AS (SELECT lot_id, snapshot_label, company AS v, min(r) AS r FROM rk GROUP BY 1, 2, 3), vu AS (SELECT lot_id, snapshot_label, usage AS v, min(r) AS r FROM rk GROUP BY 1, 2, 3),
+nc AS (SELECT *, row_number() OVER (PARTITION BY lot_id, snapshot_label ORDER BY r) AS i FROM vc), nu AS (SELECT *, row_number() OVER (PARTITION BY lot_id, snapshot_label ORDER BY r) AS i FROM vu),
+pc AS (SELECT lot_id, snapshot_label, string_agg(v, ' | ' ORDER BY r) AS company_preview FROM nc WHERE i <= 5 GROUP BY 1, 2), pu AS (SELECT lot_id, snapshot_label, string_agg(v, ' | ' ORDER BY r) AS usage_preview FROM nu WHERE i <= 5 GROUP BY 1, 2),
+best AS (SELECT lot_id, snapshot_label, count(*) AS n, max(company) FILTER (r = 1) AS company, max(usage) FILTER (r = 1) AS usage, max(after_days) FILTER (r = 1) AS after_days, max(band) FILTER (r = 1) AS band FROM rk GROUP BY 1, 2),
+conf AS (SELECT *, CASE WHEN n = 1 AND band = '0-30m' THEN 'high' WHEN n <= 3 AND band IN ('0-30m', '30-100m') THEN 'medium' ELSE 'low' END AS confidence FROM best JOIN pc USING (lot_id, snapshot_label) JOIN pu USING (lot_id, snapshot_label)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY after_days, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, snapshot_label) AS q FROM conf) WHERE q = 1)"""
 
 
-@query(f"WITH {_BEST}, x AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY after_days, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, snapshot_label) AS q FROM conf) SELECT lot_id, snapshot_label, n, company, after_days::INTEGER AS after_days, confidence, company_preview FROM x WHERE q = 1")
+@query(f"WITH {_BEST} SELECT lot_id, snapshot_label, n, company, usage, after_days::INTEGER AS after_days, confidence, company_preview, usage_preview FROM one")
 def best_match_per_lot(spark, d):
-    return M.best_per_lot(M.best_matches(_candidates(spark, d))).select("lot_id", "snapshot_label", "n", "company", "after_days", "confidence", "company_preview")
+    return M.best_match_of_lots(_candidates(spark, d)).select("lot_id", "snapshot_label", "n", "company", "usage", "after_days", "confidence", "company_preview", "usage_preview")
 
 
 @query(f"WITH {_BEST} SELECT lot_id, snapshot_label, count(*) OVER (PARTITION BY address_canon, snapshot_label, company) > 1 AS multilot FROM conf JOIN (SELECT lot_id, address_canon FROM lots) USING (lot_id)")
@@ -358,25 +364,40 @@ def shared_best_candidates(spark, d):
     return M.shared_best(M.best_matches(_candidates(spark, d)), lots(spark, d)).select("lot_id", "snapshot_label", "multilot")
 
 
+@query(f"WITH {_BEST}, s AS (SELECT *, count(*) OVER (PARTITION BY address_canon, snapshot_label, company) > 1 AS many FROM conf JOIN (SELECT lot_id, address_canon FROM lots) USING (lot_id)) SELECT CASE WHEN many THEN 'low' ELSE confidence END AS confidence, count(*) AS n FROM s GROUP BY 1")
+def shared_best_downgrades(spark, d):
+    return M.shared_best(M.best_matches(_candidates(spark, d)), lots(spark, d), policy="downgrade").groupBy("confidence").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {SNAPSHOTS} SELECT org_id, min(snapshot_date) AS first_seen FROM snaps GROUP BY 1")
 def first_seen_organisations(spark, d):
     return M.first_seen(snapshots(spark, d))
 
 
-@query(f"""WITH {LOTS}, {SNAPSHOTS}, hit AS (SELECT l.lot_id, s.org_name AS name, s.snapshot_label, s.snapshot_date <= l.sale_date AS old FROM lots l JOIN snaps s ON abs(s.lat - l.lat) < 0.002 AND {sql_metres('l.lat', 'l.lon', 's.lat', 's.lon')} <= 150)
-SELECT lot_id, name, count(DISTINCT snapshot_label) FILTER (old) AS n_before, count(DISTINCT snapshot_label) FILTER (NOT old) AS n_after, min(snapshot_label) AS first_seen, max(snapshot_label) AS last_seen FROM hit GROUP BY 1, 2 HAVING n_before >= 2 AND n_after >= 1""")
+_BUYOUT = f"""{LOTS}, {SNAPSHOTS}, hit AS (SELECT l.lot_id, l.sale_date, lower(s.org_name) AS key, s.org_name, s.rubric, s.snapshot_label, s.snapshot_date, {sql_metres('l.lat', 'l.lon', 's.lat', 's.lon')} AS m FROM lots l JOIN snaps s ON abs(s.lat - l.lat) < 0.002 AND abs(s.lon - l.lon) < 0.004 WHERE s.org_id % 10 != 5),
+buy AS (SELECT lot_id, arg_min(org_name, (m, org_name)) AS name, arg_min(rubric, (m, org_name)) AS usage, min(m) AS distance_m, count(DISTINCT snapshot_label) FILTER (snapshot_date <= sale_date) AS n_before, count(DISTINCT snapshot_label) FILTER (snapshot_date > sale_date) AS n_after, min(snapshot_date) AS first_seen, max(snapshot_date) AS last_seen,
+  string_agg(DISTINCT snapshot_label, ' | ' ORDER BY snapshot_label) FILTER (snapshot_date <= sale_date) AS before_labels, string_agg(DISTINCT snapshot_label, ' | ' ORDER BY snapshot_label) FILTER (snapshot_date > sale_date) AS after_labels FROM hit WHERE m <= 50 GROUP BY lot_id, key HAVING n_before >= 3 AND n_after >= 1)"""
+
+
+@query(f"WITH {_BUYOUT} SELECT lot_id, name, usage, round(distance_m, 3) AS distance_m, n_before::INTEGER AS n_before, n_after::INTEGER AS n_after, first_seen, last_seen, before_labels, after_labels FROM buy")
 def tenant_buyouts(spark, d):
-    return M.tenant_buyout(lots(spark, d), snapshots(spark, d), 150, before=2, after=1).select("lot_id", "name", "n_before", "n_after", "first_seen", "last_seen")
+    out = M.tenant_buyout(lots(spark, d), snapshots(spark, d))
+    return out.withColumns({"distance_m": r("distance_m", 3), "before_labels": C.join_pipe("before_labels"), "after_labels": C.join_pipe("after_labels")})
 
 
-@query(f"WITH {LOTS}, {SNAPSHOTS}, h AS (SELECT l.lot_id, s.org_name AS name, max(s.snapshot_label) AS last_seen FROM lots l JOIN snaps s USING (address_canon) GROUP BY 1, 2) SELECT lot_id, count(*) AS n_all, count(*) FILTER (last_seen = (SELECT max(snapshot_label) FROM snaps)) AS n_now FROM h GROUP BY 1")
+_HISTORY = f"""{LOTS}, {SNAPSHOTS}, e AS (SELECT address_canon, snapshot_label, lat, lon, CASE WHEN org_id % 10 = 4 THEN 'ozon' ELSE lower(org_name) END AS key, CASE WHEN org_id % 10 = 4 THEN 'Ozon' ELSE org_name || ' (' || split_part(rubric, ',', 1) || ')' END AS entry FROM snaps WHERE org_id % 10 != 5),
+h AS (SELECT l.lot_id, e.key, min((e.snapshot_label, e.entry)) AS f, max((e.snapshot_label, e.entry)) AS t, max(e.snapshot_label) AS last_seen FROM lots l JOIN e USING (address_canon) WHERE {sql_metres('l.lat', 'l.lon', 'e.lat', 'e.lon')} <= 250 GROUP BY 1, 2),
+hist AS (SELECT lot_id, key, f[2] AS entry, t[2] AS now_entry, last_seen = (SELECT max(snapshot_label) FROM snaps) AS current FROM h)"""
+
+
+@query(f"""WITH {_HISTORY} SELECT lot_id, coalesce(string_agg(entry, ' | ' ORDER BY entry), '') AS "all", coalesce(string_agg(now_entry, ' | ' ORDER BY now_entry) FILTER (current), '') AS now, coalesce(string_agg(entry, ' | ' ORDER BY entry) FILTER (NOT current), '') AS gone, count(*) AS n_all, count(*) FILTER (current) AS n_now FROM hist GROUP BY 1""")
 def business_histories(spark, d):
-    return M.history_lists(M.business_history(lots(spark, d), snapshots(spark, d), max_m=1e9)).select("lot_id", "n_all", "n_now")
+    return M.history_lists(M.business_history(lots(spark, d), snapshots(spark, d)))
 
 
-@query(f"WITH {LOTS}, {SNAPSHOTS} SELECT count(*) AS n FROM lots l WHERE NOT EXISTS (SELECT 1 FROM snaps s WHERE s.address_canon = l.address_canon)")
+@query(f"WITH {LOTS}, {SNAPSHOTS} SELECT lot_id, address_canon FROM lots l WHERE NOT EXISTS (SELECT 1 FROM snaps s WHERE s.address_canon = l.address_canon)")
 def uncovered_addresses(spark, d):
-    return M.uncovered_addresses(lots(spark, d), snapshots(spark, d)).agg(F.count("*").alias("n"))
+    return M.uncovered_addresses(lots(spark, d), snapshots(spark, d)).select("lot_id", "address_canon")
 
 
 _CHAINS = "ch AS (SELECT p_brand AS chain, p_type AS category, min(p_size) * 5.0::DOUBLE AS area_min_m2, max(p_size) * 4.0::DOUBLE AS area_max_m2 FROM part GROUP BY 1, 2)"
@@ -557,23 +578,29 @@ def similar_names(spark, d):
 
 # Reports
 
-_MATCHED = f"""{LOTS}, mt AS (SELECT *, CASE lot_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'existing_tenant' WHEN 3 THEN 'cleared' END AS confidence, 'Org ' || (lot_id % 40) AS company, (lot_id % 400)::INTEGER AS after_days FROM lots),
+_MATCHED = f"""{LOTS}, mt AS (SELECT *, CASE lot_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'existing_tenant' WHEN 3 THEN 'cleared' END AS confidence, CASE WHEN lot_id % 41 = 0 THEN '' ELSE 'Org ' || (lot_id % 40) END AS company, (lot_id % 400)::INTEGER AS after_days, CASE WHEN lot_id % 3 = 0 THEN 'Грузоперевозки / Транспортные услуги, Склады -> Доставка' ELSE 'Rubric ' || (lot_id % 4) END AS usage, CASE lot_id % 6 WHEN 0 THEN '1 этаж' WHEN 1 THEN 'Подвал' WHEN 2 THEN '2 этаж' END AS floor_label FROM lots),
 mk AS (SELECT *, CASE WHEN confidence = 'existing_tenant' THEN 'existing_tenant' WHEN confidence IN ('high', 'medium', 'low') THEN 'new_business' ELSE 'not_found' END AS match_class FROM mt)"""
 
 
 def _matched(spark, d):
     k = F.col("lot_id")
     c = F.when(k % 5 == 0, "high").when(k % 5 == 1, "medium").when(k % 5 == 2, "existing_tenant").when(k % 5 == 3, "cleared")
-    return lots(spark, d).withColumn("confidence", c).withColumn("company", F.concat(F.lit("Org "), (k % 40).cast("string"))).withColumn("after_days", (k % 400).cast("int"))
+    return lots(spark, d).withColumn("confidence", c).withColumns({
+        "company": F.when(k % 41 == 0, "").otherwise(F.concat(F.lit("Org "), (k % 40).cast("string"))), "after_days": (k % 400).cast("int"),
+        "usage": F.when(k % 3 == 0, "Грузоперевозки / Транспортные услуги, Склады -> Доставка").otherwise(F.concat(F.lit("Rubric "), (k % 4).cast("string"))),
+        "floor_label": F.when(k % 6 == 0, "1 этаж").when(k % 6 == 1, "Подвал").when(k % 6 == 2, "2 этаж"),
+    })
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@query(f"""WITH {_MATCHED}, o AS (SELECT *, row_number() OVER (PARTITION BY company, address_canon ORDER BY after_days, lot_id) AS rn FROM mk WHERE match_class != 'not_found'),
-x AS (SELECT company, CASE WHEN confidence != 'existing_tenant' AND after_days BETWEEN 1 AND 365 THEN after_days END AS days FROM o WHERE rn = 1)
-SELECT count(*) AS tenants, round(count(*) FILTER (company IN ('Ozon')) * 100.0::DOUBLE / count(*), 4) AS marketplace_pct, round(median(days), 4) AS median_days, round(count(*) FILTER (days < 90) * 100.0::DOUBLE / count(days), 4) AS under_90_pct, round(count(*) FILTER (days < 180) * 100.0::DOUBLE / count(days), 4) AS under_180_pct FROM x""")
+@query(f"""WITH {_MATCHED}, o AS (SELECT *, row_number() OVER (PARTITION BY company, address_canon ORDER BY after_days, lot_id) AS rn FROM mk WHERE match_class != 'not_found' AND company != ''),
+u AS (SELECT count(*) AS tenants, round(count(*) FILTER (usage LIKE 'Грузо%') * 100.0::DOUBLE / count(*), 4) AS marketplace_pct FROM o WHERE rn = 1),
+x AS (SELECT floor_label, CASE WHEN confidence != 'existing_tenant' AND after_days BETWEEN 1 AND 365 THEN after_days END AS days FROM mk WHERE match_class != 'not_found')
+SELECT any_value(tenants) AS tenants, any_value(marketplace_pct) AS marketplace_pct, round(median(days), 4) AS median_days, round(count(*) FILTER (days < 90) * 100.0::DOUBLE / count(days), 4) AS under_90_pct, round(count(*) FILTER (days < 180) * 100.0::DOUBLE / count(days), 4) AS under_180_pct,
+round(count(*) FILTER (floor_label = '1 этаж') * 100.0::DOUBLE / count(*), 4) AS first_floor_pct, round(count(*) FILTER (floor_label = 'Подвал') * 100.0::DOUBLE / count(*), 4) AS basement_pct FROM x, u""")
 def tenant_kpis(spark, d):
     from auctra.operators import reports
 
@@ -632,8 +659,11 @@ def price_reconciliation(spark, d):
     return reports.reconcile_prices(x, p)
 
 
-@query(f"WITH {SNAPSHOTS} SELECT org_id, any_value(lat) AS lat FROM snaps GROUP BY 1 HAVING count(DISTINCT (lat, lon)) = 1")
+@query(f"WITH s AS (SELECT c_custkey // 2 AS k, CASE WHEN c_custkey // 2 % 3 = 0 THEN c_custkey // 2 ELSE c_custkey END AS a FROM customer), x AS (SELECT k, {sql_lat('a')} AS lat, {sql_lon('a')} AS lon FROM s) SELECT k, any_value(lat) AS lat FROM x GROUP BY 1 HAVING count(DISTINCT (lat, lon)) = 1")
 def unique_locations(spark, d):
     from auctra.operators import reports
+    from auctra.plans.given import lat, lon
 
-    return reports.unique_locations(snapshots(spark, d), "org_id").select("org_id", "lat")
+    k = F.floor(F.col("c_custkey") / 2)
+    x = table(spark, d, "customer").select(k.alias("k"), F.when(k % 3 == 0, k).otherwise(F.col("c_custkey")).alias("a")).select("k", lat("a").alias("lat"), lon("a").alias("lon"))
+    return reports.unique_locations(x, "k").select("k", "lat")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,21 @@ def discard(table: DataFrame) -> None:
             _delete(table.sparkSession, found)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Paths of the tables that are written inside and still there at the end."""
+    before, paths = set(_written), []
+    yield paths
+    paths += [x for x in _written if x not in before]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the tables at these paths, if they are still there."""
+    for path in [x for x in paths if x in _written]:
+        _written.remove(path)
+        _delete(spark, path)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this process has written; call it when no result is read any more."""
     n = 0
