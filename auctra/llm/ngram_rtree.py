@@ -1,6 +1,6 @@
 """Operator 8, n-gram Jaccard join by a count-vector R-tree.
 
-A document's shingles (word n-grams, as 64-bit hashes) are dealt into groups; the counts per group
+A document's shingles (word n-grams, as 64-bit hashes) are dealt into groups, more for larger sets; the counts per group
 are its point. The overlap of two documents is at most the sum over groups of the smaller count,
 and the overlap between documents of two tree nodes is at most that sum over their upper corners; the
 distance of two points is at least the gap between the corners of their nodes.
@@ -14,9 +14,8 @@ fine groups (``fine_keys``): any two linked documents have one key in common. Wh
 2. Keys whose documents are not all joined up yet connect them to *families*, the subtrees of the root.
    Within a family the points are sorted and tiled (by total, then group counts) into leaf pages, pages
    into inner nodes, each with its lower and upper corners. Nodes are paired by their bounds, then the pages of surviving
-   nodes, then points, and surviving pairs are verified on whole shingle sets. Pages of documents
-   that are joined up already are not paired, and a pair of pages reports only links that connect
-   something new, so a group of copies yields a spanning set of links, not all pairs.
+   nodes, then points; only points travel to that. Pages and points of documents that are joined up already are
+   not paired. Surviving pairs of documents are verified on whole shingle sets.
 
 Exact copies are merged before any of this. A set is named by 64 bits of its digest, as a shingle is by 64 bits of its words; should two sets
 meet in them, both are compared and no link is lost.
@@ -43,7 +42,8 @@ from auctra.llm.common import batches_of, materialise
 from auctra.operators.components import connected_components
 from auctra.tables import discard
 
-GROUPS = 64
+#: Groups of a corner, and of the point of a small set; larger sets have a power of two with 4 to 8 shingles in a group.
+GROUPS, FILL = 64, 8
 #: A leaf page holds up to so many documents and, but for one long document, shingles; a node so many pages.
 PAGE_DOCS, PAGE_SHINGLES, NODE_PAGES = 512, 1 << 19, 16
 #: Documents of one component from which they get pages of their own.
@@ -120,15 +120,27 @@ def fine_keys(s: np.ndarray, pct: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((_mix(s ^ _GOLD) >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+def point_of(s: np.ndarray) -> np.ndarray:
+    """Counts per group; a group of a smaller point is the sum of neighbouring groups of a larger one."""
+    bits = max(GROUPS.bit_length() - 1, (len(s) // FILL).bit_length())
+    return np.bincount((_mix(s ^ _GOLD) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (rows) with fewer groups."""
+    return points.reshape(len(points), groups, -1).sum(2, dtype=np.int32)
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of all rows of ``a`` with all rows of ``b``."""
+    return np.array([np.minimum(x, b).sum(1) for x in a]).reshape(len(a), len(b))
 
 
 _FEATURES = T.StructType(
     [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
-        T.StructField("point", T.ArrayType(T.IntegerType())),
+        T.StructField("point", T.BinaryType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
@@ -140,7 +152,7 @@ def _features_udf(n: int, pct: int):
         rows = []
         for x in texts:
             s = shingle_set(x, n)
-            rows.append((len(s), hashlib.md5(s.tobytes()).digest(), _point(s).astype(np.int32), fine_keys(s, pct).view(np.int64)))
+            rows.append((len(s), hashlib.md5(s.tobytes()).digest(), point_of(s).tobytes(), fine_keys(s, pct).view(np.int64)))
         return pd.DataFrame(rows, columns=_FEATURES.names)
 
     return features
@@ -164,67 +176,60 @@ def _similar_udf(n: int, pct: int):
     return similar
 
 
-class Page:
-    """Members of a leaf page; shingle sets are made when a pair needs them."""
-
-    def __init__(self, members, n: int):
-        self.ids = [int(m["nid"]) for m in members]
-        self.components = [int(m["component"]) for m in members]
-        self.points = np.array([m["point"] for m in members], np.int32).reshape(len(self.ids), GROUPS)
-        self._texts, self._n, self._sets = [m["text"] for m in members], n, {}
+@F.pandas_udf(T.LongType())
+def points_overlap(points: pd.Series, others: pd.Series) -> pd.Series:
+    """Sum of the coordinate minima of two points, at the number of groups of the smaller."""
+    out = []
+    for x, y in zip(points, others):
+        x, y = np.frombuffer(x, np.uint16)[None, :], np.frombuffer(y, np.uint16)[None, :]
+        n = min(x.shape[1], y.shape[1])
+        out.append(int(overlaps(folded(x, n), folded(y, n))[0, 0]))
+    return pd.Series(out, dtype="int64")
 
-    def set_of(self, i: int) -> np.ndarray:
-        if i not in self._sets:
-            self._sets[i] = shingle_set(self._texts[i], self._n)
-        return self._sets[i]
 
+def _by_groups(members) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of groups to ids, components and points of a page's members."""
+    found: dict[int, list] = {}
+    for m in members:
+        found.setdefault(len(m["point"]) // 2, []).append(m)
+    array = lambda ms, c: np.array([m[c] for m in ms], np.int64)
+    return {g: (array(ms, "nid"), array(ms, "component"), np.array([np.frombuffer(m["point"], np.uint16) for m in ms]).reshape(len(ms), g)) for g, ms in found.items()}
 
-def page_links(a: Page, b: Page | None, pct: int) -> list[tuple[int, int]]:
-    """Links between two pages (or within one, if b is None) that connect what was not connected."""
-    other = b or a
-    root: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    sum_a, sum_b = a.points.sum(1), other.points.sum(1)
+def page_pairs(a, b, pct: int) -> list[tuple[int, int]]:
+    """Pairs of two pages' members (or of one page's, if b is None), of different components, whose points allow a link."""
+    pages_a = _by_groups(a)
+    pages_b = pages_a if b is None else _by_groups(b)
     found = []
-    for lo in range(0, len(a.ids), 64):
-        part = a.points[lo : lo + 64]
-        over = np.zeros((len(part), len(other.ids)), np.int32)
-        for g in range(GROUPS):
-            over += np.minimum(part[:, g, None], other.points[None, :, g])
-        slack = over - _needed(sum_a[lo : lo + 64, None] + sum_b[None, :], pct)
-        if b is None:
-            slack[np.arange(lo, lo + len(part))[:, None] >= np.arange(len(other.ids))[None, :]] = -1
-        i, j = np.nonzero(slack >= 0)
-        for x in np.argsort(-slack[i, j], kind="stable"):
-            p, q = lo + int(i[x]), int(j[x])
-            u, v = find(a.components[p]), find(other.components[q])
-            if u != v and _similar(a.set_of(p), other.set_of(q), pct):
-                root[u] = v
-                found.append((a.ids[p], other.ids[q]))
+    for ga, (ids_a, comps_a, points_a) in pages_a.items():
+        for gb, (ids_b, comps_b, points_b) in pages_b.items():
+            if max(ga, gb) > 2 * min(ga, gb) and pct >= 50 or b is None and ga > gb:
+                continue  # linked sets are less than one power of two apart
+            n = min(ga, gb)
+            pa, pb = folded(points_a, n), folded(points_b, n)
+            possible = overlaps(pa, pb) >= _needed(pa.sum(1)[:, None] + pb.sum(1)[None, :], pct)
+            possible &= comps_a[:, None] != comps_b[None, :]
+            if b is None and ga == gb:
+                possible &= np.arange(len(ids_a))[:, None] < np.arange(len(ids_b))[None, :]
+            found += [(int(ids_a[i]), int(ids_b[j])) for i, j in zip(*np.nonzero(possible))]
     return found
 
 
-def _links(n: int, pct: int):
+def _pairs(pct: int):
     """Over rows of members and, for a pair of pages, others."""
 
     def run(batches):
         for pdf in batches:
             others = pdf["others"] if "others" in pdf else [None] * len(pdf)
-            links = [x for m, o in zip(pdf["members"], others) for x in page_links(Page(m, n), None if o is None else Page(o, n), pct)]
-            yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+            pairs = [x for m, o in zip(pdf["members"], others) for x in page_pairs(m, o, pct)]
+            yield pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
 
     return run
 
 
 _PAGES = (
     "family long, node long, page long, docs long, least long, most long, first long, last long, lower array<int>, upper array<int>, "
-    "members array<struct<nid: long, component: long, point: array<int>, text: string>>"
+    "members array<struct<nid: long, component: long, point: binary>>"
 )
 _PAGE_COLUMNS = ["family", "node", "page", "docs", "least", "most", "first", "last", "lower", "upper", "members"]
 
@@ -233,9 +238,9 @@ def _tile(page_docs: int, node_pages: int):
     """Cuts rows in order into pages and nodes (each named by its first member), which never reach over a change of (family, bin)."""
 
     def close(rows, node):
-        points = np.array([r.point for r in rows], np.int32)
+        points = np.concatenate([folded(np.frombuffer(r.point, np.uint16)[None, :], GROUPS) for r in rows])
         sizes, components = [r.size for r in rows], [r.component for r in rows]
-        members = [{"nid": r.nid, "component": r.component, "point": r.point, "text": r.text} for r in rows]
+        members = [{"nid": r.nid, "component": r.component, "point": r.point} for r in rows]
         return (rows[0].family, node, rows[0].nid, len(rows), min(sizes), max(sizes), min(components), max(components), points.min(0), points.max(0), members)
 
     def run(batches):
@@ -288,25 +293,41 @@ def tree_pairs(pages: DataFrame, pct: int) -> DataFrame:
     return materialise(pairs.select("page", "page_b"), "rtree-pairs")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _tile_of(points: pd.Series) -> pd.Series:
+    """The first eighth of a corner's counts, in halves of their mean."""
+    out = []
+    for x in points:
+        counts = folded(np.frombuffer(x, np.uint16)[None, :], GROUPS)[0]
+        out.append((counts[: GROUPS // 8] * 2 * GROUPS // max(1, counts.sum())).astype(np.int32))
+    return pd.Series(out, dtype=object)
+
+
 def leaf_pages(members: DataFrame, page_docs: int = PAGE_DOCS, node_pages: int = NODE_PAGES) -> DataFrame:
-    """Leaf pages of members (family, bin, nid, component, size, point, text): a distributed sort-tile by total and group counts."""
-    band = F.floor(8 * F.log2("size")).cast("int")
-    # The first group counts in halves of the mean count.
-    tile = F.transform(F.slice("point", 1, 8), lambda x: F.floor(x * (2 * GROUPS) / F.col("size")).cast("int"))
+    """Leaf pages of members (family, bin, nid, component, size, point): a distributed sort-tile by total and group counts."""
+    members = materialise(members.withColumns({"band": F.floor(8 * F.log2("size")).cast("int"), "tile": _tile_of("point")}), "rtree-tiles")
     order = ["family", "bin", "band", "tile", "nid"]
-    members = members.withColumns({"band": band, "tile": tile}).repartitionByRange(*order).sortWithinPartitions(*order)
+    members = members.repartitionByRange(*order).sortWithinPartitions(*order)
     with batches_of(members.sparkSession, "8m"):
         return materialise(members.drop("band", "tile").mapInPandas(_tile(page_docs, node_pages), _PAGES), "rtree-pages")
 
 
-def page_joins(pages: DataFrame, n: int, pct: int) -> DataFrame:
-    """Links (u, v) within and between leaf pages that connect something new."""
+def page_joins(pages: DataFrame, pct: int) -> DataFrame:
+    """Pairs (u, v) of documents within and between leaf pages that may be linked."""
     within = pages.where("docs > 1 AND first != last").select("members")
     content = pages.select("page", "members")
     joined = tree_pairs(pages, pct).join(content, "page").select(F.col("page_b").alias("page"), F.col("members").alias("others")).join(content, "page")
     with batches_of(pages.sparkSession, "8m"):
-        inner = materialise(within.mapInPandas(_links(n, pct), "u long, v long"), "rtree-links")
-        return inner.unionByName(materialise(joined.select("members", "others").mapInPandas(_links(n, pct), "u long, v long"), "rtree-links"))
+        inner = materialise(within.mapInPandas(_pairs(pct), "u long, v long"), "rtree-within")
+        return inner.unionByName(materialise(joined.select("members", "others").mapInPandas(_pairs(pct), "u long, v long"), "rtree-across"))
+
+
+def _verified(pairs: DataFrame, full: DataFrame, n: int, pct: int) -> DataFrame:
+    """The pairs (u, v) that are linked, by whole texts."""
+    texts = lambda i, t: full.select(F.col("nid").alias(i), F.col("text").alias(t))
+    near = pairs.join(texts("u", "u_text"), "u").join(texts("v", "v_text"), "v")
+    with batches_of(full.sparkSession, "8m"):
+        return materialise(near.where(_similar_udf(n, pct)(F.col("u_text"), F.col("v_text"))).select("u", "v"), "rtree-links")
 
 
 def _keys_of_row() -> list[Column]:
@@ -345,12 +366,12 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     full = materialise(texts.join(wanted, ["doc_key", "text_key"]).select("digest", "nid", "size", "point", "text").dropDuplicates(["digest"]).drop("digest"), "rtree-texts")
 
     # Every set against the hubs of its keys.
-    points = full.select("nid", F.col("size").alias("least"), F.col("size").alias("most"), F.col("nid").alias("first"), F.col("nid").alias("last"), F.col("point").alias("lower"), F.col("point").alias("upper"))
-    hubs = points.select(*[F.col(x).alias(f"{x}_b") for x in _HEAD], F.col("nid").alias("hub"))
-    near = materialise(stars.join(points, "nid").join(hubs, "hub").where(_may_link(pct)).select("nid", "hub"), "rtree-near")
-    near = near.join(full.select("nid", "text"), "nid").join(full.select(F.col("nid").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    points = lambda i, p, size: full.select(F.col("nid").alias(i), F.col("point").alias(p), F.col("size").alias(size))
+    near = stars.select(F.col("nid").alias("u"), F.col("hub").alias("v")).join(points("u", "u_point", "u_size"), "u").join(points("v", "v_point", "v_size"), "v")
+    near = near.where(100 * F.least("u_size", "v_size") >= pct * F.greatest("u_size", "v_size"))
     with batches_of(docs.sparkSession, "8m"):
-        links = materialise(near.where(_similar_udf(n, pct)(F.col("text"), F.col("hub_text"))).select(F.col("nid").alias("u"), F.col("hub").alias("v")), "rtree-links")
+        near = materialise(near.where((100 + pct) * points_overlap("u_point", "v_point") >= pct * (F.col("u_size") + F.col("v_size"))).select("u", "v"), "rtree-near")
+    links = _verified(near, full, n, pct)
     twice = rows.where("doc_id IS NOT NULL AND nid IS NOT NULL").groupBy("doc_id").agg(F.min("nid").alias("v"), F.max("nid").alias("last")).where("v != last").select("doc_id", "v")
     links = links.unionByName(rows.join(materialise(twice, "rtree-twice"), "doc_id").select(F.col("nid").alias("u"), "v"))
     joined = materialise(connected_components(links), "rtree-joined")
@@ -363,8 +384,8 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     members = _component(shared.join(open_keys, "key", "left_semi").select("nid").distinct(), joined, "nid", "component")
     members = materialise(members.join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component"), "rtree-members")
     large = materialise(members.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") >= OWN_PAGES).select("component", F.col("component").alias("bin")), "rtree-large")
-    members = members.join(large, "component", "left").select("family", F.coalesce("bin", F.lit(-1)).alias("bin"), "nid", "component").join(full, "nid")
-    found = page_joins(leaf_pages(members, page_docs, node_pages), n, pct)
+    members = members.join(large, "component", "left").select("family", F.coalesce("bin", F.lit(-1)).alias("bin"), "nid", "component").join(full.drop("text"), "nid")
+    found = _verified(page_joins(leaf_pages(members, page_docs, node_pages), pct), full, n, pct)
     found = _component(_component(found, joined, "u", "a"), joined, "v", "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = materialise(connected_components(found), "rtree-found")
 

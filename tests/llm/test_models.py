@@ -227,17 +227,31 @@ def test_tree_prunes_without_loss(spark):
     """One family of clusters in several sizes: the tree opens every pair of pages that holds a link, and few others."""
     rng = random.Random(3)
     docs = [t for k in range(12) for t in near_copies(rng, [f"c{k}.{i}" for i in range(rng.choice([100, 115, 130]))], 8, 0.004)]
-    rows = [(1, -1, i, i, len(s := ngram_rtree.shingle_set(t, 2)), ngram_rtree._point(s).tolist(), t) for i, t in enumerate(docs)]
-    members = spark.createDataFrame(rows, "family long, bin long, nid long, component long, size long, point array<int>, text string")
+    rows = [(1, -1, i, i, len(s := ngram_rtree.shingle_set(t, 2)), bytearray(ngram_rtree.point_of(s).tobytes())) for i, t in enumerate(docs)]
+    members = spark.createDataFrame(rows, "family long, bin long, nid long, component long, size long, point binary")
     pages = ngram_rtree.leaf_pages(members, page_docs=4, node_pages=2)
     page_of = {m.nid: p.page for p in pages.collect() for m in p.members}
     opened = {frozenset((r.page, r.page_b)) for r in ngram_rtree.tree_pairs(pages, 85).collect()}
     sets = [ngram_rtree.shingle_set(t, 2) for t in docs]
+    pairs = {frozenset(x) for x in ngram_rtree.page_joins(pages, 85).collect()}
+    assert {frozenset((a, b)) for a in range(len(docs)) for b in range(a) if ngram_rtree._similar(sets[a], sets[b], 85)} <= pairs
     linked = {frozenset((page_of[a], page_of[b])) for a in range(len(docs)) for b in range(a) if ngram_rtree._similar(sets[a], sets[b], 85)}
     n = len(set(page_of.values()))
     assert n >= 24 and {x for x in linked if len(x) == 2} <= opened and len(opened) < 0.4 * n * (n - 1) / 2
 
 
+def test_points_of_large_sets_bound_overlap():
+    rng = np.random.default_rng(4)
+    s = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    for keep in (0.5, 0.9, 1.0):
+        t = np.unique(np.concatenate([s[: int(keep * len(s))], rng.integers(0, 2**63, 900).astype(np.uint64)]))
+        a, b = ngram_rtree.point_of(s)[None, :], ngram_rtree.point_of(t)[None, :]
+        n = min(a.shape[1], b.shape[1])
+        bound = int(ngram_rtree.overlaps(ngram_rtree.folded(a, n), ngram_rtree.folded(b, n))[0, 0])
+        both = len(np.intersect1d(s, t))
+        assert a.shape[1] == 4096 and a.sum() == len(s) and both <= bound < both + 0.25 * len(s)
+
+
 def test_one_doc_id_with_two_texts_beside_a_repeated_row(spark):
     rng = random.Random(5)
     a, b, c = ([f"{k}{i}" for i in range(80)] for k in "abc")
