@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auctra.functions import columns as C
 from auctra.functions import vocab as V
+from auctra.operators.spatial import radius_join, radius_sum
 
 
 def canonical_rows(df: DataFrame, mapping: dict[str, list[str]], required: str = "address") -> DataFrame:
@@ -152,3 +153,21 @@ def station_traffic(df: DataFrame, year: int) -> DataFrame:
     t = df.groupBy("station").agg(F.sum(F.when(F.col("year") == year, F.col("incoming") + F.col("outgoing"))).alias("t"))
     mid = t.agg(F.median("t").alias("mid"))
     return t.join(F.broadcast(mid), F.lit(True), "left").select("station", F.coalesce("t", "mid").alias("traffic"))  # one row
+
+
+def add_by_key(df: DataFrame, more: DataFrame, key: str, fill: dict | None = None) -> DataFrame:
+    """Columns of ``more`` (one row a key) onto rows; rows without a partner stay, with ``fill`` in place of null."""
+    out = df.join(more, key, "left")
+    return out.fillna(fill) if fill else out
+
+
+def competition(lots_: DataFrame, past: DataFrame, radius_m: float = 1000, tolerance: float = 0.3) -> DataFrame:
+    """``competition_index`` over past lots (past_id, l_area, l_lat, l_lon, bidders, excess_pct) of a like area in reach."""
+    pairs = radius_join(lots_.select("lot_id", "area", "lat", "lon"), past, radius_m, right_at=("l_lat", "l_lon"))
+    return competition_index(pairs.where(F.col("l_area").between(F.col("area") * (1 - tolerance), F.col("area") * (1 + tolerance))))
+
+
+def audience(lots_: DataFrame, houses: DataFrame, residents: str, enough: float = 10_000, radius_m: float = 500, right_at=("r_lat", "r_lon")) -> DataFrame:
+    """Adds ``residents`` within the radius and ``has_audience``."""
+    out = radius_sum(lots_, houses, "lot_id", residents, [radius_m], right_at=right_at).withColumnRenamed(f"sum_{radius_m}", "residents")
+    return out.withColumn("has_audience", F.col("residents") >= enough)

@@ -113,3 +113,19 @@ def form_by_class(matches: DataFrame) -> DataFrame:
     kind = F.when(F.col("confidence") == "existing_tenant", "existing_tenant").when(F.col("confidence").isin(V.MATCHED), "new_business").otherwise("not_found")
     below = F.col("final_price") < F.col("start_price")
     return matches.groupBy("trade_form", kind.alias("match_class")).agg(F.count("*").alias("n"), F.median("area").alias("median_area"), F.median("excess").alias("median_excess"), F.median("bidders").alias("median_bidders"), share(below).alias("below_pct"))
+
+
+def evasion_by_percent(lots: DataFrame, most: float = 30, min_n: int = 5) -> DataFrame:
+    """Evasion by the deposit in whole percent of the start price (column ``evasion``)."""
+    pct = F.bround(F.col("deposit") / F.col("start_price") * 100, 0).cast("int")
+    out = lots.where(pct <= most).groupBy(pct.alias("deposit_pct")).agg(F.count("*").alias("n"), F.count_if("evasion").alias("evaded_n"), share(F.col("evasion")).alias("evasion_pct"))
+    return out.where(F.col("n") >= min_n)
+
+
+def form_years(matches: DataFrame) -> DataFrame:
+    """Share of lots with a tenant by year and trade form."""
+    return matches.groupBy(F.year("sale_date").alias("year"), "trade_form").agg(F.count("*").alias("n"), share(F.coalesce(F.col("confidence").isin(V.MATCHED), F.lit(False))).alias("tenant_pct"))
+
+
+def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(value, q).alias(name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])

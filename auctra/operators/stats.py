@@ -161,3 +161,29 @@ def remaining(every: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def first_seen_rows(df: DataFrame, key: str, order: list) -> DataFrame:
     return top_per_group(df, [key], order).drop("rank")
+
+
+def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that both tables have."""
+    return a.select(key).distinct().join(b.select(key), key, "left_semi")
+
+
+def first_remaining(every: DataFrame, done: DataFrame, key: str, n: int) -> DataFrame:
+    """The n smallest keys that are not done yet."""
+    return remaining(every.select(key).distinct(), done, key).orderBy(key).limit(n)
+
+
+def log_histogram(df: DataFrame, col: str, bins: int = 50, top: float = 0.99) -> DataFrame:
+    """Counts in equal bins of log10 of the positive values up to a quantile; the last bin includes its end."""
+    cap = df.agg(F.percentile(col, top).alias("cap"))
+    x = df.join(F.broadcast(cap), F.lit(True)).where((F.col(col) > 0) & (F.col(col) <= F.col("cap"))).select(F.log10(col).alias("v"))  # one row
+    ends = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    x = x.join(F.broadcast(ends), F.lit(True))  # one row
+    return x.groupBy(F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def modes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Type and most frequent value of each column; the smallest of equally frequent ones."""
+    types = dict(df.dtypes)
+    one = lambda c: df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("c")).orderBy(F.desc("c"), c).limit(1).select(F.lit(c).alias("feature"), F.lit(types[c]).alias("type"), F.col(c).cast("string").alias("mode"))
+    return union_all(*[one(c) for c in cols])

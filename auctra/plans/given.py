@@ -31,7 +31,7 @@ def sql_metres(a: str, b: str, c: str, d: str) -> str:
 
 
 def lots(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as lots around 275 addresses; the final price and the number of bidders come from their lines, missing without lines."""
+    """Orders as lots around 275 addresses; the final price and the number of bidders come from their lines; prices are missing without lines and for every ninth lot."""
     line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("lot_id")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("final_price"), F.count("*").alias("bidders"))
     nation = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("district"))
     o = table(spark, d, "orders").join(nation, F.col("o_custkey") == F.col("c_custkey"))
@@ -42,14 +42,15 @@ def lots(spark: SparkSession, d: str) -> DataFrame:
         F.when(key % 7 == 0, 500000.0).otherwise(F.col("o_totalprice") * ((key % 4) * 5 + 5) / 100).alias("deposit"),
         (lat("a") + (key % 37 - 18).cast("double") * 0.0001).alias("lat"), (lon("a") + (key % 31 - 15).cast("double") * 0.0002).alias("lon"), F.concat(F.lit("addr "), F.col("a").cast("string")).alias("address_canon"), ((key % 180) + 10).cast("double").alias("area"),
     )
-    return o.join(line, "lot_id", "left").withColumn("excess", (F.col("final_price") - F.col("start_price")) / F.col("start_price") * 100)
+    o = o.join(line, "lot_id", "left").withColumn("final_price", F.when(F.col("lot_id") % 9 != 0, F.col("final_price")))
+    return o.withColumn("excess", (F.col("final_price") - F.col("start_price")) / F.col("start_price") * 100)
 
 
 LOTS = f"""li AS (SELECT l_orderkey AS lot_id, sum(l_extendedprice * (1 - l_discount)) AS final_price, count(*) AS bidders FROM lineitem GROUP BY 1),
 lots AS (SELECT o_orderkey AS lot_id, o_orderdate::DATE AS sale_date, o_totalprice AS start_price, o_orderpriority AS trade_form, n_name AS district,
   CASE WHEN o_orderkey % 7 = 0 THEN 500000.0::DOUBLE ELSE o_totalprice * ((o_orderkey % 4) * 5 + 5) / 100 END AS deposit,
   {sql_lat("o_orderkey % 275")} + (o_orderkey % 37 - 18)::DOUBLE * 0.0001::DOUBLE AS lat, {sql_lon("o_orderkey % 275")} + (o_orderkey % 31 - 15)::DOUBLE * 0.0002::DOUBLE AS lon, 'addr ' || (o_orderkey % 275) AS address_canon, ((o_orderkey % 180) + 10)::DOUBLE AS area,
-  li.final_price, li.bidders, (li.final_price - o_totalprice) / o_totalprice * 100 AS excess
+  CASE WHEN o_orderkey % 9 != 0 THEN li.final_price END AS final_price, li.bidders, CASE WHEN o_orderkey % 9 != 0 THEN (li.final_price - o_totalprice) / o_totalprice * 100 END AS excess
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN li ON li.lot_id = o_orderkey)"""
 
 
@@ -64,7 +65,7 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     rows = x.select(F.date_format(quarter, "yyyy-MM").alias("snapshot_label"), F.last_day(quarter.cast("date")).alias("snapshot_date"), F.col("l_suppkey").alias("org_id"), a).distinct()
     text = org.cast("string")
     spelling = F.when((org % 10 == 3) & F.col("snapshot_label").endswith("-04"), "ORG ").when(org % 10 == 4, "OZON, пункт ").when(org % 10 == 5, "Банкомат ").otherwise("Org ")
-    rubric = F.when(org % 7 == 6, "Грузоперевозки / Транспортные услуги, Склады").otherwise(F.concat(F.lit("Rubric "), (org % 7).cast("string")))
+    rubric = F.when(org % 7 == 6, "Грузоперевозки / Транспортные услуги, Склады").when(org % 7 == 5, "Аптеки").otherwise(F.concat(F.lit("Rubric "), (org % 7).cast("string")))
     address = F.concat(F.lit("addr "), F.col("a").cast("string"))
     return rows.select("snapshot_label", "snapshot_date", "org_id", F.concat(spelling, text).alias("org_name"), address.alias("address_norm"), address.alias("address_canon"), rubric.alias("rubric"),
                        F.lit(None).cast("string").alias("subrubric"), lat("a").alias("lat"), lon("a").alias("lon"))
@@ -72,7 +73,7 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 SNAPSHOTS = f"""snaps0 AS (SELECT DISTINCT strftime(date_trunc('quarter', l_shipdate), '%Y-%m') AS snapshot_label, last_day(date_trunc('quarter', l_shipdate)::DATE) AS snapshot_date, l_suppkey AS org_id, (l_suppkey * 3 + l_partkey % 3) % 250 AS a FROM lineitem WHERE l_quantity <= 5),
 snaps AS (SELECT snapshot_label, snapshot_date, org_id, CASE WHEN org_id % 10 = 3 AND snapshot_label LIKE '%-04' THEN 'ORG ' WHEN org_id % 10 = 4 THEN 'OZON, пункт ' WHEN org_id % 10 = 5 THEN 'Банкомат ' ELSE 'Org ' END || org_id AS org_name,
-  'addr ' || a AS address_canon, CASE WHEN org_id % 7 = 6 THEN 'Грузоперевозки / Транспортные услуги, Склады' ELSE 'Rubric ' || (org_id % 7) END AS rubric, {sql_lat("a")} AS lat, {sql_lon("a")} AS lon FROM snaps0)"""
+  'addr ' || a AS address_canon, CASE WHEN org_id % 7 = 6 THEN 'Грузоперевозки / Транспортные услуги, Склады' WHEN org_id % 7 = 5 THEN 'Аптеки' ELSE 'Rubric ' || (org_id % 7) END AS rubric, {sql_lat("a")} AS lat, {sql_lon("a")} AS lon FROM snaps0)"""
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:

@@ -91,11 +91,11 @@ def form_year_pivot(spark, d):
 
 
 _DEPOSIT = "CASE WHEN deposit IS NULL THEN 'none' WHEN abs(deposit - 500000) < 1 THEN 'fixed 500k' WHEN pct IS NULL THEN 'unknown percent' WHEN pct < 5 THEN '1-5%' WHEN pct < 10 THEN '5-10%' WHEN abs(pct - 10) < 0.5 THEN '10%' WHEN pct < 20 THEN '10-20%' ELSE '20%+' END"
-_EVASION = f"{LOTS}, ev AS (SELECT *, round_even(deposit / start_price * 100, 1) AS pct, bidders >= 2 AND final_price < start_price AS evaded FROM lots), ty AS (SELECT *, {_DEPOSIT} AS deposit_type FROM ev)"
+_EVASION = f"{LOTS}, ev AS (SELECT *, round_even(deposit / start_price * 100, 1) AS pct, bidders >= 2 AND final_price IS NULL AS evaded FROM lots), ty AS (SELECT *, {_DEPOSIT} AS deposit_type FROM ev)"
 
 
 def _evasion(spark, d):
-    return lots(spark, d).withColumn("deposit_type", C.deposit_type("deposit", "start_price")).withColumn("evaded", F.coalesce((F.col("bidders") >= 2) & (F.col("final_price") < F.col("start_price")), F.lit(False)))
+    return L.evasion_flags(lots(spark, d)).withColumn("deposit_type", C.deposit_type("deposit", "start_price")).withColumnRenamed("evasion", "evaded")
 
 
 @query(f"WITH {_EVASION} SELECT deposit_type, count(*) AS n, count(*) FILTER (evaded) AS evaded_n, round(count(*) FILTER (evaded) * 100.0::DOUBLE / count(*), 4) AS evasion_pct, round(avg(bidders), 4) AS mean_bidders FROM ty GROUP BY 1")
@@ -400,17 +400,25 @@ def uncovered_addresses(spark, d):
     return M.uncovered_addresses(lots(spark, d), snapshots(spark, d)).select("lot_id", "address_canon")
 
 
-_CHAINS = "ch AS (SELECT p_brand AS chain, p_type AS category, min(p_size) * 5.0::DOUBLE AS area_min_m2, max(p_size) * 4.0::DOUBLE AS area_max_m2 FROM part GROUP BY 1, 2)"
+_CHAINS = "ch AS (SELECT p_brand AS chain, CASE WHEN p_type LIKE 'PROMO%' THEN 'Алкомаркеты' ELSE p_type END AS category, right(p_brand, 1)::INTEGER % 5 AS b, min(p_size) * 5.0::DOUBLE AS area_min_m2, max(p_size) * 4.0::DOUBLE AS area_max_m2 FROM part GROUP BY 1, 2, 3)"
 
 
 def _chains(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("name"), F.col("p_type").alias("category")).agg((F.min("p_size") * 5.0).alias("area_min_m2"), (F.max("p_size") * 4.0).alias("area_max_m2")).withColumn("floor", F.lit("")).withColumn("separate_entrance", F.lit(False))
+    category = F.when(F.col("p_type").startswith("PROMO"), V.ALCOHOL_CATEGORY).otherwise(F.col("p_type"))
+    x = table(spark, d, "part").groupBy(F.col("p_brand").alias("name"), category.alias("category")).agg((F.min("p_size") * 5.0).alias("area_min_m2"), (F.max("p_size") * 4.0).alias("area_max_m2"))
+    b = F.right("name", F.lit(1)).cast("int") % 5
+    return x.withColumn("floor", F.array(*[F.lit(f) for f in ("цоколь", "первый этаж; подвал", "-1", "", "1")])[b]).withColumn("separate_entrance", b == 2)
 
 
-@query(f"WITH {POINTS}, {_CHAINS}, m AS (SELECT lot_id, category, chain FROM points JOIN ch ON area >= area_min_m2 AND area <= area_max_m2) SELECT lot_id, count(*) AS chains_n, string_agg(DISTINCT category, ', ' ORDER BY category) AS categories FROM m GROUP BY 1")
+@query(f"""WITH {POINTS}, {_CHAINS}, p AS (SELECT lot_id, area, lot_id % 4 AS f, lot_id % 2 = 0 AS sep, lot_id % 3 = 0 AS school FROM points),
+m AS (SELECT lot_id, category, chain FROM p JOIN ch ON area >= area_min_m2 AND area <= area_max_m2 WHERE (b = 3 OR (f = 0 AND b IN (1, 4)) OR (f = 1 AND b IN (1, 2)) OR (f = 2 AND b = 0)) AND (b != 2 OR sep) AND NOT (category = 'Алкомаркеты' AND school)),
+g AS (SELECT lot_id, category, count(*) AS c FROM m GROUP BY 1, 2), t AS (SELECT lot_id, arg_max(category, (c, category)) AS top_category FROM g GROUP BY 1)
+SELECT lot_id, count(*) AS chains_n, string_agg(DISTINCT category, ', ' ORDER BY category) AS categories, array_to_string(list_sort(list(chain))[1:8], '; ') AS top_chains, any_value(top_category) AS top_category FROM m JOIN t USING (lot_id) GROUP BY 1""")
 def chain_matches(spark, d):
-    p = points(spark, d).select("lot_id", "area", F.lit("1 этаж").alias("floor_label"), F.lit(True).alias("separate"), F.lit(False).alias("near_school"))
-    return M.chain_summary(M.match_chains(p, _chains(spark, d))).select("lot_id", "chains_n", "categories")
+    k = F.col("lot_id")
+    label = F.array(*[F.lit(x) for x in ("1 этаж", "Подвал", "Цоколь", "2 этаж")])[(k % 4).cast("int")]
+    p = points(spark, d).select("lot_id", "area", label.alias("floor_label"), (k % 2 == 0).alias("separate"), (k % 3 == 0).alias("near_school"))
+    return M.chain_summary(M.match_chains(p, _chains(spark, d))).select("lot_id", "chains_n", "categories", "top_chains", "top_category")
 
 
 @query(f"WITH {_CHAINS} SELECT category, min(area_min_m2) * 0.25::DOUBLE AS area_lo, round(quantile_cont(area_max_m2, 0.75) * 4, 4) AS area_hi FROM ch GROUP BY 1")
@@ -422,21 +430,22 @@ def area_limits(spark, d):
 n AS (SELECT lot_id, CASE lot_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS c, (lot_id % 200)::INTEGER AS a FROM lots WHERE lot_id % 6 != 0),
 x AS (SELECT g.lot_id, CASE WHEN w LIKE 'gap%' THEN NULL ELSE g.c END AS c, CASE WHEN w LIKE 'gap%' THEN NULL ELSE g.a END AS a, CASE WHEN w LIKE 'gap%' THEN NULL ELSE w END AS w, n.c AS nc, n.a AS na FROM g LEFT JOIN n ON n.lot_id = g.lot_id AND n.c != 'low'),
 y AS (SELECT *, CASE WHEN nc IS NULL THEN 'none' WHEN c IS NULL THEN 'added' WHEN na < a OR (na = a AND CASE nc WHEN 'high' THEN 0 ELSE 1 END <= CASE c WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) THEN 'upgraded' ELSE 'kept' END AS action FROM x)
-SELECT lot_id, CASE WHEN action IN ('added', 'upgraded') THEN nc ELSE c END AS confidence, CASE WHEN action IN ('added', 'upgraded') THEN na ELSE a END AS after_days FROM y""")
+SELECT lot_id, CASE WHEN action IN ('added', 'upgraded') THEN nc ELSE c END AS confidence, CASE WHEN action IN ('added', 'upgraded') THEN na ELSE a END AS after_days, CASE WHEN action IN ('added', 'upgraded') THEN 'new ' || lot_id WHEN w IS NOT NULL THEN 'old ' || lot_id END AS company FROM y""")
 def merge_gap_matches(spark, d):
     k = F.col("lot_id")
     ids = lots(spark, d).select("lot_id")
     none = F.lit(None).cast("string")
     window = F.when(k % 4 == 3, none).when(k % 5 == 0, "gap_snapshot_x").otherwise("first_after_snapshot_x")
-    old = ids.select("lot_id", none.alias("company"), none.alias("usage"), F.when(k % 4 == 0, "high").when(k % 4 == 1, "medium").when(k % 4 == 2, "low").alias("confidence"), (k % 300).cast("int").alias("after_days"), window.alias("time_window"))
-    gap = ids.where(k % 6 != 0).select("lot_id", none.alias("company"), none.alias("usage"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low").alias("confidence"), (k % 200).cast("int").alias("after_days"), F.lit("2024-01").alias("snapshot_label"))
-    return M.merge_gap(old, gap)[0].select("lot_id", "confidence", "after_days")
+    name = lambda p: F.concat(F.lit(p + " "), k.cast("string"))
+    old = ids.select("lot_id", F.when(k % 4 != 3, name("old")).alias("company"), none.alias("usage"), F.when(k % 4 == 0, "high").when(k % 4 == 1, "medium").when(k % 4 == 2, "low").alias("confidence"), (k % 300).cast("int").alias("after_days"), window.alias("time_window"))
+    gap = ids.where(k % 6 != 0).select("lot_id", name("new").alias("company"), none.alias("usage"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low").alias("confidence"), (k % 200).cast("int").alias("after_days"), F.lit("2024-01").alias("snapshot_label"))
+    return M.merge_gap(old, gap)[0].select("lot_id", "confidence", "after_days", "company")
 
 
 # Lots, houses, valuation, sets
 
 
-@query(f"WITH {LOTS} SELECT lot_id, CASE WHEN EXISTS (SELECT 1 FROM labels WHERE doc_id = lot_id AND toxic = 1) THEN 'refused' WHEN final_price IS NULL THEN 'failed' ELSE 'held' END AS status FROM lots")
+@query(f"WITH {LOTS} SELECT lot_id, CASE WHEN EXISTS (SELECT 1 FROM labels WHERE doc_id = lot_id AND toxic = 1) THEN 'refused' WHEN bidders > 0 AND final_price IS NULL THEN 'hidden_failure' WHEN final_price IS NULL THEN 'failed' ELSE 'held' END AS status FROM lots")
 def lot_statuses(spark, d):
     refused = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("lot_id"))
     return L.lot_status(lots(spark, d), refused).select("lot_id", "status")
@@ -454,16 +463,16 @@ def station_traffic(spark, d):
     return L.station_traffic(x, 1998)
 
 
-@query(_territorial("l_floor = floor", "l_entrance = entrance").replace("SELECT p.lot_id, round(", "SELECT p.lot_id, p.area, (").replace("END, 4) AS territorial,", "END) AS territorial,").join(["WITH t AS (", ") SELECT lot_id, round(territorial * area, 2) AS market_price, round(territorial * area * (1 - 0.284::DOUBLE), 2) AS pessimistic_price, round((territorial * area - area * 50000) / (area * 50000) * 100, 4) AS upside_pct FROM t"]))
+@query(_territorial("l_floor = floor", "l_entrance = entrance").replace("SELECT p.lot_id, round(", "SELECT p.lot_id, p.area, (").replace("END, 4) AS territorial,", "END) AS territorial,").join(["WITH t AS (", ") SELECT lot_id, round(f * area, 2) AS market_price, round(f * area * (1 - 0.284::DOUBLE), 2) AS pessimistic_price, round(f * area - area * 50000, 2) AS upside, round((f * area - area * 50000) / (area * 50000) * 100, 4) AS upside_pct FROM (SELECT *, coalesce(0.3::DOUBLE * territorial + 0.7::DOUBLE * m, territorial, m) AS f FROM (SELECT *, CASE WHEN lot_id % 3 != 0 THEN (90000 + lot_id % 50 * 1000)::DOUBLE END AS m FROM t))"]))
 def lot_valuations(spark, d):
-    t = S.territorial_median(points(spark, d), listings(spark, d), 3000).withColumn("auction_price", F.col("area") * 50000).withColumn("model_m2", F.lit(None).cast("double"))
-    return L.value_lots(t).select("lot_id", r("market_price", 2).alias("market_price"), r("pessimistic_price", 2).alias("pessimistic_price"), r("upside_pct").alias("upside_pct"))
+    t = S.territorial_median(points(spark, d), listings(spark, d), 3000).withColumn("auction_price", F.col("area") * 50000).withColumn("model_m2", F.when(F.col("lot_id") % 3 != 0, (90000 + F.col("lot_id") % 50 * 1000).cast("double")))
+    return L.value_lots(t, alpha=0.3).select("lot_id", r("market_price", 2).alias("market_price"), r("pessimistic_price", 2).alias("pessimistic_price"), r("upside", 2).alias("upside"), r("upside_pct").alias("upside_pct"))
 
 
-@query(f"WITH {POINTS} SELECT lot_id, round((area * 100000 + area * 300000) / ((800 + lot_id % 900) * 12 * area), 4) AS payback_years, round((800 + lot_id % 900) * 12 / 150000.0::DOUBLE * 100, 4) AS cap_rate_market FROM points")
+@query(f"WITH {POINTS} SELECT lot_id, round((area * 100000 + area * 300000) / ((800 + lot_id % 900) * 12 * area), 4) AS payback_years, round((area * 100000 + area * 300000) / ((800 + lot_id % 900) * 12 * area * (1 - 0.311::DOUBLE)), 4) AS pessimistic_payback, round((800 + lot_id % 900) * 12 / 100000.0::DOUBLE * 100, 4) AS cap_rate_auction, round((800 + lot_id % 900) * 12 / 150000.0::DOUBLE * 100, 4) AS cap_rate_market, round((area * 150000 + area * 300000) / ((800 + lot_id % 900) * 12 * area), 4) AS market_payback FROM points")
 def paybacks(spark, d):
     p = points(spark, d).withColumn("auction_price", F.col("area") * 100000).withColumn("rent_m2", (800 + F.col("lot_id") % 900).cast("double")).withColumn("final_m2", F.lit(150000.0))
-    return L.payback(p).select("lot_id", r("payback_years").alias("payback_years"), r("cap_rate_market").alias("cap_rate_market"))
+    return L.payback(p).select("lot_id", *[r(c).alias(c) for c in ("payback_years", "pessimistic_payback", "cap_rate_auction", "cap_rate_market", "market_payback")])
 
 
 @query("SELECT doc_id, (quality IS NULL) AS holdout FROM documents LEFT JOIN labels USING (doc_id)")
@@ -544,7 +553,7 @@ def nearest_embeddings(spark, d):
     return knn(e, e, "vec_id", "vec_id", "v").select("query_id", "rank", "neighbour_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {LISTINGS}, e AS (SELECT a.url AS u, b.url AS v FROM listings a JOIN listings b ON a.url != b.url AND abs(a.l_lat - b.l_lat) < 0.003 AND {sql_metres('a.l_lat', 'a.l_lon', 'b.l_lat', 'b.l_lon')} <= 300), c AS (SELECT DISTINCT u AS a, u AS b FROM e UNION SELECT c.a, e.v FROM c JOIN e ON e.u = c.b) SELECT a AS node, min(b) AS component FROM c GROUP BY 1")
 def location_clusters(spark, d):
     """Connected components of listings within 300 m."""
     from auctra.operators.components import connected_components
@@ -667,3 +676,6 @@ def unique_locations(spark, d):
     k = F.floor(F.col("c_custkey") / 2)
     x = table(spark, d, "customer").select(k.alias("k"), F.when(k % 3 == 0, k).otherwise(F.col("c_custkey")).alias("a")).select("k", lat("a").alias("lat"), lon("a").alias("lon"))
     return reports.unique_locations(x, "k").select("k", "lat")
+
+
+from auctra.plans import coverage  # noqa: E402, F401  registers further queries
