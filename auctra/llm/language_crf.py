@@ -44,7 +44,11 @@ _word = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word.findall(text.lower()) if text else []
+    """Runs of letters; signs that the pattern takes beside letters (circled or Roman numerals, fractions) part words."""
+    found = _word.findall(text.lower()) if text else []
+    if text and not text.isascii() and not all(map(str.isalpha, found)):
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
 
 
 def features_of(word: str) -> list[str]:

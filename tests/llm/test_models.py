@@ -37,6 +37,10 @@ def test_language_accuracy_and_edges(spark):
     assert [s["lang"] for s in spans] == ["en", "de"]
 
 
+def test_words_are_letters():
+    assert language_crf.words_of("① Ⅷ ½ 12_3 ²") == [] and language_crf.words_of("Ab①cd Ünder x²") == ["ab", "cd", "ünder", "x"] and language_crf.words_of(None) == []
+
+
 def test_marginals_equal_one_pass():
     rng = np.random.default_rng(1)
     field = language_crf.Field(["a", "b", "c"], {f"={w}": i for i, w in enumerate("uvwxyz")}, rng.normal(size=(6, 3)), rng.normal(size=(3, 3)))
