@@ -176,16 +176,23 @@ def known() -> list[tuple[str, str]]:
 
 
 def canonical_lines(text: Column) -> Column:
-    """The text in canonical form, line by line (array of strings)."""
+    """The text in canonical form, line by line (array of strings); lines without a word are left out.
+
+    Every word has blanks of its own, so that neighbouring words are both levelled; spellings of two
+    words also meet over the end of a line (and then stand at the end of the first).
+    """
     c = F.regexp_replace(F.translate(text, _UPPER, _LOWER), OWNER_LINE, "")
-    c = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(c, BETWEEN_WORDS, " "), "\n", " \n "), F.lit(" "))
+    c = F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), BETWEEN_WORDS, "  ")
+    c = F.regexp_replace(c, " *\n[ \n]*", " \n ")
     for a, b in SPELLINGS:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
+        c = F.replace(c, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+        if " " in a:
+            c = F.replace(c, F.lit(f" {a.replace(' ', ' ' + chr(10) + ' ')} "), F.lit(f" {b.replace(' ', '  ')} \n "))
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
 
 
 def digest_of(lines: Column) -> Column:
-    return F.sha2(F.array_join(F.filter(lines, lambda x: x != ""), " "), 256)
+    return F.sha2(F.array_join(lines, " "), 256)
 
 
 def known_digests(spark: SparkSession, entries: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -202,7 +209,7 @@ def scan(docs: DataFrame, entries: list[tuple[str, str]] | None = None) -> DataF
     by_digest = {r["digest"]: r["license"] for r in known_table.collect()}  # a fixed list
     table = F.create_map(*[F.lit(x) for kv in by_digest.items() for x in kv])
     rows = docs.select(F.struct("*").alias("doc"), canonical_lines(F.col("text")).alias("lines"))
-    lines = F.transform(F.array_distinct(F.filter("lines", lambda x: x != "")), lambda x: F.sha2(x, 256))
+    lines = F.transform(F.array_distinct("lines"), lambda x: F.sha2(x, 256))
     rows = rows.select("doc", digest_of(F.col("lines")).alias("digest"), F.array_intersect(lines, F.array(*map(F.lit, by_digest))).alias("hits"))
     notices = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.element_at(table, x))))
     rows = rows.join(F.broadcast(known_table), "digest", "left")
@@ -210,12 +217,21 @@ def scan(docs: DataFrame, entries: list[tuple[str, str]] | None = None) -> DataF
 
 
 def sql() -> str:
-    """DuckDB form of the query over documents (unique doc_ids)."""
+    """DuckDB form of the query over documents (unique doc_ids): word by word, where the Spark form replaces in the text."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    form = f"' ' || regexp_replace(regexp_replace(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), {quote(OWNER_LINE)}, '', 'g'), {quote(BETWEEN_WORDS)}, ' ', 'g'), '\\n', chr(32) || chr(10) || chr(32), 'g') || ' '"
+    words = {a: b for a, b in SPELLINGS if " " not in a}
+    # A word is levelled until it no longer changes; the list has no longer chain than two.
+    table = "MAP {" + ", ".join(f"'{a}': '{words.get(b, b)}'" for a, b in words.items()) + "}"
+    form = f"regexp_replace(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), {quote(OWNER_LINE)}, '', 'g'), {quote(BETWEEN_WORDS)}, ' ', 'g')"
+    tokens = f"list_filter(string_split(regexp_replace({form}, '\\n', ' ' || chr(10) || ' ', 'g'), ' '), lambda x: x != '')"
+    level = f"list_transform({tokens}, lambda x: coalesce({table}[x], x))"
+    joined = f"regexp_replace('  ' || array_to_string({level}, '  ') || '  ', '( *\\n *)+', '  ' || chr(10) || '  ', 'g')"
     for a, b in SPELLINGS:
-        form = f"replace({form}, ' {a} ', ' {b} ')"
-    lines = f"list_filter(list_transform(string_split({form}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x != '')"
+        if " " in a:
+            x, y = [words.get(w, w) for w in a.split(" ")]
+            to = " ".join(words.get(w, w) for w in b.split(" ")).replace(" ", "  ")
+            joined = f"replace(replace({joined}, ' {x}  {y} ', ' {to} '), ' {x}  ' || chr(10) || '  {y} ', ' {to}  ' || chr(10) || '  ')"
+    lines = f"list_filter(list_transform(string_split({joined}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x != '')"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known())
     return f"""
 WITH k0(license, text) AS (VALUES {values}),

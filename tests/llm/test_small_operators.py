@@ -149,3 +149,16 @@ def test_archives(spark, tmp_path):
     assert [r.payload for r in some] == ["a\r\n\r\nb"]
     empty = f"file://{tmp_path}/none"
     assert warc_index.read_records(warc_index.write_archives(df.limit(0), empty), empty).count() == 0
+
+
+def test_canonical_form_meets_neighbours_and_line_ends(spark):
+    from auctra.llm.license_digest import canonical_lines, digest_of
+
+    same = [
+        ("a licence licence b", "a license license b"), ("the sub\nlicence of", "the sub license of"), ("non\n * commercial use", "noncommercial use"), ("per\n\ncent", "percent"),
+        ("copyright\nowner owner", "Copyright Holder holder"), ("while while while", "whilst whilst whilst"), ("licence\nlicence", "License, LICENSE"),
+    ]
+    rows = spark.createDataFrame(same, "a string, b string").select("a", *[digest_of(canonical_lines(x)).alias(n) for x, n in ((F.col("a"), "p"), (F.col("b"), "q"))]).collect()
+    assert [r.a for r in rows if r.p != r.q] == []
+    again = spark.createDataFrame(same, "a string, b string").select(F.array_join(canonical_lines(F.col("a")), "\n").alias("c")).select("c", F.array_join(canonical_lines(F.col("c")), "\n").alias("d")).collect()
+    assert all(r.c == r.d for r in again)
