@@ -348,13 +348,13 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     nid = F.when(F.col("n_shingles") > 0, F.xxhash64("digest")).alias("nid")
     rows = materialise(featured.select("doc_id", "doc_key", "text_key", "n_shingles", "digest", "point", nid), "rtree-rows")
 
-    # Keys with two sets or more, with their smallest set.
+    # Keys with two sets or more: every set but the smallest meets that one, the hub.
     keys = featured.select(nid, F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where("hub != last").select("key", "hub")
-    shared = materialise(shared, "rtree-shared")
-    shared = materialise(keys.join(shared, "key").select("key", "nid", "hub"), "rtree-shared")
+    hubs = materialise(keys.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"), "rtree-hubs")
+    shared = materialise(keys.join(hubs, "key").where("nid != hub").select("key", "nid", "hub"), "rtree-shared")
     discard(featured)
-    stars = materialise(shared.where("nid != hub").select("nid", "hub").distinct(), "rtree-stars")
+    discard(hubs)
+    stars = materialise(shared.select("nid", "hub").distinct(), "rtree-stars")
 
     # Exact copies: one text for each distinct set that shares a key.
     nodes = rows.where("n_shingles > 0").groupBy("digest").agg(
@@ -381,7 +381,8 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     crossed = materialise(crossed, "rtree-crossed")
     families = materialise(connected_components(crossed.select("u", "v")), "rtree-families")
     open_keys = materialise(shared.join(crossed.select("nid", "hub"), ["nid", "hub"], "left_semi").select("key").distinct(), "rtree-open")
-    members = _component(shared.join(open_keys, "key", "left_semi").select("nid").distinct(), joined, "nid", "component")
+    met = shared.join(open_keys, "key", "left_semi").select("nid", "hub").distinct()
+    members = _component(met.select("nid").union(met.select("hub")).distinct(), joined, "nid", "component")
     members = materialise(members.join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component"), "rtree-members")
     large = materialise(members.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") >= OWN_PAGES).select("component", F.col("component").alias("bin")), "rtree-large")
     members = members.join(large, "component", "left").select("family", F.coalesce("bin", F.lit(-1)).alias("bin"), "nid", "component").join(full.drop("text"), "nid")

@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from auctra.llm.common import materialise
+from auctra.llm.common import batches_of, materialise
 
 WINDOW, UNIT, EOS = 4096, 64, 2
 #: Most different lengths of a combination; each may repeat.
@@ -218,7 +219,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, unit: int = UNIT
     spark = docs.sparkSession
     made = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), _pieces_udf(tokenizer, window, unit, eos, with_ids)(F.col("text")).alias("p"))
     made = made.withColumn("doc_tokens", F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["length"]))
-    made = materialise(made.select("doc_id", "row_id", "doc_tokens", F.explode("p").alias("p")).select("doc_id", "row_id", "doc_tokens", "p.*"), "pack-pieces")
+    with batches_of(spark, "8m"):
+        made = materialise(made.select("doc_id", "row_id", "doc_tokens", F.explode("p").alias("p")).select("doc_id", "row_id", "doc_tokens", "p.*"), "pack-pieces")
 
     hist = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # window / unit + unit lengths at most
     rows, first = [], 0
@@ -230,7 +232,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, unit: int = UNIT
             used[k] += c * times
             at += c * k
         first += times
-    slots = spark.createDataFrame(rows, "length long, lo long, hi long, first long, per long, at long")
+    # An Arrow table: rows would start further Python workers.
+    columns = ["length", "lo", "hi", "first", "per", "at"]
+    slots = spark.createDataFrame(pa.table({c: pa.array([x[i] for x in rows], pa.int64()) for i, c in enumerate(columns)}))
 
     buckets = max(1, math.ceil(sum(hist.values()) / BUCKET_ROWS))
     dealt = made.withColumn("bucket", F.pmod(F.xxhash64("row_id", "start"), F.lit(buckets)))
