@@ -678,4 +678,4 @@ def unique_locations(spark, d):
     return reports.unique_locations(x, "k").select("k", "lat")
 
 
-from auctra.plans import coverage  # noqa: E402, F401  registers further queries
+from auctra.plans import coverage, rules  # noqa: E402, F401  register further queries
