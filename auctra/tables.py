@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,10 +43,9 @@ def _delete(spark: SparkSession, path: str) -> bool:
 
 def discard(table: DataFrame) -> None:
     """Deletes a table of ``materialise`` whose every reader has been written."""
-    for path in {f.rpartition("/")[0].removeprefix("file:") for f in table.inputFiles()}:
-        if found := next((x for x in _written if x.removeprefix("file:").replace("//", "/").rstrip("/") == path.replace("//", "/")), None):
-            _written.remove(found)
-            _delete(table.sparkSession, found)
+    plain = lambda x: re.sub("/+", "/", x.removeprefix("file:"))  # noqa: E731  one spelling of local paths
+    folders = {plain(f.rpartition("/")[0]) for f in table.inputFiles()}
+    remove(table.sparkSession, [x for x in _written if plain(x) in folders])
 
 
 @contextmanager
