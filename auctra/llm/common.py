@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auctra.tables import materialise, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD_PATTERN", "batches_of", "lookup", "materialise", "shared_dir"]
+__all__ = ["BROADCAST_ROWS", "WORD_PATTERN", "batches_of", "give_back", "lookup", "materialise", "shared_dir"]
 
 #: Words of the contracts: maximal runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -45,3 +46,8 @@ def batches_of(spark: SparkSession, size: str):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Returns the memory of earlier Arrow batches to the system: Python workers live on beside the JVM of their executor."""
+    pa.default_memory_pool().release_unused()

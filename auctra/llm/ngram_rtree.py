@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auctra.llm.common import batches_of, materialise
+from auctra.llm.common import batches_of, give_back, materialise
 from auctra.operators.components import connected_components
 from auctra.tables import discard
 
@@ -149,6 +149,7 @@ _FEATURES = T.StructType(
 def _features_udf(n: int, pct: int):
     @F.pandas_udf(_FEATURES)
     def features(texts: pd.Series) -> pd.DataFrame:
+        give_back()
         rows = []
         for x in texts:
             s = shingle_set(x, n)
@@ -166,6 +167,7 @@ def _similar(s: np.ndarray, t: np.ndarray, pct: int) -> bool:
 def _similar_udf(n: int, pct: int):
     @F.pandas_udf(T.BooleanType())
     def similar(texts: pd.Series, hubs: pd.Series) -> pd.Series:
+        give_back()
         out, last, t = [], None, None
         for x, hub in zip(texts, hubs):
             if hub is not last and hub != last:
@@ -308,7 +310,7 @@ def leaf_pages(members: DataFrame, page_docs: int = PAGE_DOCS, node_pages: int =
     members = materialise(members.withColumns({"band": F.floor(8 * F.log2("size")).cast("int"), "tile": _tile_of("point")}), "rtree-tiles")
     order = ["family", "bin", "band", "tile", "nid"]
     members = members.repartitionByRange(*order).sortWithinPartitions(*order)
-    with batches_of(members.sparkSession, "8m"):
+    with batches_of(members.sparkSession, "2m"):
         return materialise(members.drop("band", "tile").mapInPandas(_tile(page_docs, node_pages), _PAGES), "rtree-pages")
 
 
@@ -317,7 +319,7 @@ def page_joins(pages: DataFrame, pct: int) -> DataFrame:
     within = pages.where("docs > 1 AND first != last").select("members")
     content = pages.select("page", "members")
     joined = tree_pairs(pages, pct).join(content, "page").select(F.col("page_b").alias("page"), F.col("members").alias("others")).join(content, "page")
-    with batches_of(pages.sparkSession, "8m"):
+    with batches_of(pages.sparkSession, "2m"):
         inner = materialise(within.mapInPandas(_pairs(pct), "u long, v long"), "rtree-within")
         return inner.unionByName(materialise(joined.select("members", "others").mapInPandas(_pairs(pct), "u long, v long"), "rtree-across"))
 
@@ -326,7 +328,7 @@ def _verified(pairs: DataFrame, full: DataFrame, n: int, pct: int) -> DataFrame:
     """The pairs (u, v) that are linked, by whole texts."""
     texts = lambda i, t: full.select(F.col("nid").alias(i), F.col("text").alias(t))
     near = pairs.join(texts("u", "u_text"), "u").join(texts("v", "v_text"), "v")
-    with batches_of(full.sparkSession, "8m"):
+    with batches_of(full.sparkSession, "2m"):
         return materialise(near.where(_similar_udf(n, pct)(F.col("u_text"), F.col("v_text"))).select("u", "v"), "rtree-links")
 
 
@@ -343,7 +345,7 @@ def _component(nodes: DataFrame, components: DataFrame, of: str, name: str) -> D
 def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int = PAGE_DOCS, node_pages: int = NODE_PAGES) -> DataFrame:
     """One row per row of ``docs``: doc_id, doc_key, text_key, n_shingles, component (null without shingles), component_id."""
     texts = docs.select("doc_id", *_keys_of_row(), "text")
-    with batches_of(docs.sparkSession, "8m"):
+    with batches_of(docs.sparkSession, "2m"):
         featured = materialise(texts.select("doc_id", "doc_key", "text_key", _features_udf(n, pct)(F.col("text")).alias("f")).select("doc_id", "doc_key", "text_key", "f.*"), "rtree-keys")
     nid = F.when(F.col("n_shingles") > 0, F.xxhash64("digest")).alias("nid")
     rows = materialise(featured.select("doc_id", "doc_key", "text_key", "n_shingles", "digest", "point", nid), "rtree-rows")
@@ -369,7 +371,7 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     points = lambda i, p, size: full.select(F.col("nid").alias(i), F.col("point").alias(p), F.col("size").alias(size))
     near = stars.select(F.col("nid").alias("u"), F.col("hub").alias("v")).join(points("u", "u_point", "u_size"), "u").join(points("v", "v_point", "v_size"), "v")
     near = near.where(100 * F.least("u_size", "v_size") >= pct * F.greatest("u_size", "v_size"))
-    with batches_of(docs.sparkSession, "8m"):
+    with batches_of(docs.sparkSession, "2m"):
         near = materialise(near.where((100 + pct) * points_overlap("u_point", "v_point") >= pct * (F.col("u_size") + F.col("v_size"))).select("u", "v"), "rtree-near")
     links = _verified(near, full, n, pct)
     twice = rows.where("doc_id IS NOT NULL AND nid IS NOT NULL").groupBy("doc_id").agg(F.min("nid").alias("v"), F.max("nid").alias("last")).where("v != last").select("doc_id", "v")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from auctra.llm.common import batches_of, materialise
+from auctra.llm.common import batches_of, give_back, materialise
 
 WINDOW, UNIT, EOS = 4096, 64, 2
 #: Most different lengths of a combination; each may repeat.
@@ -35,7 +35,7 @@ DEPTH = 2
 #: Mean rows of a (length, bucket) in ranking.
 BUCKET_ROWS = 50_000
 #: Words in a worker's memory of token ids, by generation.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 150_000
 
 _memory: dict[str, tuple] = {}
 
@@ -54,7 +54,7 @@ class WordTokens:
         self.marks = {m: self._encode([m.decode()])[0] for m in (b",", b".")}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
         new, old = self.new, self.old
@@ -130,6 +130,7 @@ def _pieces_udf(path: str, window: int, unit: int, eos: int, with_ids: bool):
                     own.append((start, length, zlib.crc32(part)) + ((part,) if with_ids else ()))
                 rows.append([dict(zip([f.name for f in fields], x)) for x in own])
             yield pd.Series(rows)
+            give_back()
 
     return pieces
 
@@ -219,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, unit: int = UNIT
     spark = docs.sparkSession
     made = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), _pieces_udf(tokenizer, window, unit, eos, with_ids)(F.col("text")).alias("p"))
     made = made.withColumn("doc_tokens", F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["length"]))
-    with batches_of(spark, "8m"):
+    with batches_of(spark, "2m"):
         made = materialise(made.select("doc_id", "row_id", "doc_tokens", F.explode("p").alias("p")).select("doc_id", "row_id", "doc_tokens", "p.*"), "pack-pieces")
 
     hist = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # window / unit + unit lengths at most

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from auctra.llm.common import WORD_PATTERN, batches_of, lookup, materialise
+from auctra.llm.common import WORD_PATTERN, batches_of, give_back, lookup, materialise
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -75,6 +75,7 @@ def _counts_of(text: str | None) -> tuple[int, int, int, int, int]:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_counts(texts: pd.Series) -> pd.DataFrame:
+    give_back()
     return pd.DataFrame([_counts_of(x) for x in texts], columns=COUNTS, dtype="int64")
 
 
@@ -274,7 +275,7 @@ def score(counted: DataFrame, groups: DataFrame, params: DataFrame, tail: float
 
 def _counted(docs: DataFrame, *columns) -> DataFrame:
     """A written table of the columns and the counts of each text."""
-    with batches_of(docs.sparkSession, "8m"):
+    with batches_of(docs.sparkSession, "2m"):
         return materialise(docs.select(*columns, "lang", "source", text_counts(F.col("text")).alias("counts")), "counts")
 
 
