@@ -35,7 +35,7 @@ DEPTH = 2
 #: Mean rows of a (length, bucket) in ranking.
 BUCKET_ROWS = 50_000
 #: Words in a worker's memory of token ids, by generation.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 
 _memory: dict[str, tuple] = {}
 
