@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auctra.llm import bit_sliced, language_crf, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, url_rules, warc_index
+from auctra.llm import bit_sliced, language_crf, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, spelling_fm, url_rules, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read_records(index, folder, payload=False).drop("url")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_fm.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": op1_url_rules,
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_packing": op9_packing,
         "op10_warc_index": op10_warc_index,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
