@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auctra.llm import bit_sliced, language_crf, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, spelling_fm, url_rules, warc_index
+from auctra.llm import bit_sliced, grouping_genetic, language_crf, license_digest, line_windows, ngram_rtree, nnls_pack, poisson_mix, quality, spelling_fm, token_pairs, url_rules, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,19 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read_records(index, folder, payload=False).drop("url")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_pairs.align_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = grouping_genetic.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_fm.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -90,6 +103,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_packing": op9_packing,
         "op10_warc_index": op10_warc_index,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_best_fit_packing": op12_best_fit_packing,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
