@@ -13,8 +13,8 @@ from pyspark.sql.window import Window as W
 
 from auctra.functions import columns as C
 from auctra.functions import vocab as V
-from auctra.functions.geo import haversine_m
-from auctra.operators.similarity import name_similarity
+from auctra.functions.geo import cells_around, haversine_m, own_cell
+from auctra.operators.similarity import candidate_pairs, reaching
 from auctra.operators.spatial import radius_join
 from auctra.operators.stats import ordered_preview, previous_snapshot, top_per_group
 from auctra.tables import materialise
@@ -105,17 +105,15 @@ def unseen_before(candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
 def preexisting(candidates: DataFrame, snapshots: DataFrame, radius_m: float = 100, min_sim: float = 0.8) -> DataFrame:
     """(lot_id, org_id) of candidates that a similar name preceded nearby; for a left anti join.
 
-    The spatial join comes first; equal or contained names are settled by expressions, a bound on the lengths drops
-    hopeless pairs, and only what is left goes through the similarity.
+    Names meet on a rare pair of letters within a cell of the grid (``candidate_pairs``), never by place alone; of equal names at a point only
+    the first date counts.
     """
-    c = candidates.select("lot_id", "org_id", "sale_date", C.name_tokens("org_name").alias("tokens"), "o_lat", "o_lon").where("tokens != ''")
-    s = snapshots.select(F.col("snapshot_date").alias("s_date"), C.name_tokens("org_name").alias("s_tokens"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).where("s_tokens != ''")
-    pairs = radius_join(c, s, radius_m, left_at=("o_lat", "o_lon"), right_at=("s_lat", "s_lon")).where("s_date < sale_date").select("lot_id", "org_id", "tokens", "s_tokens").distinct()
-    inside = F.col("tokens").contains(F.col("s_tokens")) | F.col("s_tokens").contains(F.col("tokens"))
-    a, b = F.length("tokens"), F.length("s_tokens")
-    possible = 2 * F.least(a, b) >= min_sim * (a + b)
-    fuzzy = pairs.where(~inside & possible).where(name_similarity("tokens", "s_tokens") >= min_sim)
-    return pairs.where(inside).unionByName(fuzzy).select("lot_id", "org_id").distinct()
+    c = candidates.select("lot_id", "org_id", "sale_date", C.name_tokens("org_name").alias("name"), "o_lat", "o_lon").where("name != '' AND o_lat IS NOT NULL AND o_lon IS NOT NULL").distinct()
+    c = c.select(F.struct("lot_id", "org_id", "sale_date", "o_lat", "o_lon").alias("id"), "name", F.explode(cells_around("o_lat", "o_lon", radius_m)).alias("grid"))
+    s = snapshots.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(C.name_tokens("org_name").alias("r_name"), "lat", "lon").agg(F.min("snapshot_date").alias("first")).where("r_name != ''")
+    s = s.select(F.struct("first", "lat", "lon").alias("r_id"), "r_name", own_cell("lat", "lon", radius_m).alias("grid"))
+    pairs = candidate_pairs(c, s, min_sim, ["grid"]).where("r_id.first < id.sale_date").where(haversine_m("id.o_lat", "id.o_lon", "r_id.lat", "r_id.lon") <= radius_m)
+    return reaching(pairs, min_sim).select("id.lot_id", "id.org_id").distinct()
 
 
 def presale_hits(matches: DataFrame, lots: DataFrame, snapshots: DataFrame, max_m: float = 250) -> DataFrame:

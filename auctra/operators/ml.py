@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from auctra.operators.neighbours import knn, neighbour_mean
 
 
 def listing_features(df: DataFrame, floors: list[str] = ("цоколь", "1", "2", "3+"), types: list[str] = (), numeric: list[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -73,36 +75,19 @@ def holdout_report(pred: DataFrame, truth: str, prediction: str = "prediction")
     )
 
 
-def standardise(df: DataFrame, features: list[str]) -> DataFrame:
+def fit_standardiser(df: DataFrame, features: list[str]) -> PipelineModel:
+    """Medians for nulls, then zero mean and unit deviation; fitted on the base, applied to queries too."""
     stages = [Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}_i" for c in features]), VectorAssembler(inputCols=[f"{c}_i" for c in features], outputCol="v0"), StandardScaler(inputCol="v0", outputCol="v", withMean=True)]
-    return Pipeline(stages=stages).fit(df).transform(df)
-
-
-def knn(query: DataFrame, base: DataFrame, query_id: str, base_id: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
-    """The k nearest rows of ``base`` (Euclidean over array<double>) for every query; ties by id; a row is not its own neighbour.
-
-    Queries and base are cut into blocks by hash; pairs of blocks are spread over tasks, each keeps k per query.
-    """
-    import numpy as np
-    import pandas as pd
-
-    nq, nb = max(1, query.count() // block + 1), max(1, base.count() // block + 1)
-    q = query.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = base.select(F.col(base_id).alias("b"), F.col(vector).alias("v")).withColumn("bb", F.pmod(F.xxhash64("b"), F.lit(nb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-
-    def near(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("b")
-            y, ids = np.array(right["v"].tolist(), float), right["b"].to_numpy()
-            for i, v in zip(left["q"], left["v"]):
-                d = np.sqrt(((y - np.asarray(v, float)) ** 2).sum(1))
-                d[ids == i] = np.inf
-                for j in np.argsort(d, kind="stable")[:k]:
-                    if np.isfinite(d[j]):
-                        out.append((i, ids[j], d[j]))
-        return pd.DataFrame(out, columns=["q", "b", "distance"])
-
-    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(near, "q long, b long, distance double")
-    best = F.row_number().over(W.partitionBy("q").orderBy("distance", "b"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("b").alias("neighbour_id"), "distance")
+    return Pipeline(stages=stages).fit(df)
+
+
+def standardised(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``v``: its standardised features as array<double>."""
+    return model.transform(df).withColumn("v", vector_to_array("v")).select(*df.columns, "v")
+
+
+def lookalike_mean(lots: DataFrame, past: DataFrame, features: list[str], value: str, key: str = "lot_id", k: int = 5) -> DataFrame:
+    """(query_id, n, mean): mean ``value`` of the k past lots with the most alike standardised features."""
+    model = fit_standardiser(past, features)
+    base = standardised(model, past.where(F.col(value).isNotNull()))
+    return neighbour_mean(knn(standardised(model, lots), base, key, key, "v", k), base, key, value)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from auctra.functions.geo import cells_around, haversine_m, own_cell
-from auctra.tables import materialise
+from auctra.functions.geo import EARTH_M, cells_around, haversine_m, own_cell
+from auctra.tables import discard, materialise
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_at=("lat", "lon"), right_at=("r_lat", "r_lon"), on: list[str] | None = None, inner_m: float | None = None) -> DataFrame:
@@ -26,28 +27,121 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_at=("la
     return pairs if inner_m is None else pairs.where(F.col("distance_m") > inner_m)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, left_at=("lat", "lon"), right_at=("r_lat", "r_lon"), start_m: float = 1000.0, limit_m: float = 20_100_000.0) -> DataFrame:
-    """The k nearest right rows of every left row, ``rank`` from 1; ties by ``right_id``.
+#: Levels of the pyramid over latitude and longitude: a cell of level v has 2^-v of the range on either axis.
+LEVELS = (0, 4, 8, 12, 16, 20)
+
+
+def _turned(lon: str) -> Column:
+    """Longitude in [-180, 180)."""
+    return F.pmod(F.col(lon) + 180, F.lit(360.0)) - 180
+
+
+def _finest(lat: str, lon: str) -> list[Column]:
+    """Row and column of the finest cell."""
+    cell = lambda c, low, span: F.least(F.floor((c - low) / span * (1 << LEVELS[-1])), F.lit((1 << LEVELS[-1]) - 1)).cast("int")
+    return [cell(F.col(lat), -90, 180).alias("y"), cell(_turned(lon), -180, 360).alias("x")]
+
+
+def _node(level: int) -> list[Column]:
+    """Row and column of a row's cell at a level, from those at the finest one."""
+    return [F.shiftright(c, LEVELS[-1] - level).alias(c) for c in ("y", "x")]
+
+
+def _code(level) -> Column:
+    return ((level if isinstance(level, Column) else F.lit(level)).cast("long") * F.lit(1 << 40) + F.col("y").cast("long") * F.lit(1 << 20) + F.col("x")).alias("code")
+
 
-    The radius grows fourfold for the rows that have too few neighbours yet; a row with k
-    neighbours within the radius is settled exactly. Rows without coordinates get none.
+def pyramid(right: DataFrame, at: tuple[str, str], cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, cells): a node (code, parent, n, its rows' box, leaf) is split while it has more than ``cell_rows`` rows; cells give the leaf of each finest cell."""
+    finest = LEVELS[-1]
+    placed = right.select(*_finest(*at), F.col(at[0]).alias("lat"), _turned(at[1]).alias("lon"))
+    box = [F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"), F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi")]
+    grid = materialise(placed.groupBy("y", "x").agg(F.count("*").alias("n"), *box), "pyramid-grid")
+    leaf = F.lit(finest)
+    cells = grid.select("y", "x")
+    for level in reversed(LEVELS[:-1]):
+        sums = grid.groupBy(*_node(level)).agg(F.sum("n").alias(f"n{level}")).withColumnsRenamed({"y": "py", "x": "px"})
+        up = [F.shiftright(c, finest - level) for c in ("y", "x")]
+        cells = cells.join(sums, (up[0] == F.col("py")) & (up[1] == F.col("px"))).drop("py", "px")
+        leaf = F.when(F.col(f"n{level}") <= cell_rows, level).otherwise(leaf)
+    cells = materialise(cells.select("y", "x", leaf.alias("leaf_level")), "pyramid-cells")
+    levelled, nodes = grid.join(cells, ["y", "x"]), None
+    again = [F.sum("n").alias("n"), F.min("lat_lo").alias("lat_lo"), F.max("lat_hi").alias("lat_hi"), F.min("lon_lo").alias("lon_lo"), F.max("lon_hi").alias("lon_hi")]
+    for k, level in enumerate(LEVELS):
+        part = levelled.where(F.col("leaf_level") >= level).groupBy(*_node(level)).agg(*again, F.max(F.col("leaf_level") == level).alias("leaf"))
+        step = level - LEVELS[k - 1] if k else 0
+        parent = F.lit(None).cast("long") if not k else LEVELS[k - 1] * F.lit(1 << 40) + F.shiftright("y", step).cast("long") * F.lit(1 << 20) + F.shiftright("x", step)
+        part = part.select(_code(level), parent.alias("parent"), "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "leaf")
+        nodes = part if nodes is None else nodes.unionByName(part)
+    nodes = materialise(nodes, "pyramid-nodes")
+    discard(grid)
+    return nodes, cells
+
+
+def box_bounds(lat: Column, lon: Column, lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column) -> tuple[Column, Column]:
+    """Metres that no point of a box is nearer than, and none is farther than.
+
+    Nearer: the gap in latitude; the arc to the closest of the box's meridians. Farther: along the own parallel, then along a meridian.
     """
-    order = F.row_number().over(W.partitionBy(left_id).orderBy("distance_m", right_id))
-    open_rows, done, radius = left, [], start_m
-    while True:
-        found = radius_join(open_rows, right, radius, left_at, right_at).withColumn("rank", order).where(F.col("rank") <= k)
-        last = radius >= limit_m
-        settled = found if last else found.withColumn("n", F.count("*").over(W.partitionBy(left_id))).where(F.col("n") == k).drop("n")
-        settled = materialise(settled, "nearest")
-        done.append(settled)
-        if last:
-            break
-        located = open_rows.where(F.col(left_at[0]).isNotNull() & F.col(left_at[1]).isNotNull())
-        open_rows = materialise(located.join(settled.select(left_id).distinct(), left_id, "left_anti"), "nearest-open")
-        if not open_rows.limit(1).count():
+    gap_lat = F.greatest(lat_lo - lat, lat - lat_hi, F.lit(0.0))
+    turns = [F.greatest(lon_lo - (lon + t), lon + t - lon_hi, F.lit(0.0)) for t in (0.0, -360.0, 360.0)]
+    gap_lon = F.least(*turns)
+    phi = F.radians(lat)
+    arc = F.when(gap_lon < 90, F.asin(F.least(F.lit(1.0), F.sin(F.radians(gap_lon)) * F.cos(phi)))).otherwise(F.lit(math.pi / 2) - F.abs(phi))
+    nearer = EARTH_M * F.greatest(F.radians(gap_lat), arc)
+    far_lat = F.greatest(F.abs(lat - lat_lo), F.abs(lat - lat_hi))
+    far_lon = F.least(F.lit(180.0), F.greatest(F.abs(lon - lon_lo), F.abs(lon - lon_hi)))
+    farther = EARTH_M * F.least(F.lit(math.pi), F.radians(far_lat) + F.cos(phi) * F.radians(far_lon))
+    return F.greatest(F.lit(0.0), nearer * (1 - 1e-9) - 0.01), farther * (1 + 1e-9) + 0.01  # distances are rounded
+
+
+def nearest_leaves(left: DataFrame, nodes: DataFrame, left_id: str, k: int, at: tuple[str, str]) -> DataFrame:
+    """(left_id, its coordinates, code, n) of the leaves that may hold one of a row's k nearest.
+
+    All rows descend together, a level at a time. At each level the nodes that surely hold k rows within a radius limit it, and
+    nodes beyond it go.
+    """
+    columns = ["code", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "leaf"]
+    root = nodes.where("parent IS NULL").first()
+    if root is None:
+        return left.limit(0).select(left_id, *at, F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("n"))
+    now = left.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).select(left_id, *at, F.col(at[0]).alias("q_lat"), _turned(at[1]).alias("q_lon"), *[F.lit(root[c]).alias(c) for c in columns])
+    children = nodes.select(F.col("parent").alias("code"), *[F.col(c).alias(f"c_{c}") for c in columns])
+    everyone = W.partitionBy(left_id)
+    written = None
+    for _ in LEVELS[1:]:
+        kids = now.where("NOT leaf").select(left_id, *at, "q_lat", "q_lon", "code").join(children, "code").select(left_id, *at, "q_lat", "q_lon", *[F.col(f"c_{c}").alias(c) for c in columns])
+        both = now.where("leaf").unionByName(kids)
+        nearer, farther = box_bounds(*[F.col(c) for c in ("q_lat", "q_lon", "lat_lo", "lat_hi", "lon_lo", "lon_hi")])
+        both = both.withColumns({"nearer": nearer, "farther": farther}).withColumn("held", F.sum("n").over(everyone.orderBy("farther", "code").rowsBetween(W.unboundedPreceding, 0)))
+        both = both.withColumn("limit", F.min(F.when(F.col("held") >= k, F.col("farther"))).over(everyone))
+        now = materialise(both.where("limit IS NULL OR nearer <= limit").drop("nearer", "farther", "held", "limit"), "nearest-nodes")
+        if written is not None:
+            discard(written)
+        written = now
+        if not now.where("NOT leaf").limit(1).count():
             break
-        radius = min(radius * 4, limit_m)
-    return reduce(DataFrame.unionByName, done)
+    return now.select(left_id, *at, "code", "n")
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, left_at=("lat", "lon"), right_at=("r_lat", "r_lon"), cell_rows: int = 64) -> DataFrame:
+    """The k nearest right rows of every left row, ``rank`` from 1; ties by ``right_id``.
+
+    A pyramid of cells is descended by bounds (``nearest_leaves``), so a row meets a few leaves of at most ``cell_rows`` rows, wherever
+    it lies; a leaf of the finest level with more rows is cut into parts. Rows without coordinates get none, and are no neighbours.
+    """
+    located = right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull())
+    nodes, cells = pyramid(located, right_at, cell_rows)
+    visits = nearest_leaves(left, nodes, left_id, k, left_at)
+    parts = F.ceil(F.col("n") / cell_rows)
+    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n", *left_at).join(left.where(F.col(left_id).isNotNull()), left_id)
+    up = lambda c: F.expr(f"shiftright({c}, {LEVELS[-1]} - leaf_level)").alias(c)
+    rows = located.select("*", *_finest(*right_at)).join(cells, ["y", "x"])
+    rows = rows.withColumns({"y": up("y"), "x": up("x")}).withColumn("code", _code(F.col("leaf_level"))).drop("y", "x", "leaf_level")
+    rows = rows.join(nodes.where("leaf").select("code", "n"), "code").withColumn("part", F.pmod(F.xxhash64(right_id), F.ceil(F.col("n") / cell_rows))).drop("n")
+    found = visits.join(rows, ["code", "part"]).drop("code", "part").withColumn("distance_m", haversine_m(*left_at, *right_at))
+    rank = F.row_number().over(W.partitionBy(left_id).orderBy("distance_m", right_id))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def flag_near(lots: DataFrame, places: DataFrame, flag_m: float = 100, report_m: float = 300) -> DataFrame:

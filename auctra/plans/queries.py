@@ -553,6 +553,21 @@ def nearest_embeddings(spark, d):
     return knn(e, e, "vec_id", "vec_id", "v").select("query_id", "rank", "neighbour_id")
 
 
+_LIKE = ["area", "start_price", "lat", "lon"]
+
+
+@query(f"""WITH {LOTS}, past AS (SELECT * FROM lots WHERE excess IS NOT NULL), s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in _LIKE)} FROM past),
+q AS (SELECT lot_id AS q, {', '.join(f'(lots.{c} - m_{c}) / s_{c} AS q_{c}' for c in _LIKE)} FROM lots, s WHERE excess IS NULL), b AS (SELECT lot_id AS b, excess, {', '.join(f'(past.{c} - m_{c}) / s_{c} AS b_{c}' for c in _LIKE)} FROM past, s),
+k AS (SELECT q, excess, row_number() OVER (PARTITION BY q ORDER BY {' + '.join(f'(q_{c} - b_{c}) * (q_{c} - b_{c})' for c in _LIKE)}, b) AS r FROM q, b)
+SELECT q AS query_id, count(excess) AS n, round(avg(excess), 4) AS mean FROM k WHERE r <= 5 GROUP BY 1""")
+def lookalike_excess(spark, d):
+    """Mean price excess of the five most alike sold lots, for lots without a price."""
+    from auctra.operators.ml import lookalike_mean
+
+    x = lots(spark, d)
+    return lookalike_mean(x.where("excess IS NULL"), x.where("excess IS NOT NULL"), _LIKE, "excess").withColumn("mean", r("mean"))
+
+
 @query(f"WITH RECURSIVE {LISTINGS}, e AS (SELECT a.url AS u, b.url AS v FROM listings a JOIN listings b ON a.url != b.url AND abs(a.l_lat - b.l_lat) < 0.003 AND {sql_metres('a.l_lat', 'a.l_lon', 'b.l_lat', 'b.l_lon')} <= 300), c AS (SELECT DISTINCT u AS a, u AS b FROM e UNION SELECT c.a, e.v FROM c JOIN e ON e.u = c.b) SELECT a AS node, min(b) AS component FROM c GROUP BY 1")
 def location_clusters(spark, d):
     """Connected components of listings within 300 m."""
@@ -577,12 +592,13 @@ def hedonic_cross_validation(spark, d):
 
 @query()
 def similar_names(spark, d):
-    """Similarity of part names within a brand and type."""
-    from auctra.operators.similarity import name_similarity
+    """Pairs of similar part names within a brand and type."""
+    from auctra.operators.similarity import similar_pairs
 
-    n = table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct()
-    o = n.withColumnRenamed("p_name", "other")
-    return n.join(o, ["p_brand", "p_type"]).where("p_name < other").withColumn("similarity", r(name_similarity("p_name", "other")))
+    n = table(spark, d, "part").select("p_brand", "p_type", F.col("p_name").alias("name")).distinct().withColumn("id", F.col("name"))
+    o = n.select("p_brand", "p_type", F.col("name").alias("r_name"), F.col("id").alias("r_id"))
+    found = similar_pairs(n, o, 0.6, ["p_brand", "p_type"]).where("name < r_name")
+    return found.select("p_brand", "p_type", F.col("name").alias("p_name"), F.col("r_name").alias("other"), r("similarity").alias("similarity"))
 
 
 # Reports

@@ -31,7 +31,7 @@ def test_radius_join_is_exact_at_any_latitude(spark):
         right = spark.createDataFrame([(i, y, x) for i, y, x in pts], "b long, r_lat double, r_lon double")
         got = {(r.a, r.b) for r in S.radius_join(left, right, 700).collect()}
         assert got == {(i, j) for i, y, x in pts for j, v, u in pts if metres(y, x, v, u) <= 700}
-        best = {r.a: r.b for r in S.nearest(left.where("a < 20"), right.where("b >= 20"), "a", "b", start_m=50).collect()}
+        best = {r.a: r.b for r in S.nearest(left.where("a < 20"), right.where("b >= 20"), "a", "b", cell_rows=4).collect()}
         assert best == {i: min((metres(y, x, v, u), j) for j, v, u in pts if j >= 20)[1] for i, y, x in pts if i < 20}
 
 
