@@ -41,11 +41,22 @@ def _delete(spark: SparkSession, path: str) -> bool:
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
+def _read_by(df: DataFrame) -> list[str]:
+    """The tables of ``materialise`` that ``df`` reads."""
+    plain = lambda x: re.sub("/+", "/", x.removeprefix("file:"))  # noqa: E731  one spelling of local paths
+    folders = {plain(f.rpartition("/")[0]) for f in df.inputFiles()}
+    return [x for x in _written if plain(x) in folders]
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table of ``materialise`` whose every reader has been written."""
-    plain = lambda x: re.sub("/+", "/", x.removeprefix("file:"))  # noqa: E731  one spelling of local paths
-    folders = {plain(f.rpartition("/")[0]) for f in table.inputFiles()}
-    remove(table.sparkSession, [x for x in _written if plain(x) in folders])
+    remove(table.sparkSession, _read_by(table))
+
+
+def keep_for(df: DataFrame, paths: list[str]) -> None:
+    """Deletes those of ``paths`` that ``df`` does not read."""
+    read = set(_read_by(df))
+    remove(df.sparkSession, [x for x in paths if x not in read])
 
 
 @contextmanager
