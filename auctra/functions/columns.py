@@ -157,9 +157,9 @@ def full_address(region, district, address) -> Column:
 def building_key(c, relaxed: bool = False) -> Column:
     """street|house[|block|structure] of an address; null without a street or house."""
     text = F.lower(F.regexp_replace(_col(c), r"[\s ]+", " "))
-    kind = r"(?:улица|ул\.|проспект|пр-кт\.?|шоссе|ш\.|переулок|пер\.|проезд|бульвар|б-р|аллея|набережная|наб\.|площадь|тупик)"
+    kind = f"(?:{'|'.join(x.replace('.', chr(92) + '.') for x in V.STREET_KINDS)})"
     street = F.coalesce(blank_to_null(F.regexp_extract(text, rf"(?:^|,)\s*({kind}\s+[а-яё0-9\- ]+?)\s*(?:,|$)", 1)), blank_to_null(F.regexp_extract(text, rf"(?:^|,)\s*([а-яё0-9\- ]+?\s+{kind})\s*(?:,|$)", 1)))
-    for full, short in (("улица", "ул."), ("проспект", "пр-кт."), ("переулок", "пер."), ("шоссе", "ш."), ("бульвар", "б-р"), ("набережная", "наб.")):
+    for full, short in V.STREET_SHORT.items():
         street = F.replace(street, F.lit(full), F.lit(short))
     part = lambda words: F.regexp_extract(text, rf"(?U)(?:^|[\s,])(?:{words})\s*([0-9]+(?:/[0-9]+)?[а-яa-z]?)", 1)
     house = F.coalesce(blank_to_null(part(r"дом|д\.")), blank_to_null(F.regexp_extract(F.trim(text), r"[,\s]([0-9]+(?:/[0-9]+)?[а-яa-z]?)$", 1)))

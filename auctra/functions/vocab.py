@@ -166,3 +166,7 @@ NO_PRICE = "Продажа без объявления цены"
 CONFIDENCE_RANK = {"high": 0, "medium": 1, "low": 2}
 #: Confidences that count as a match.
 MATCHED = ["high", "medium", "low", "existing_tenant"]
+
+# Kinds of streets in addresses, and their short forms in keys of buildings.
+STREET_KINDS = ["улица", "ул.", "проспект", "пр-кт.", "пр-кт", "пр.", "шоссе", "ш.", "переулок", "пер.", "проезд", "бульвар", "б-р", "аллея", "набережная", "наб.", "площадь", "тупик"]
+STREET_SHORT = {"улица": "ул.", "переулок": "пер.", "проезд": "пр.", "проспект": "пр-кт.", "шоссе": "ш.", "бульвар": "б-р", "набережная": "наб."}

@@ -43,7 +43,7 @@ def eligible_lots(lots: DataFrame, matches: DataFrame | None = None, skip_window
 
 def match_candidates(lots: DataFrame, orgs: DataFrame, min_days: int = 0, max_days: int = 365, max_m: float = 250, address: str = "address_canon") -> DataFrame:
     """Plausible new organisations at a lot's address in a window of days after the sale."""
-    o = orgs.select(F.col(address), "snapshot_label", "snapshot_date", "org_id", "org_name", C.usage_text("rubric", "subrubric").alias("usage"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    o = orgs.select(F.col(address), F.col("address_norm" if "address_norm" in orgs.columns else address).alias("o_address"), "snapshot_label", "snapshot_date", "org_id", "org_name", C.usage_text("rubric", "subrubric").alias("usage"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
     o = o.where(~C.is_implausible("org_name", "usage"))
     # Joined by address and month of the snapshot, so that only pairs of the window meet.
     month = lambda d: F.trunc(d, "month")
@@ -61,6 +61,7 @@ def best_matches(candidates: DataFrame, previews: int = 5) -> DataFrame:
     first = lambda c: F.max(F.when(F.col("r") == 1, F.col(c)))
     out = ranked.groupBy("lot_id", "snapshot_label").agg(
         F.count("*").alias("n"), first("band").alias("band"), first("company").alias("company"), first("usage").alias("usage"), first("after_days").alias("after_days"), first("distance_m").alias("distance_m"),
+        first("org_id").alias("org_id"), first("org_name").alias("org_name"), first("o_address").alias("o_address"),
     )
     # Previews over all candidates: each value's smallest rank first, then the first few values.
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("company", "usage")])).alias("x")
@@ -72,11 +73,16 @@ def best_matches(candidates: DataFrame, previews: int = 5) -> DataFrame:
     return out.withColumn("confidence", C.confidence("n", "band"))
 
 
-def shared_best(best: DataFrame, lots: DataFrame, policy: str = "flag") -> DataFrame:
-    """Lots at one address with the same best candidate: ``multilot`` flag, or confidence low."""
-    keyed = best.join(lots.select("lot_id", "address_canon"), "lot_id")
-    shared = F.count("*").over(W.partitionBy("address_canon", "snapshot_label", "company")) > 1
-    keyed = keyed.withColumn("multilot", shared)
+def shared_best(best: DataFrame, lots: DataFrame, policy: str = "flag", key: str = "name", address: str = "address_canon") -> DataFrame:
+    """Lots at one address with the same best candidate of a snapshot: ``multilot`` flag, or confidence low.
+
+    Candidates are told apart by their own address and plain name (``key`` name), or by their id (``key`` id), so branches of a brand stay apart.
+    """
+    own = F.concat_ws("|", F.trim(F.coalesce("o_address", F.lit(""))), F.lower(F.trim(F.coalesce("org_name", F.lit(""))))) if key == "name" else F.col("org_id").cast("string")
+    keyed = best.join(lots.select("lot_id", F.col(address).alias("lot_address")), "lot_id").withColumn("best_key", own)
+    same = ["lot_address", "snapshot_label", "best_key"]
+    several = keyed.groupBy(*same).agg(F.count("*").alias("n_lots")).where("n_lots > 1")
+    keyed = keyed.join(several, same, "left").withColumn("multilot", F.col("n_lots").isNotNull()).drop("n_lots", "best_key").withColumnRenamed("lot_address", address)
     return keyed if policy == "flag" else keyed.withColumn("confidence", F.when(F.col("multilot"), "low").otherwise(F.col("confidence")))
 
 
@@ -332,22 +338,50 @@ def merge_gap(matches: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]
     return out.drop("action"), out.groupBy("action").agg(F.count("*").alias("n"))
 
 
-def recover_matches(candidates: DataFrame, matches: DataFrame, lots: DataFrame, limits: DataFrame, chains: DataFrame, min_days: int = 181, far_days: int = 365) -> DataFrame:
-    """Matches beyond the usual window for lots without any; high turns medium beyond ``far_days``."""
+def recover_matches(candidates: DataFrame, matches: DataFrame, lots: DataFrame, limits: DataFrame, chains: DataFrame, min_days: int = 181, far_days: int = 365, names: int = 3, previews: int = 5) -> DataFrame:
+    """Matches beyond the usual window for lots without any.
+
+    The best snapshot of a lot and its confidence come from all candidates; the confidence is adjusted by the nearest one's distance band, and high turns
+    medium beyond ``far_days``. Candidates that are implausible or do not fit the area are left out of the names; floors do not count here. A lone
+    name of high confidence stands alone, else the first ``names`` different ones are given.
+    """
     free = candidates.join(matches.where("confidence IS NOT NULL").select("lot_id"), "lot_id", "left_anti").where(F.col("after_days") >= min_days)
-    ok = invalid_reason(free.join(lots.select("lot_id", "area", "floor"), "lot_id"), limits, chains).where("reason IS NULL")
-    best = best_match_of_lots(ok)
+    best = materialise(best_per_lot(best_matches(free, previews)).withColumn("confidence", C.geo_confidence("confidence", "band")).where("confidence IS NOT NULL"), "recovered")
+    rows = free.join(best.select("lot_id", "snapshot_label"), ["lot_id", "snapshot_label"], "left_semi")
+    rows = invalid_reason(rows.join(lots.select("lot_id", "area", "floor"), "lot_id"), limits, chains).where("coalesce(reason, 'floor') = 'floor'")
+    order = F.struct("distance_m", "company", "org_id")
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("company", "usage")])).alias("x")
+    values = rows.select("lot_id", order.alias("o"), values).groupBy("lot_id", "x.kind", "x.value").agg(F.min("o").alias("o"), F.count("*").alias("times"))
+    total = values.where("kind = 'company'").groupBy("lot_id").agg(F.sum("times").alias("n_valid"))
+    shown = lambda kind, n: F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("rank") <= previews), F.struct("rank", "value")))), lambda x: x["value"]), 1, n), " | ")
+    values = top_per_group(values, ["lot_id", "kind"], ["o"], max(names, previews))
+    kept = values.groupBy("lot_id").agg(*[shown(k, n).alias(a) for k, n, a in (("company", names, "n_company"), ("usage", names, "n_usage"), ("company", previews, "n_companies"), ("usage", previews, "n_usages"))]).join(total, "lot_id")
     low = (F.col("confidence") == "high") & (F.col("after_days") > far_days)
-    return best.withColumn("confidence", F.when(low, "medium").otherwise(F.col("confidence"))).withColumn("time_window", F.concat(F.lit("first_after_snapshot_"), F.col("snapshot_label")))
+    out = best.drop("company", "usage", "company_preview", "usage_preview").join(kept, "lot_id").withColumn("confidence", F.when(low, "medium").otherwise(F.col("confidence")))
+    alone = lambda c: F.when((F.col("confidence") == "high") & (F.col("n_valid") == 1), F.split_part(F.col(c), F.lit(" | "), F.lit(1))).otherwise(F.col(c))
+    out = out.withColumns({"company": alone("n_company"), "usage": alone("n_usage"), "company_preview": F.col("n_companies"), "usage_preview": F.col("n_usages")}).drop("n_company", "n_usage", "n_companies", "n_usages")
+    return out.withColumn("time_window", F.concat(F.lit("first_after_snapshot_"), F.col("snapshot_label")))
+
 
+def merge_tenants(matches: DataFrame, buyout: DataFrame, history: DataFrame, lots: DataFrame, limits: DataFrame, chains: DataFrame, n: int = 10) -> DataFrame:
+    """Unmatched lots whose surroundings show a tenant before and after the sale become existing tenants.
 
-def merge_tenants(matches: DataFrame, buyout: DataFrame, lots: DataFrame, limits: DataFrame, chains: DataFrame, n: int = 3) -> DataFrame:
-    """Unmatched lots whose surroundings show a tenant before and after the sale become existing tenants."""
-    rows = buyout.withColumnRenamed("name", "company").join(lots.select("lot_id", "area", "floor"), "lot_id")
-    rows = invalid_reason(rows, limits, chains).where("reason IS NULL").withColumn("r", F.row_number().over(W.partitionBy("lot_id").orderBy("distance_m", "company")))
-    tenants = rows.where(F.col("r") <= n).groupBy("lot_id").agg(ordered_preview(F.col("company"), F.col("r"), n).alias("n_company"), F.min_by("usage", "r").alias("n_usage"))
+    Only lots with a business history at their own address (``history``: lot_id) count: a neighbour alone is no evidence. Of each business the nearest
+    row counts; names and usages are those of the first ``n``, and replace the previews where ``matches`` has them.
+    """
+    rows = buyout.withColumnRenamed("name", "company").join(history.select("lot_id").distinct(), "lot_id", "left_semi").join(lots.select("lot_id", "area", "floor"), "lot_id")
+    rows = invalid_reason(rows, limits, chains).where("reason IS NULL")
+    rows = top_per_group(rows.withColumn("key", F.lower(F.trim("company"))), ["lot_id", "key"], ["distance_m", "company"], 1).drop("rank")
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.trim(c).alias("value")) for c in ("company", "usage")])).alias("x")
+    values = rows.select("lot_id", F.struct("distance_m", "company").alias("o"), values).where("x.value != ''").groupBy("lot_id", "x.kind", "x.value").agg(F.min("o").alias("o"))
+    values = top_per_group(values, ["lot_id", "kind"], ["o"], n)
+    shown = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "value")))), lambda x: x["value"]), " | ")
+    tenants = values.groupBy("lot_id").agg(shown("company").alias("n_company"), shown("usage").alias("n_usage"))
     tenants = tenants.select("lot_id", "n_company", "n_usage", F.lit("existing_tenant").alias("n_confidence"), F.lit(None).cast("int").alias("n_after_days"), F.lit("existing_tenant_buyout").alias("n_time_window"))
-    return _take(matches, tenants, F.col("confidence").isNull() & F.col("n_confidence").isNotNull())
+    use = F.col("confidence").isNull() & F.col("n_confidence").isNotNull()
+    previews = {p: F.when(use, F.col(c)).otherwise(F.col(p)) for p, c in (("company_preview", "n_company"), ("usage_preview", "n_usage")) if p in matches.columns}
+    joined = matches.join(tenants, "lot_id", "left").withColumns(previews) if previews else matches.join(tenants, "lot_id", "left")
+    return joined.select(*[F.when(use, F.col("n_" + c)).otherwise(F.col(c)).alias(c) if c in _FIELDS else F.col(c) for c in matches.columns])
 
 
 def baseline_matches(candidates: DataFrame, snapshots: DataFrame, lo: int = 180, hi: int = 365) -> DataFrame:

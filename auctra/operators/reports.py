@@ -116,9 +116,9 @@ def form_by_class(matches: DataFrame) -> DataFrame:
 
 
 def evasion_by_percent(lots: DataFrame, most: float = 30, min_n: int = 5) -> DataFrame:
-    """Evasion by the deposit in whole percent of the start price (column ``evasion``)."""
-    pct = F.bround(F.col("deposit") / F.col("start_price") * 100, 0).cast("int")
-    out = lots.where(pct <= most).groupBy(pct.alias("deposit_pct")).agg(F.count("*").alias("n"), F.count_if("evasion").alias("evaded_n"), share(F.col("evasion")).alias("evasion_pct"))
+    """Evasion by the deposit in whole percent of the start price (column ``evasion``); the bound is on the percent with one decimal."""
+    pct = F.bround(F.col("deposit") / F.col("start_price") * 100, 1)
+    out = lots.where(pct <= most).groupBy(F.bround(pct, 0).cast("int").alias("deposit_pct")).agg(F.count("*").alias("n"), F.count_if("evasion").alias("evaded_n"), share(F.col("evasion")).alias("evasion_pct"))
     return out.where(F.col("n") >= min_n)
 
 

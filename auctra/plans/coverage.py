@@ -117,15 +117,20 @@ def candidate_reasons(spark, d):
     return M.invalid_reason(rows, *_rules(spark)).select("lot_id", "snapshot_label", "org_id", "reason")
 
 
-_FAR = _BEST.replace("BETWEEN 0 AND 365", "BETWEEN 181 AND 900").replace("cand AS (SELECT * FROM cand0 WHERE distance_m <= 250)", f"cand AS (SELECT * FROM (SELECT c.*, l.area, CASE WHEN c.lot_id % 3 = 0 THEN 'подвал' ELSE '1' END AS floor FROM cand0 c JOIN lots l USING (lot_id) WHERE distance_m <= 250 AND c.lot_id % 5 > 2) WHERE NOT ({_BAD}))")
+_FAR = _BEST.replace("BETWEEN 0 AND 365", "BETWEEN 181 AND 900").replace("cand AS (SELECT * FROM cand0 WHERE distance_m <= 250)", f"cand AS (SELECT * FROM (SELECT c.*, l.area, CASE WHEN c.lot_id % 3 = 0 THEN 'подвал' ELSE '1' END AS floor FROM cand0 c JOIN lots l USING (lot_id) WHERE distance_m <= 250 AND c.lot_id % 5 > 2))")
+_NO_ROOM = "usage = 'Аптеки' AND (area < 20 OR area > 120)"
 
 
-@query(f"WITH {_FAR} SELECT lot_id, snapshot_label, company, usage, n, CASE WHEN confidence = 'high' AND after_days > 365 THEN 'medium' ELSE confidence END AS confidence, 'first_after_snapshot_' || snapshot_label AS time_window FROM one")
+@query(f"""WITH {_FAR}, near AS (SELECT lot_id, snapshot_label, n, after_days, CASE WHEN band IN ('0-30m', '30-100m') THEN confidence WHEN band = '100-250m' THEN 'low' END AS c0 FROM one),
+valid AS (SELECT c.*, r FROM cand c JOIN near USING (lot_id, snapshot_label) JOIN (SELECT lot_id, snapshot_label, company, org_id, r FROM rk) USING (lot_id, snapshot_label, company, org_id) WHERE NOT coalesce({_NO_ROOM}, false)),
+v AS (SELECT lot_id, company AS x, min(r) AS r, count(*) AS k FROM valid GROUP BY 1, 2), vn AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY r) AS i FROM v),
+vs AS (SELECT lot_id, string_agg(x, ' | ' ORDER BY r) FILTER (i <= 3) AS company, string_agg(x, ' | ' ORDER BY r) FILTER (i <= 5) AS company_preview FROM vn GROUP BY 1)
+SELECT lot_id, snapshot_label, company, company_preview, n, CASE WHEN c0 = 'high' AND after_days > 365 THEN 'medium' ELSE c0 END AS confidence, 'first_after_snapshot_' || snapshot_label AS time_window FROM near JOIN vs USING (lot_id) WHERE c0 IS NOT NULL""")
 def recovered_matches(spark, d):
     far = M.match_candidates(M.eligible_lots(lots(spark, d)), M.new_orgs(snapshots(spark, d)), 181, 900)
     taken = _matched(spark, d).where("lot_id % 5 < 3").select("lot_id", "confidence")
     out = M.recover_matches(far, taken, _floors(spark, d), *_rules(spark))
-    return out.select("lot_id", "snapshot_label", "company", "usage", "n", "confidence", "time_window")
+    return out.select("lot_id", "snapshot_label", "company", "company_preview", "n", "confidence", "time_window")
 
 
 _REVIEW = f"""{_BEST}, p AS (SELECT o.lot_id, unnest(string_split(company_preview, ' | ')) AS company, unnest(string_split(usage_preview, ' | ')) AS usage, generate_subscripts(string_split(company_preview, ' | '), 1) AS pos, len(string_split(company_preview, ' | ')) AS len FROM one o),
@@ -147,16 +152,20 @@ def revalidation_reasons(spark, d):
     return M.revalidate(best, _floors(spark, d), *_rules(spark))[1]
 
 
-@query(f"""WITH {_BUYOUT}, t AS (SELECT b.lot_id, b.name, b.usage, b.distance_m, row_number() OVER (PARTITION BY b.lot_id ORDER BY b.distance_m, b.name) AS i FROM (SELECT b.*, l.area, CASE WHEN b.lot_id % 3 = 0 THEN 'подвал' ELSE '1' END AS floor, b.name AS company FROM buy b JOIN lots l USING (lot_id)) b WHERE NOT coalesce({_BAD}, false)),
-g AS (SELECT lot_id, string_agg(name, ' | ' ORDER BY i) AS company FROM t WHERE i <= 3 GROUP BY 1)
-SELECT l.lot_id, CASE WHEN lot_id % 5 < 2 THEN 'old' WHEN g.company IS NOT NULL THEN g.company END AS company, CASE WHEN lot_id % 5 = 0 THEN 'high' WHEN lot_id % 5 = 1 THEN 'medium' WHEN g.company IS NOT NULL THEN 'existing_tenant' END AS confidence,
-CASE WHEN lot_id % 5 < 2 THEN '180-365d' WHEN g.company IS NOT NULL THEN 'existing_tenant_buyout' END AS time_window FROM lots l LEFT JOIN g USING (lot_id)""")
+@query(f"""WITH {_BUYOUT}, {_HISTORY.removeprefix(LOTS + ', ' + SNAPSHOTS + ', ')}, own AS (SELECT DISTINCT lot_id FROM hist WHERE lot_id % 11 != 0),
+t AS (SELECT b.lot_id, b.name, b.usage, b.distance_m FROM (SELECT b.*, l.area, CASE WHEN b.lot_id % 3 = 0 THEN 'подвал' ELSE '1' END AS floor, b.name AS company FROM buy b JOIN lots l USING (lot_id) JOIN own USING (lot_id)) b WHERE NOT coalesce({_BAD}, false)),
+tn AS (SELECT lot_id, name, row_number() OVER (PARTITION BY lot_id ORDER BY distance_m, name) AS i FROM t), tu0 AS (SELECT lot_id, usage, min((distance_m, name)) AS o FROM t GROUP BY 1, 2), tu AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY o) AS i FROM tu0),
+g AS (SELECT lot_id, string_agg(name, ' | ' ORDER BY i) AS company FROM tn WHERE i <= 10 GROUP BY 1), gu AS (SELECT lot_id, string_agg(usage, ' | ' ORDER BY i) AS usage FROM tu WHERE i <= 10 GROUP BY 1)
+SELECT l.lot_id, CASE WHEN lot_id % 5 < 2 THEN 'old' ELSE g.company END AS company, CASE WHEN lot_id % 5 < 2 THEN 'use' ELSE gu.usage END AS usage, CASE WHEN lot_id % 5 < 2 THEN 'seen' ELSE coalesce(g.company, 'stale') END AS company_preview,
+CASE WHEN lot_id % 5 = 0 THEN 'high' WHEN lot_id % 5 = 1 THEN 'medium' WHEN g.company IS NOT NULL THEN 'existing_tenant' END AS confidence,
+CASE WHEN lot_id % 5 < 2 THEN '180-365d' WHEN g.company IS NOT NULL THEN 'existing_tenant_buyout' END AS time_window FROM lots l LEFT JOIN g USING (lot_id) LEFT JOIN gu USING (lot_id)""")
 def merged_tenants(spark, d):
     k = F.col("lot_id")
     some = lambda x: F.when(k % 5 < 2, x)
-    old = lots(spark, d).select("lot_id", some(F.lit("old")).alias("company"), some(F.lit("use")).alias("usage"), some(F.when(k % 5 == 0, "high").otherwise("medium")).alias("confidence"), some((k % 300).cast("int")).alias("after_days"), some(F.lit("180-365d")).alias("time_window"))
-    out = M.merge_tenants(old, M.tenant_buyout(lots(spark, d), snapshots(spark, d)), _floors(spark, d), *_rules(spark))
-    return out.select("lot_id", "company", "confidence", "time_window")
+    old = lots(spark, d).select("lot_id", some(F.lit("old")).alias("company"), some(F.lit("use")).alias("usage"), some(F.when(k % 5 == 0, "high").otherwise("medium")).alias("confidence"), some((k % 300).cast("int")).alias("after_days"), some(F.lit("180-365d")).alias("time_window"), F.when(k % 5 < 2, "seen").otherwise("stale").alias("company_preview"))
+    history = M.business_history(lots(spark, d).where("lot_id % 11 != 0"), snapshots(spark, d))  # every eleventh lot has none at its address
+    out = M.merge_tenants(old, M.tenant_buyout(lots(spark, d), snapshots(spark, d)), history, _floors(spark, d), *_rules(spark))
+    return out.select("lot_id", "company", "usage", "company_preview", "confidence", "time_window")
 
 
 @query(f"""WITH {LOTS}, o AS (SELECT lot_id, CASE WHEN lot_id % 4 < 3 AND lot_id % 4 != 2 THEN CASE lot_id % 4 WHEN 0 THEN 'high' ELSE 'medium' END END AS c, CASE WHEN lot_id % 4 = 1 THEN '0-180d_recent_x' WHEN lot_id % 4 = 0 THEN '180-365d' END AS w FROM lots),
@@ -312,7 +321,7 @@ def lines_per_year(spark, d):
     return R.per_year(table(spark, d, "lineitem"), "l_shipdate")
 
 
-@query(f"WITH {LOTS} SELECT round_even(deposit / start_price * 100, 0)::INTEGER AS deposit_pct, count(*) AS n, count(*) FILTER (bidders >= 2 AND final_price IS NULL) AS evaded_n, round(count(*) FILTER (bidders >= 2 AND final_price IS NULL) * 100.0::DOUBLE / count(*), 4) AS evasion_pct FROM lots WHERE round_even(deposit / start_price * 100, 0) <= 30 GROUP BY 1 HAVING count(*) >= 5")
+@query(f"WITH {LOTS} SELECT round_even(round_even(deposit / start_price * 100, 1), 0)::INTEGER AS deposit_pct, count(*) AS n, count(*) FILTER (bidders >= 2 AND final_price IS NULL) AS evaded_n, round(count(*) FILTER (bidders >= 2 AND final_price IS NULL) * 100.0::DOUBLE / count(*), 4) AS evasion_pct FROM lots WHERE round_even(deposit / start_price * 100, 1) <= 30 GROUP BY 1 HAVING count(*) >= 5")
 def evasion_by_percent(spark, d):
     return _rounded(R.evasion_by_percent(L.evasion_flags(lots(spark, d))))
 

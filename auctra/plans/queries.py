@@ -349,7 +349,7 @@ _BEST = f"""{_CAND}, rk AS (SELECT *, row_number() OVER (PARTITION BY lot_id, sn
 vc AS (SELECT lot_id, snapshot_label, company AS v, min(r) AS r FROM rk GROUP BY 1, 2, 3), vu AS (SELECT lot_id, snapshot_label, usage AS v, min(r) AS r FROM rk GROUP BY 1, 2, 3),
 nc AS (SELECT *, row_number() OVER (PARTITION BY lot_id, snapshot_label ORDER BY r) AS i FROM vc), nu AS (SELECT *, row_number() OVER (PARTITION BY lot_id, snapshot_label ORDER BY r) AS i FROM vu),
 pc AS (SELECT lot_id, snapshot_label, string_agg(v, ' | ' ORDER BY r) AS company_preview FROM nc WHERE i <= 5 GROUP BY 1, 2), pu AS (SELECT lot_id, snapshot_label, string_agg(v, ' | ' ORDER BY r) AS usage_preview FROM nu WHERE i <= 5 GROUP BY 1, 2),
-best AS (SELECT lot_id, snapshot_label, count(*) AS n, max(company) FILTER (r = 1) AS company, max(usage) FILTER (r = 1) AS usage, max(after_days) FILTER (r = 1) AS after_days, max(band) FILTER (r = 1) AS band FROM rk GROUP BY 1, 2),
+best AS (SELECT lot_id, snapshot_label, count(*) AS n, max(company) FILTER (r = 1) AS company, max(usage) FILTER (r = 1) AS usage, max(after_days) FILTER (r = 1) AS after_days, max(band) FILTER (r = 1) AS band, max(org_id) FILTER (r = 1) AS org_id FROM rk GROUP BY 1, 2),
 conf AS (SELECT *, CASE WHEN n = 1 AND band = '0-30m' THEN 'high' WHEN n <= 3 AND band IN ('0-30m', '30-100m') THEN 'medium' ELSE 'low' END AS confidence FROM best JOIN pc USING (lot_id, snapshot_label) JOIN pu USING (lot_id, snapshot_label)),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY after_days, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, snapshot_label) AS q FROM conf) WHERE q = 1)"""
 
@@ -359,14 +359,14 @@ def best_match_per_lot(spark, d):
     return M.best_match_of_lots(_candidates(spark, d)).select("lot_id", "snapshot_label", "n", "company", "usage", "after_days", "confidence", "company_preview", "usage_preview")
 
 
-@query(f"WITH {_BEST} SELECT lot_id, snapshot_label, count(*) OVER (PARTITION BY address_canon, snapshot_label, company) > 1 AS multilot FROM conf JOIN (SELECT lot_id, address_canon FROM lots) USING (lot_id)")
+@query(f"WITH {_BEST} SELECT lot_id, snapshot_label, count(*) OVER (PARTITION BY address_canon, snapshot_label, org_id) > 1 AS multilot FROM conf JOIN (SELECT lot_id, address_canon FROM lots) USING (lot_id)")
 def shared_best_candidates(spark, d):
     return M.shared_best(M.best_matches(_candidates(spark, d)), lots(spark, d)).select("lot_id", "snapshot_label", "multilot")
 
 
-@query(f"WITH {_BEST}, s AS (SELECT *, count(*) OVER (PARTITION BY address_canon, snapshot_label, company) > 1 AS many FROM conf JOIN (SELECT lot_id, address_canon FROM lots) USING (lot_id)) SELECT CASE WHEN many THEN 'low' ELSE confidence END AS confidence, count(*) AS n FROM s GROUP BY 1")
+@query(f"WITH {_BEST}, s AS (SELECT *, count(*) OVER (PARTITION BY address_canon, snapshot_label, org_id) > 1 AS many FROM conf JOIN (SELECT lot_id, address_canon FROM lots) USING (lot_id)) SELECT CASE WHEN many THEN 'low' ELSE confidence END AS confidence, count(*) AS n FROM s GROUP BY 1")
 def shared_best_downgrades(spark, d):
-    return M.shared_best(M.best_matches(_candidates(spark, d)), lots(spark, d), policy="downgrade").groupBy("confidence").agg(F.count("*").alias("n"))
+    return M.shared_best(M.best_matches(_candidates(spark, d)), lots(spark, d), policy="downgrade", key="id").groupBy("confidence").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SNAPSHOTS} SELECT org_id, min(snapshot_date) AS first_seen FROM snaps GROUP BY 1")
