@@ -15,9 +15,11 @@ own. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,9 @@ BUCKET_ROWS = 50_000
 #: Words in a worker's memory of token ids, by generation.
 CACHED_WORDS = 250_000
 
+#: A Latin letter or digit, then ASCII signs but the apostrophe, up to the end.
+_ENDED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
+
 _memory: dict[str, tuple] = {}
 
 
@@ -44,17 +49,35 @@ class WordTokens:
     """Token ids of texts for lower-casing tokenizers that never join across white space, word by word.
 
     Ids are little-endian unsigned 32-bit. Two generations of words are remembered, so memory is
-    bounded and frequent words stay. A comma or full stop after an ASCII letter or digit is a piece of its own.
+    bounded and frequent words stay. Signs after a letter or digit at the end of a word are a piece of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
-        self.marks = {m: self._encode([m.decode()])[0] for m in (b",", b".")}
+        spelled = self.tokenizer.get_vocab()
+        #: By id: whether the token ends a word.
+        self.ends = np.zeros(max(spelled.values()) + 1, bool)
+        self.ends[[i for w, i in spelled.items() if w.endswith("</w>")]] = True
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Words of Latin letters only are one word to the tokenizer too, so many are encoded as one text and cut where a word ends."""
+        alone, plain = [], []
+        for i, w in enumerate(words):
+            (plain if w.isalpha() and (w.isascii() or max(w) <= "ÿ") else alone).append(i)
+        texts = [" ".join([words[i] for i in plain[k : k + 256]]) for k in range(0, len(plain), 256)]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in alone] + texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(made[len(alone) :]), "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(plain):  # a vocabulary without word ends
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out, data, ends = [b""] * len(words), ids.tobytes(), ends.tolist()
+        for i, x in zip(alone, made):
+            out[i] = np.array(x, "<u4").tobytes()
+        for i, a, b in zip(plain, [0, *ends], ends):
+            out[i] = data[a:b]
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
         new, old = self.new, self.old
@@ -62,10 +85,9 @@ class WordTokens:
         for w in words:
             if w in old:
                 new[w] = old[w]
-            elif w[-1:] in self.marks and w[-2:-1].isalnum():
-                ended[w] = w[:-1]
-                if w[:-1] not in new:
-                    whole.add(w[:-1])
+            elif b"<|" not in w and (m := _ENDED.fullmatch(w)):
+                ended[w] = m.groups()
+                whole.update(x for x in ended[w] if x not in new)
             else:
                 whole.add(w)
         for w in [w for w in whole if w in old]:
@@ -73,8 +95,8 @@ class WordTokens:
             whole.discard(w)
         order = list(whole)
         new.update(zip(order, self._encode([w.decode("utf-8", "surrogatepass") for w in order])))
-        for w, stem in ended.items():
-            new[w] = new[stem] + self.marks[w[-1:]]
+        for w, (stem, marks) in ended.items():
+            new[w] = new[stem] + new[marks]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
