@@ -357,3 +357,23 @@ def test_pipeline_stages_take_nulls_and_empty_tables(spark):
             out = stage(spark, docs, "")
             assert name == "packing" or out.columns == df.columns
             out.collect()
+
+
+def test_pipeline_results_stay_and_nothing_else(spark):
+    """Two runs and two stages are readable side by side; after release the shared folder holds nothing of them."""
+    from pathlib import Path
+
+    from auctra.tables import discard, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    sf = "/root/testdata/sf0.001"
+    a, b = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = corpus_pipeline.line_stage(spark, docs, sf)
+    near = corpus_pipeline.near_stage(spark, docs, sf)
+    assert a.count() == b.count() > 0 and lines.count() > 0 and near.count() > 0
+    assert not [p for p in set(folder.iterdir()) - before if "-stage-" in p.name]
+    for table in (a, b, lines, near):
+        discard(table)
+    assert set(folder.iterdir()) <= before
