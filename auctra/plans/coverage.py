@@ -344,3 +344,46 @@ def entrance_quartiles(spark, d):
 @query(f"WITH {LOTS} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, '{t}' AS type, (SELECT {c}::VARCHAR FROM lots WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode" for c, t in (("bidders", "bigint"), ("district", "string"), ("trade_form", "string"))))
 def column_modes(spark, d):
     return A.modes(lots(spark, d), ["bidders", "district", "trade_form"])
+
+
+_ARRIVALS = """a AS (SELECT event_id, user_id, ts, value, CASE WHEN event_id % 17 = 0 THEN 3 ELSE date_diff('day', (SELECT min(ts) FROM events), ts) // 10 END AS batch FROM events),
+top AS (SELECT batch, max(ts) AS top FROM a GROUP BY 1), mark AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS top FROM top)"""
+
+
+def _arrivals(spark, d):
+    """Events in four batches of ten days each; every seventeenth comes with the last one."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    first = e.agg(F.min("ts")).first()[0]
+    day = F.datediff("ts", F.lit(first))
+    return e.withColumn("batch", F.when(F.col("event_id") % 17 == 0, 3).otherwise(F.floor(day / 10)).cast("int"))
+
+
+def _replayed(spark, d):
+    from auctra.streaming import feeds
+    from auctra.tables import new_folder
+
+    rows = _arrivals(spark, d)
+    folder = new_folder(spark, "replay")
+    feeds.write_arrivals(rows, "batch", f"{folder}/feed")
+    return feeds.replayed(spark, f"{folder}/feed", rows.drop("batch").schema), folder
+
+
+@query(f"""WITH {_ARRIVALS}, k AS (SELECT a.*, date_trunc('day', ts) AS start FROM a JOIN mark USING (batch) WHERE mark.top IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark.top - INTERVAL 2 DAY)
+SELECT start, count(*) AS n, round(avg(value), 4) AS mean FROM k GROUP BY 1""")
+def daily_feed_stream(spark, d):
+    """Daily counts of a replayed stream; rows that come after the watermark has passed their day are dropped."""
+    from auctra.streaming import feeds
+
+    stream, folder = _replayed(spark, d)
+    out, _ = feeds.run_once(feeds.windowed_counts(stream), "update", f"{folder}/out", f"{folder}/checkpoint")
+    return feeds.latest(out, ["start"]).withColumn("mean", r("mean"))
+
+
+@query(f"""WITH {_ARRIVALS}, k AS (SELECT a.* FROM a JOIN mark USING (batch) WHERE mark.top IS NULL OR ts > mark.top - INTERVAL 40 DAY) SELECT user_id, min(batch)::INTEGER AS first_batch FROM k GROUP BY 1""")
+def dedup_feed(spark, d):
+    """The first batch in which a replayed stream shows each object."""
+    from auctra.streaming import feeds
+
+    stream, folder = _replayed(spark, d)
+    out, _ = feeds.run_once(feeds.dedup_stream(stream, key="user_id", delay="40 days"), "append", f"{folder}/out", f"{folder}/checkpoint")
+    return out.select("user_id", F.col("batch_id").alias("first_batch"))

@@ -41,6 +41,13 @@ def _delete(spark: SparkSession, path: str) -> bool:
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, for files that are not one table; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/auctra-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def _read_by(df: DataFrame) -> list[str]:
     """The tables of ``materialise`` that ``df`` reads."""
     plain = lambda x: re.sub("/+", "/", x.removeprefix("file:"))  # noqa: E731  one spelling of local paths
