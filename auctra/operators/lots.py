@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from auctra.functions import columns as C
 from auctra.functions import vocab as V
@@ -123,6 +124,13 @@ def price_at_payback(df: DataFrame, years: float = 6) -> DataFrame:
     return df.withColumn("price_at_payback", F.col("rent_m2") * F.col("area") * 12 * years)
 
 
+def payback_by_use(lots: DataFrame, rents: DataFrame) -> DataFrame:
+    """Years in which each use of a lot pays back its price, ``rank`` 1 the soonest. Lots: lot_id, area, auction_price; rents: lot_id, use, rent_m2 (a month)."""
+    out = lots.select("lot_id", "area", "auction_price").join(rents.where("rent_m2 > 0"), "lot_id").where("area > 0 AND auction_price > 0")
+    out = out.withColumn("payback_years", F.col("auction_price") / (F.col("rent_m2") * F.col("area") * 12))
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("lot_id").orderBy("payback_years", "use")))
+
+
 def liquidity_flag(df: DataFrame, n: str = "analogues", min_n: int = 3) -> DataFrame:
     return df.withColumn("low_liquidity", F.coalesce(F.col(n) < min_n, F.lit(True)))
 

@@ -86,6 +86,17 @@ def shared_best(best: DataFrame, lots: DataFrame, policy: str = "flag", key: str
     return keyed if policy == "flag" else keyed.withColumn("confidence", F.when(F.col("multilot"), "low").otherwise(F.col("confidence")))
 
 
+def recent_matches(lots: DataFrame, snapshots: DataFrame, max_days: int = 180, address: str = "address_norm") -> DataFrame:
+    """Best candidates among the organisations that the newest snapshot has by a new id, at the lot's plain address.
+
+    An organisation can take one premise only: where it is the best candidate of several lots at an address, they are of low confidence.
+    """
+    labels = [r[0] for r in snapshots.select("snapshot_label").distinct().orderBy(F.desc("snapshot_label")).limit(2).collect()]
+    new = new_orgs(snapshots.where(F.col("snapshot_label").isin(labels)), key="id")
+    best = best_matches(match_candidates(lots.where(C.blank_to_null(address).isNotNull()), new, 0, max_days, address=address))
+    return shared_best(best, lots, "downgrade", "id", address)
+
+
 def best_per_lot(best: DataFrame) -> DataFrame:
     """Over snapshots: fewest days, then confidence, then the earlier snapshot."""
     return top_per_group(best, ["lot_id"], ["after_days", C.confidence_rank("confidence"), "snapshot_label"]).drop("rank")

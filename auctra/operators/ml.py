@@ -9,7 +9,10 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window as W
+
 from auctra.operators.neighbours import knn, neighbour_mean
+from auctra.tables import materialise
 
 
 def listing_features(df: DataFrame, floors: list[str] = ("цоколь", "1", "2", "3+"), types: list[str] = (), numeric: list[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -25,6 +28,45 @@ def assign_folds(df: DataFrame, group: Column, n: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(n)).cast("int"))
 
 
+def spread(hist: dict[int, int], n: int) -> list[tuple[int, int, int, int]]:
+    """(size, fold, lo, hi): groups of a size with ranks from lo to hi go to a fold, so that folds differ by no more than the largest group.
+
+    The largest groups go first, each to the smallest fold; groups of one size fill up the smallest folds together.
+    """
+    loads, out = [0] * n, []
+    for size in sorted(hist, reverse=True):
+        left, at = hist[size], 0
+        while left:
+            order = sorted(range(n), key=lambda f: (loads[f], f))
+            low = [f for f in order if loads[f] < loads[order[0]] + size]
+            gap = min((loads[f] for f in order if f not in low), default=loads[order[0]] + size * left)
+            each = max(1, min(left // len(low), (gap - loads[order[0]]) // size))
+            for f in low:
+                take = min(each, left)
+                if take:
+                    out.append((size, f, at, at + take))
+                    loads[f] += size * take
+                    at, left = at + take, left - take
+    return out
+
+
+def balanced_folds(df: DataFrame, group: Column, n: int = 5, bucket_groups: int = 50_000) -> DataFrame:
+    """Fold of each row, groups whole and folds even to within the largest group; which group goes where depends on hashes only.
+
+    The histogram of group sizes is all that the driver sees (sizes differ, so it has at most sqrt(2 * rows) entries).
+    """
+    sizes = materialise(df.groupBy(F.xxhash64(group).alias("g")).agg(F.count("*").alias("size")), "fold-sizes")
+    hist = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    buckets = max(1, sum(hist.values()) // bucket_groups)
+    dealt = sizes.withColumn("bucket", F.pmod("g", F.lit(buckets)))
+    before = W.partitionBy("size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = dealt.groupBy("size", "bucket").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("size", "bucket").orderBy("g")) - 1).join(offsets, ["size", "bucket"])
+    slots = df.sparkSession.createDataFrame(spread(hist, n) or [(0, 0, 0, 0)], "size long, fold int, lo long, hi long")
+    folds = ranked.join(slots, "size").where("rank + before >= lo AND rank + before < hi").select("g", "fold")
+    return df.withColumn("g", F.xxhash64(group)).join(folds, "g").drop("g")
+
+
 def split_holdout(features: DataFrame, ids: DataFrame, key: str = "lot_id") -> tuple[DataFrame, DataFrame]:
     ids = ids.select(key).distinct()
     return features.join(ids, key, "left_anti"), features.join(ids, key, "left_semi").dropDuplicates([key])

@@ -129,3 +129,33 @@ def form_years(matches: DataFrame) -> DataFrame:
 
 def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(value, q).alias(name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+
+
+def price_by_floor(lots: DataFrame, dear: float = 100_000) -> DataFrame:
+    """Per floor group (columns floor, price_m2, area, excess): share of all, means, mean excess and share of the sold, quartiles, share of dear lots."""
+    sold = F.col("excess") >= 0
+    out = lots.groupBy(C.floor_group("floor").alias("floor_group")).agg(
+        F.count("*").alias("n"), F.avg("price_m2").alias("mean_price"), F.avg("area").alias("mean_area"), F.avg(F.when(sold, F.col("excess"))).alias("mean_excess"), share(sold).alias("sold_pct"),
+        *[F.percentile("price_m2", q).alias(name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], share(F.col("price_m2") >= dear).alias("dear_pct"),
+    )
+    return out.withColumn("share_pct", F.col("n") / F.sum("n").over(W.partitionBy()) * 100)  # eight rows
+
+
+def price_clusters(lots: DataFrame, dear: float = 100_000) -> DataFrame:
+    """The two clusters by price per m²: cheap and dear, with their share, means and share of the sold."""
+    out = lots.where("price_m2 IS NOT NULL").groupBy(F.when(F.col("price_m2") >= dear, "dear").otherwise("cheap").alias("cluster")).agg(
+        F.count("*").alias("n"), F.avg("price_m2").alias("mean_price"), F.avg("area").alias("mean_area"), share(F.col("excess") >= 0).alias("sold_pct"), F.avg(F.when(F.col("excess") >= 0, F.col("excess"))).alias("mean_excess")
+    )
+    return out.withColumn("share_pct", F.col("n") / F.sum("n").over(W.partitionBy()) * 100)  # two rows
+
+
+def strong_signal(buyout: DataFrame, before: int = 5, after: int = 2) -> DataFrame:
+    """Businesses, and their lots, that were seen often before and again after a sale."""
+    sure = (F.col("n_before") >= before) & (F.col("n_after") >= after)
+    return buyout.where(sure).agg(F.count("*").alias("businesses"), F.count_distinct("lot_id").alias("lots"))
+
+
+def coordinate_coverage(houses: DataFrame, coords: DataFrame, key: str = "fias") -> DataFrame:
+    """Houses, and those with coordinates."""
+    known = coords.where("lat IS NOT NULL AND lng IS NOT NULL").select(key).distinct().withColumn("known", F.lit(True))
+    return houses.select(key).distinct().join(known, key, "left").agg(F.count("*").alias("houses"), F.count("known").alias("located"), (F.count("known") / F.count("*") * 100).alias("located_pct"))

@@ -155,6 +155,11 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return out
 
 
+def union_periods(periods: dict[str, DataFrame], name: str = "period") -> DataFrame:
+    """Tables of several periods as one, each row with the label of its own."""
+    return union_all(*[df.withColumn(name, F.lit(label)) for label, df in periods.items()])
+
+
 def remaining(every: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return every.join(done.select(key), key, "left_anti")
 

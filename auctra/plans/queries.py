@@ -694,4 +694,6 @@ def unique_locations(spark, d):
     return reports.unique_locations(x, "k").select("k", "lat")
 
 
-from auctra.plans import coverage, rules  # noqa: E402, F401  register further queries
+from auctra.plans import coverage, further, rules  # noqa: E402, F401  register further queries
+
+_ORACLES["loo_filter_sweep"] = further.LOO_FILTERS

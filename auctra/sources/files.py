@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auctra.functions import columns as C
 from auctra.operators.lots import match_class
@@ -31,6 +32,49 @@ def read_by_header(spark: SparkSession, path, sep: str = ",") -> DataFrame:
     return spark.read.option("sep", sep).option("header", True).option("inferSchema", False).csv(path)
 
 
+def headers(spark: SparkSession, path) -> list[tuple[str, list[str]]]:
+    """(first line, files that begin with it) of text files."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).where("start = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    return [(r["header"].lstrip("\ufeff"), sorted(r["files"])) for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()]
+
+
+def read_declared(spark: SparkSession, path, schema: str | T.StructType, sep: str = ",", names: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of delimited files under a declared schema, whatever the order of their columns.
+
+    A record is one line. ``names``: other headers of a column. Columns that a file lacks are null, further ones are left out. A record with another number
+    of fields than its header, or with a text that is no value of its column's type, is rejected: (source_file, record, reason).
+    """
+    fields = schema.fields if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).fields
+    good = bad = None
+    for header, files in headers(spark, path):
+        given = [x.strip().strip('"') for x in header.split(sep)]
+        cut = lambda n, *more: ", ".join([f"c{i} string" for i in range(n)] + list(more))
+        lines = spark.read.text(files).select(F.regexp_replace("value", "^\ufeff", "").alias("record"), F.col("_metadata.file_name").alias("source_file"))
+        lines = lines.where((F.col("record") != header) & (F.trim("record") != ""))
+        options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record"}
+        # Fewer fields than the header are told by the reader, more by one column too many.
+        rows = lines.select("source_file", "record", F.from_csv("record", cut(len(given), "_record string"), options).alias("p"), F.from_csv("record", cut(len(given) + 1), {"sep": sep})[f"c{len(given)}"].alias("beyond"))
+        rows = rows.select("source_file", "record", "p.*", "beyond")
+        place = {f.name: next((i for x in [f.name, *(names or {}).get(f.name, [])] if x in given for i in [given.index(x)]), None) for f in fields}
+        own = {f.name: F.lit(None).cast("string") if place[f.name] is None else C.blank_to_null(f"c{place[f.name]}") for f in fields}
+        wrong = [F.when(own[f.name].isNotNull() & own[f.name].try_cast(f.dataType).isNull(), F.lit(f.name)) for f in fields]
+        reason = F.when(F.col("_record").isNotNull() | F.col("beyond").isNotNull(), "fields").otherwise(C.blank_to_null(F.concat_ws(",", *wrong)))
+        rows = rows.select("source_file", "record", reason.alias("reason"), *[own[f.name].try_cast(f.dataType).alias(f"v_{f.name}") for f in fields])
+        right = rows.where("reason IS NULL").select(*[F.col(f"v_{f.name}").alias(f.name) for f in fields], "source_file")
+        left = rows.where("reason IS NOT NULL").select("source_file", "record", "reason")
+        good, bad = (right, left) if good is None else (good.unionByName(right), bad.unionByName(left))
+    if good is None:
+        none = T.StructType([*fields, T.StructField("source_file", T.StringType())])
+        return spark.createDataFrame([], none), spark.createDataFrame([], "source_file string, record string, reason string")
+    return good, bad
+
+
+#: Declared schemas of the two listings of SURVEY 1.4 that come as delimited text, and other headers of their columns.
+LOTS = "lot_id string, url string, area_m2 double, start_price double, final_price double, deposit double, bid_step double, address string, cadastral_no string, floor string, floors_total int, purpose string, entrance string, trade_form string, trade_year int, lat double, lon double"
+LISTINGS = "url string, title string, price double, params string, date date, lat double, lng double, source string, address string"
+
+
 def with_provenance(df: DataFrame, label: str | None = None) -> DataFrame:
     """Source file, snapshot label (from the path unless given), its date (last day) and the format."""
     name = F.col("_metadata.file_name")
