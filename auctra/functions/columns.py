@@ -317,7 +317,7 @@ def entrance_display(c) -> Column:
 def entrance_flags(c) -> tuple[Column, Column]:
     """Separate entrance of any kind, shared entrance of any kind."""
     label = _col(c)
-    return F.coalesce(label.startswith("отдельный"), F.lit(False)), F.coalesce(label.startswith("общий"), F.lit(False))
+    return F.coalesce(label.isin(V.SEPARATE_ENTRANCES), F.lit(False)), F.coalesce(label.isin(V.SHARED_ENTRANCES), F.lit(False))
 
 
 def lot_object_type(purpose) -> Column:

@@ -170,3 +170,7 @@ MATCHED = ["high", "medium", "low", "existing_tenant"]
 # Kinds of streets in addresses, and their short forms in keys of buildings.
 STREET_KINDS = ["улица", "ул.", "проспект", "пр-кт.", "пр-кт", "пр.", "шоссе", "ш.", "переулок", "пер.", "проезд", "бульвар", "б-р", "аллея", "набережная", "наб.", "площадь", "тупик"]
 STREET_SHORT = {"улица": "ул.", "переулок": "пер.", "проезд": "пр.", "проспект": "пр-кт.", "шоссе": "ш.", "бульвар": "б-р", "набережная": "наб."}
+
+# Entrance labels that count as an own entrance, and as a shared one.
+SEPARATE_ENTRANCES = ["отдельный", "отдельный с улицы", "отдельный со двора"]
+SHARED_ENTRANCES = ["общий", "общий с улицы", "через подъезд", "через холл"]

@@ -178,6 +178,23 @@ def price_importances(spark, d):
     return ml.importances(ml.train_hedonic(x, features, "price", iterations=10), features)
 
 
+@query()
+def lot_prices(spark, d):
+    """Prices of lots by a model of listings that is fitted, written, read again and applied to lots in listing words."""
+    from auctra.operators import hedonic as H
+
+    own = listings(spark, d, "").select(F.col("url").alias("id"), "lat", "lon", "area", "floor", F.element_at(F.array(*map(F.lit, H.TYPES)), (F.col("url") % 3 + 1).cast("int")).alias("type"), F.lit("общий").alias("entrance"), F.lit(9).alias("floors_total"), (F.col("price") / F.col("area")).alias("price_m2"))
+    other = own.where("id % 2 = 0").withColumn("price_m2", F.col("price_m2") / 100)
+    houses = table(spark, d, "customer").select(F.lit(40).alias("flats"), lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"))
+    k = F.col("s_suppkey")
+    stations = table(spark, d, "supplier").select(k.alias("station"), F.col("s_acctbal").alias("passengers"), (k % 3).cast("double").alias("vestibule"), lat("s_suppkey").alias("lat"), lon("s_suppkey").alias("lon"))
+    x = points(spark, d).where("lot_id % 10 = 1").withColumns({"floor": F.element_at(F.array(*map(F.lit, ["подвал", "1", "2 этаж", "7"])), (F.col("lot_id") % 4 + 1).cast("int")), "purpose": F.lit("торговое"), "floors_total": F.lit(5)})
+    path = f"{new_folder(spark, 'model')}/sale"
+    H.write_model(H.fit_prices(H.surroundings(own, own, other, houses, stations), iterations=10), path)
+    priced = H.price_places(H.read_model(path), H.surroundings(H.lots_as_places(x), own, other, houses, stations, listed=False))
+    return priced.select(F.col("id").alias("lot_id"), *[r(c).alias(c) for c in ("metro_km", "flats_800", "other_median_1500")], "own_count_700", r("prediction").alias("prediction"))
+
+
 _COMBOS = "(i & 1) = 1 AS by_floor, (i >> 1 & 1) = 1 AS by_area, (i >> 2 & 1) = 1 AS by_type, (i >> 3 & 1) = 1 AS weighted"
 LOO_FILTERS = f"""WITH {_LOO}, f AS (SELECT {_COMBOS} FROM (SELECT unnest(range(16)) AS i)), p AS (SELECT * FROM z WHERE m > 100 AND m <= 2000),
 x AS (SELECT p.*, f.*, CASE WHEN weighted THEN 1 / greatest(m, 1.0::DOUBLE) ELSE 1.0::DOUBLE END AS w FROM p, f WHERE (NOT by_floor OR l_floor = r_floor) AND (NOT by_area OR r_area BETWEEN l_area * 0.5 AND l_area * 1.5) AND (NOT by_type OR l_type = r_type)),

@@ -585,8 +585,8 @@ def hedonic_cross_validation(spark, d):
 
     x = listings(spark, d, "").withColumnRenamed("entrance", "e")
     x, features = ml.listing_features(x, floors=["0", "1", "2", "3"], types=["ECONOMY", "STANDARD", "PROMO"], numeric=["area", "lat", "lon"])
-    x = ml.assign_folds(x, F.concat_ws("_", "floor", F.rint(F.col("lat") * 2000), F.rint(F.col("lon") * 2000)), 3)
-    p = ml.cross_predict(x, features, "price", 3, iterations=10)
+    x = ml.assign_folds(x, F.concat_ws("_", "floor", F.rint(F.col("lat") * 2000), F.rint(F.col("lon") * 2000)))
+    p = ml.cross_predict(x, features, "price")
     return A.error_report(p.withColumn("error_pct", (F.col("prediction") - F.col("price")) / F.col("price") * 100))
 
 

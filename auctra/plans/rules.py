@@ -82,7 +82,7 @@ def floors_in_order(spark, d):
 
 
 @query(f"""SELECT s_suppkey, {_expected("s_suppkey", entrance=["отдельный с улицы", "через холл", None, "общий со двора"], lot=[None, None, "отдельный с улицы", None], shown=["separateFromStreet", "Через холл", "Отдельный", "commonFromYard"],
-    separate=[True, False, False, False], common=[False, False, False, True])}, {_expected("s_suppkey", object_type=["Помещение свободного назначения", "Торговое помещение", None], object_class=["flex", "other", "office"])} FROM supplier""")
+    separate=[True, False, False, False], common=[False, True, False, False])}, {_expected("s_suppkey", object_type=["Помещение свободного назначения", "Торговое помещение", None], object_class=["flex", "other", "office"])} FROM supplier""")
 def entrance_texts(spark, d):
     k = F.col("s_suppkey")
     raw, purpose = _pick(k, ["separateFromStreet", "Через холл", "nsi:1032:103201", "commonFromYard"]), _pick(k, ["Свободное", "бытовые услуги", "офисный зал"])
