@@ -208,22 +208,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
-    """The bounded training sample, from text and language of documents that are not held out."""
-    labelled = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id"))
-    chosen = materialise(labelled.select("doc_id", "lang").withColumn("r", first).where(F.col("r") <= SAMPLE_DOCS), "crf-chosen")
+    """The bounded training sample, from text and language of documents that are not held out. A document repeated in many rows counts once."""
+    labelled = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", "text_key"))
+    chosen = materialise(labelled.select("doc_id", "lang", "text_key").distinct().withColumn("r", first).where(F.col("r") <= SAMPLE_DOCS), "crf-chosen")
     langs = chosen.select("lang").distinct().limit(MAX_LABELS + 1).collect()
     if len(langs) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} languages")
-    texts = labelled.join(F.broadcast(chosen.drop("r")), ["doc_id", "lang"], "left_semi")  # MAX_LABELS * SAMPLE_DOCS ids at most
+    texts = labelled.join(F.broadcast(chosen.drop("r")), ["doc_id", "lang", "text_key"], "left_semi").dropDuplicates(["doc_id", "lang", "text_key"])  # MAX_LABELS * SAMPLE_DOCS ids at most
 
     def cut(batches):
         for pdf in batches:
-            rows = [(d, x, i, w[i : i + PIECE_WORDS]) for d, x, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"]) for w in [words_of(t)] for i in range(0, len(w), PIECE_WORDS)]
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "at", "words"])
+            rows = [(d, x, k, i, w[i : i + PIECE_WORDS]) for d, x, k, t in zip(pdf["doc_id"], pdf["lang"], pdf["text_key"], pdf["text"]) for w in [words_of(t)] for i in range(0, len(w), PIECE_WORDS)]
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "text_key", "at", "words"])
 
-    pieces = texts.mapInPandas(cut, "doc_id long, lang string, at long, words array<string>")
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(2), "doc_id", "at"), "doc_id", "at"))
+    pieces = texts.mapInPandas(cut, "doc_id long, lang string, text_key long, at long, words array<string>")
+    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(2), "doc_id", "at"), "doc_id", "at", "text_key"))
     pieces = pieces.withColumn("r", order).where(F.col("r") <= SAMPLE_PIECES)
     return [(r["lang"], list(r["words"])) for r in sorted(pieces.collect(), key=lambda r: (r["lang"], r["r"]))]
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -37,6 +38,15 @@ def test_language_accuracy_and_edges(spark):
     assert [s["lang"] for s in spans] == ["en", "de"]
 
 
+def test_repeated_rows_leave_the_sample_unchanged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id")).select("doc_id", "text", "lang")
+    often = docs.unionByName(one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("i"))
+    assert language_crf.sample(docs) == language_crf.sample(often)
+    two = spark.createDataFrame([(1, "ein Text", "de"), (1, "noch ein anderer", "de"), (1, "ein Text", "de")], "doc_id long, text string, lang string")
+    assert sorted(w for _, w in language_crf.sample(two)) == [["ein", "text"], ["noch", "ein", "anderer"]]
+
+
 def test_words_are_letters():
     assert language_crf.words_of("① Ⅷ ½ 12_3 ²") == [] and language_crf.words_of("Ab①cd Ünder x²") == ["ab", "cd", "ünder", "x"] and language_crf.words_of(None) == []
 
