@@ -286,6 +286,8 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. Texts are counted once and written beside their counts."""
-    counted = _counted(docs, F.struct("*").alias("doc"))
-    return score(counted, *fit(counted.drop("doc"))).where("kept").select("doc.*")
+    """The documents that pass, with their own columns. Texts are counted once; the rejected rows are written as keys of 128 bits and taken out."""
+    k1, k2 = (F.xxhash64(F.lit(i), "doc_id", "lang", "source", "text").alias(f"k{i}") for i in (1, 2))
+    counted = _counted(docs, k1, k2)
+    bad = materialise(score(counted, *fit(counted.drop("k1", "k2"))).where("NOT kept").select("k1", "k2").distinct(), "quality-bad")
+    return docs.select(F.struct("*").alias("doc"), k1, k2).join(bad, ["k1", "k2"], "left_anti").select("doc.*")
