@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from auctra.functions import columns as C
 from auctra.functions import vocab as V
 from auctra.functions.geo import cells_around, haversine_m, own_cell
-from auctra.operators.similarity import candidate_pairs, reaching
+from auctra.operators.similarity import candidate_pairs, containing, reaching
 from auctra.operators.spatial import radius_join
 from auctra.operators.stats import ordered_preview, previous_snapshot, top_per_group
 from auctra.tables import materialise
@@ -278,15 +278,27 @@ def pure_basement(floor: str) -> Column:
     return low.contains("подвал") & ~low.rlike("[1-9]")
 
 
+#: Chain names that go to every task as one list; more are looked up by their rarest letters.
+LISTED_CHAINS = 5_000
+
+
 def invalid_reason(candidates: DataFrame, limits: DataFrame, chains: DataFrame) -> DataFrame:
     """Adds ``reason`` (implausible, area, floor or null) to candidates (company, usage, area, floor)."""
-    rows = candidates.withColumn("category", C.retail_category("usage")).join(F.broadcast(limits), "category", "left")
-    names = chains.agg(F.collect_set("chain").alias("first_floor"))  # names of a requirements list
-    rows = rows.join(F.broadcast(names), F.lit(True), "left")
+    rows = candidates.withColumn("category", C.retail_category("usage")).join(limits, "category", "left")
     name = F.replace(F.replace(F.lower("company"), F.lit("&"), F.lit(" и ")), F.lit("  "), F.lit(" "))
-    floor = pure_basement("floor") & F.exists("first_floor", lambda x: F.contains(name, x))
+    names = chains.where("chain != ''").select("chain").distinct()
+    listed = [r[0] for r in names.limit(LISTED_CHAINS + 1).collect()]
+    if len(listed) <= LISTED_CHAINS:
+        listed = F.array(*map(F.lit, listed)).cast("array<string>")
+        rows = rows.withColumn("__chain", F.exists(listed, lambda x: F.contains(name, x)))
+    else:
+        rows = materialise(rows.withColumn("__name", name), "named")
+        own = rows.select(F.col("__name").alias("name")).distinct().select(F.col("name").alias("id"), "name")
+        hit = containing(names.select(F.col("chain").alias("id"), F.col("chain").alias("name")), own).select(F.col("r_name").alias("__name")).distinct().withColumn("__chain", F.lit(True))
+        rows = rows.join(hit, "__name", "left").drop("__name")
+    floor = pure_basement("floor") & F.col("__chain")
     area = F.coalesce((F.col("area") < F.col("area_lo")) | (F.col("area") > F.col("area_hi")), F.lit(False))
-    return rows.withColumn("reason", F.when(C.is_implausible("company", "usage", "revalidate"), "implausible").when(area, "area").when(floor, "floor")).drop("first_floor", "area_lo", "area_hi")
+    return rows.withColumn("reason", F.when(C.is_implausible("company", "usage", "revalidate"), "implausible").when(area, "area").when(floor, "floor")).drop("__chain", "area_lo", "area_hi")
 
 
 def revalidate(matches: DataFrame, lots: DataFrame, limits: DataFrame, chains: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame]:

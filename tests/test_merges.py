@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from auctra.functions import columns as C
 from auctra.operators import matching as M
 from auctra.operators import reports as R
+from auctra.operators.similarity import similarity
+from tests.test_nearest import metres
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -60,3 +63,50 @@ def test_kinds_of_streets_are_levelled(spark):
     one = "пр. тихий|д:5|к:|стр:"
     rows = [("Москва, проезд Тихий, дом 5",), ("пр. Тихий, д. 5",)]
     assert [r.k for r in spark.createDataFrame(rows, "x string").select(C.building_key("x").alias("k")).collect()] == [one, one]
+
+
+def test_baseline_equals_brute_force(spark):
+    """Days window, ids and names seen before the sale, counts and bands, the best snapshot of each lot."""
+    rng = random.Random(21)
+    stems = ["кофейня ромашка", "аптека здоровье", "хлеб и соль", "цветы мира"]
+    spelled = lambda: "".join(c for c in rng.choice(stems) if rng.random() > 0.05)
+    place = lambda: (55.75 + rng.uniform(0, 0.004), 37.6 + rng.uniform(0, 0.006))
+    sold = {lot: DAY + datetime.timedelta(rng.randint(300, 500)) for lot in range(14)}
+    rows = []
+    for _ in range(260):
+        lot, days, name = rng.randrange(14), rng.choice([100, 180, 200, 200, 365, 366]), spelled()
+        rows.append((lot, f"s{days}", rng.randrange(60), name, name, "Rubric", sold[lot], days, float(rng.choice([10, 20, 50, 99, 120, 240, 260])), *place()))
+    rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
+    snaps = [(rng.randrange(60), spelled(), DAY + datetime.timedelta(rng.randint(250, 1000)), *place()) for _ in range(90)]
+    c = spark.createDataFrame(rows, "lot_id long, snapshot_label string, org_id long, org_name string, company string, usage string, sale_date date, after_days int, distance_m double, o_lat double, o_lon double")
+    c = c.withColumns({"band": C.distance_band("distance_m"), "o_address": F.lit("a")})
+    s = spark.createDataFrame(snaps, "org_id long, org_name string, snapshot_date date, lat double, lon double")
+    tokens = {r.n: r.t for r in c.select("org_name").unionByName(s.select("org_name")).select(F.col("org_name").alias("n"), C.name_tokens("org_name").alias("t")).collect()}
+    first = {}
+    for org, _, seen, _, _ in snaps:
+        first[org] = min(seen, first.get(org, seen))
+    groups = {}
+    for r in rows:
+        lot, label, org, name, company, _, when, days, m, y, x = r
+        before = any(seen < when and metres(y, x, v, u) <= 100 and similarity(tokens[name], tokens[other]) >= 0.8 for _, other, seen, v, u in snaps)
+        if 180 <= days <= 365 and org in first and first[org] >= when and not before:
+            groups.setdefault((lot, label, days), []).append((m, company, org))
+    best = {}
+    for (lot, label, days), g in groups.items():
+        m, company, _ = min(g)
+        near = "high" if len(g) == 1 and m <= 30 else "medium" if len(g) <= 3 and m <= 100 else "low"
+        conf = near if m <= 100 else "low" if m <= 250 else None
+        if conf:
+            best[lot] = min(best.get(lot, (9999,)), (days, ["high", "medium", "low"].index(conf), label, company, conf, len(g)))
+    got = {r.lot_id: (r.snapshot_label, r.company, r.confidence, r.n) for r in M.baseline_matches(c, s).collect()}
+    assert got == {lot: (b[2], b[3], b[4], b[5]) for lot, b in best.items()} and len(got) > 5
+
+
+def test_long_lists_of_chains_are_looked_up(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "Магнит у дома", "подвал"), (2, "Хлеб & соль", "подвал"), (3, "Магнит", "1"), (4, None, "подвал"), (5, "Цветы", "подвал")], "lot_id long, company string, floor string").withColumns({"usage": F.lit("Rubric"), "area": F.lit(50.0)})
+    limits = spark.createDataFrame([], "category string, area_lo double, area_hi double")
+    chains = spark.createDataFrame([("магнит",), ("хлеб и соль",), ("аб",), ("",)], "chain string")
+    for most in (5_000, 2):
+        monkeypatch.setattr(M, "LISTED_CHAINS", most)
+        assert {r.lot_id: r.reason for r in M.invalid_reason(rows, limits, chains).collect()} == {1: "floor", 2: "floor", 3: None, 4: None, 5: None}
+    assert M.invalid_reason(rows, limits, chains.limit(0)).where("reason IS NOT NULL").count() == 0
