@@ -38,8 +38,8 @@ def form_discount(lots: DataFrame) -> DataFrame:
 
 
 def history_sizes(history: DataFrame, matches: DataFrame) -> DataFrame:
-    """Median number of businesses ever seen at matched and at unmatched lots, of lots that have any."""
-    n = history.groupBy("lot_id").agg(F.count("*").alias("n"))
+    """Median number of businesses ever seen at matched and at unmatched lots, of lots that have any; ``history`` may be those numbers (lot_id, n)."""
+    n = history if "n" in history.columns else history.groupBy("lot_id").agg(F.count("*").alias("n"))
     return matches.join(n, "lot_id").groupBy(F.coalesce(F.col("confidence").isin(V.MATCHED), F.lit(False)).alias("matched")).agg(F.count("*").alias("lots"), F.median("n").alias("median_n"))
 
 
@@ -104,8 +104,9 @@ def entrance_discount(listings: DataFrame, floor: str = "1") -> DataFrame:
 
 
 def neighbour_categories(buyout: DataFrame, n: int = 10) -> DataFrame:
-    """Most frequent categories among long-standing neighbours."""
-    return top_n(buyout.groupBy(C.chart_category("usage").alias("category")).agg(F.count("*").alias("n")), [F.desc("n"), "category"], n)
+    """Most frequent categories among long-standing neighbours. A row counts ``n_lots`` times, if it has that."""
+    times = F.sum("n_lots") if "n_lots" in buyout.columns else F.count("*")
+    return top_n(buyout.groupBy(C.chart_category("usage").alias("category")).agg(times.alias("n")), [F.desc("n"), "category"], n)
 
 
 def form_by_class(matches: DataFrame) -> DataFrame:
