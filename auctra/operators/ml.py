@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +18,8 @@ from pyspark.sql.window import Window as W
 from auctra.operators.neighbours import knn, neighbour_mean
 from auctra.tables import materialise
 
+#: Rows of one task of a fit.
+FIT_ROWS = 50_000
 
 def listing_features(df: DataFrame, floors: list[str] = ("цоколь", "1", "2", "3+"), types: list[str] = (), numeric: list[str] = ()) -> tuple[DataFrame, list[str]]:
     """Fixed dummies for floor and type, and numeric columns with 0 for null: one function for training and scoring."""
@@ -72,11 +78,17 @@ def split_holdout(features: DataFrame, ids: DataFrame, key: str = "lot_id") -> t
     return features.join(ids, key, "left_anti"), features.join(ids, key, "left_semi").dropDuplicates([key])
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` in even parts of some ``FIT_ROWS`` rows, in their order: what a task of a fit holds and reads does not grow with the table, however its files are cut."""
+    rows = rows.select(*columns)
+    return rows.repartition(max(1, math.ceil(rows.count() / FIT_ROWS))).sortWithinPartitions(*columns)
+
+
 def train_hedonic(df: DataFrame, features: list[str], target: str, log: bool = True, iterations: int = 60) -> PipelineModel:
     """Boosted trees on the (log) target; the label column is added by the caller's ``with_label``."""
     gbt = GBTRegressor(featuresCol="x", labelCol="label", predictionCol="raw", maxDepth=5, stepSize=0.05, subsamplingRate=0.8, maxIter=iterations, seed=42)
     rows = df.where(F.col(target) > 0).withColumn("label", F.log(target) if log else F.col(target).cast("double"))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x", handleInvalid="keep"), gbt]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x", handleInvalid="keep"), gbt]).fit(dealt(rows, *features, "label"))
 
 
 def score(model: PipelineModel, df: DataFrame, log: bool = True) -> DataFrame:
@@ -84,10 +96,13 @@ def score(model: PipelineModel, df: DataFrame, log: bool = True) -> DataFrame:
 
 
 def cross_predict(df: DataFrame, features: list[str], target: str, n: int = 5, **kw) -> DataFrame:
-    """Out-of-fold predictions over column ``fold``."""
+    """Out-of-fold predictions over column ``fold``; the models are fitted side by side, as a fit is many short jobs."""
+    fit = inheritable_thread_target(df.sparkSession)(lambda k: train_hedonic(df.where(F.col("fold") != k), features, target, **kw))
+    with ThreadPool(n) as pool:
+        models = pool.map(fit, range(n))
     out = None
-    for k in range(n):
-        part = score(train_hedonic(df.where(F.col("fold") != k), features, target, **kw), df.where(F.col("fold") == k))
+    for k, model in enumerate(models):
+        part = score(model, df.where(F.col("fold") == k))
         out = part if out is None else out.unionByName(part)
     return out
 
