@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
     """
     # What goes is written first: the windows are not needed any more, and texts are split above the join, so they cross its shuffle once.
     gone = materialise(removed_lines(docs, span), "line-gone")
-    rows = docs.select(F.struct("*").alias("doc"), *_keys()).join(gone, ["k_id", "k_text"], "left").withColumn("lines", F.split("doc.text", "\n", -1))
+    # Merged at every size: ``gone`` grows with the documents, so it is not sent to all tasks where it happens to be small.
+    rows = docs.select(F.struct("*").alias("doc"), *_keys()).join(gone.hint("merge"), ["k_id", "k_text"], "left").withColumn("lines", F.split("doc.text", "\n", -1))
     n = F.size("lines")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))
     clean = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(left, lambda i: F.col("lines")[i]), "\n"))

@@ -290,4 +290,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     k1, k2 = (F.xxhash64(F.lit(i), "doc_id", "lang", "source", "text").alias(f"k{i}") for i in (1, 2))
     counted = _counted(docs, k1, k2)
     bad = materialise(score(counted, *fit(counted.drop("k1", "k2"))).where("NOT kept").select("k1", "k2").distinct(), "quality-bad")
-    return docs.select(F.struct("*").alias("doc"), k1, k2).join(bad, ["k1", "k2"], "left_anti").select("doc.*")
+    # Merged at every size: the rejected keys grow with the documents.
+    return docs.select(F.struct("*").alias("doc"), k1, k2).join(bad.hint("merge"), ["k1", "k2"], "left_anti").select("doc.*")
