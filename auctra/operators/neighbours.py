@@ -4,6 +4,9 @@ A bounded sample of the base gives pivots. Every base row lies in the cell of it
 distances around it; a cell keeps the least and largest distance of its rows to all pivots. By the triangle inequality these
 bound the distance of a query to all rows of a cell. A query first meets its closest cells until they hold k rows, and then only
 cells whose bound is not beyond its k-th distance so far. Cells, at most ``PIVOTS * RINGS``, are the only table that goes to every task.
+
+Where bounds say little (in the sample those of single rows leave more than ``OPENED`` of it) all pairs are compared: blocks of queries meet blocks
+of base rows, a matrix product gives squared distances with a bound of their rounding, and what may be among the k nearest is computed exactly.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -23,6 +27,10 @@ from auctra.tables import discard, materialise
 SAMPLE, PIVOTS, RINGS, CELL_ROWS = 2048, 128, 64, 64
 #: Share by which bounds give way, as distances are rounded.
 SLACK = 1e-9
+#: Rows of the sample whose bounds are looked at, and the share of rows left by them beyond which all pairs are compared.
+PROBES, OPENED = 256, 0.25
+#: Least and most rows of a block (fewer, if it would have more than ``BLOCK_NUMBERS`` numbers), blocks of queries and of base rows below that; queries and base rows of one product.
+BLOCK_ROWS, BLOCK_NUMBERS, QUERY_BLOCKS, BASE_BLOCKS, TILE_QUERIES, TILE_ROWS = (2048, 65_536), 1 << 22, 16, 3, 256, 2048
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,6 +161,106 @@ def openings(query: DataFrame, cells: Cells, pivots: np.ndarray, k: int) -> Data
     return query.mapInPandas(run, "q long, cell long, bound double, home boolean")
 
 
+def unbounded(rows: np.ndarray, pivots: np.ndarray) -> float:
+    """Share of the sample's rows that bounds by pivots do not set farther from one of its rows than the nearest other row."""
+    d, left = distances(rows, pivots), 0
+    for i in range(min(PROBES, len(rows))):
+        near = np.sqrt(((rows - rows[i]) ** 2).sum(1))
+        near[i] = np.inf
+        left += int((np.abs(d - d[i]).max(1) <= near.min()).sum())
+    return left / (len(rows) * min(PROBES, len(rows)))
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    return np.vstack(table.column("v").to_numpy())
+
+
+def _within(ids: np.ndarray, q: np.ndarray, b_ids: np.ndarray, b: np.ndarray, q2: np.ndarray, b2: np.ndarray, k: int, slip: float, most_kept: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """(query row, base row) of all that can be among the k nearest; None if more than ``most_kept`` are held.
+
+    ``q`` has -2 times the queries and a one, ``b`` the rows and the least that |b|^2 can be, so that a product is the least that the squared distance less |q|^2
+    can be without rounding. Rows go by the k-th of the upper ends.
+    """
+    limit, tiny = np.full(len(ids), np.inf), 1e-30 if q.dtype == np.float32 else 0.0
+    i, j, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for lo in range(0, len(b), TILE_ROWS):
+        s = q @ b[lo : lo + TILE_ROWS].T
+        most = limit
+        if not lo:  # the k nearest of the first rows: beyond them and the query's own rows nothing counts
+            same = np.sort(b_ids[:TILE_ROWS])
+            n = k + int((np.searchsorted(same, ids, "right") - np.searchsorted(same, ids)).max())
+            if n <= s.shape[1]:
+                most = np.partition(s, n - 1, 1)[:, n - 1] + 2 * slip * (q2 + b2[:TILE_ROWS].max()) + tiny
+        near_i, near_j = np.divmod(np.flatnonzero(~(s > np.nextafter(most.astype(s.dtype), s.dtype.type(np.inf))[:, None])), s.shape[1])  # products beyond numbers (NaN) stay
+        near = s[near_i, near_j].astype(float)
+        near_j += lo
+        other = ids[near_i] != b_ids[near_j]
+        i, j, least = np.concatenate([i, near_i[other]]), np.concatenate([j, near_j[other]]), np.concatenate([least, near[other]])
+        end = least + 2 * slip * (q2[i] + b2[j]) + tiny
+        order = np.lexsort((end, i))
+        i, j, least, end = i[order], j[order], least[order], end[order]
+        kth = np.searchsorted(i, np.arange(len(ids))) + k - 1
+        full = kth < np.searchsorted(i, np.arange(len(ids)), "right")
+        limit[full] = end[kth[full]]
+        keep = ~(least > limit[i])
+        i, j, least = i[keep], j[keep], least[keep]
+        if len(i) > most_kept:
+            return None
+    return i, j
+
+
+def block_nearest(q_ids: np.ndarray, q: np.ndarray, b_ids: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, base row, distance) of the k nearest of a block's rows for each query, ties to the smaller id.
+
+    Products are of single numbers around the block's mean, where these tell rows apart, else of double ones; distances are of double ones.
+    """
+    kinds = []
+    for kind, centre in ((np.float32, b.mean(0)), (np.float64, np.zeros(b.shape[1]))):
+        x, y = q - centre, b - centre
+        x2, y2 = (x * x).sum(1), (y * y).sum(1)
+        if kind == np.float64 or max(x2.max(), y2.max()) < 1e36:
+            slip = 16 * (q.shape[1] + 8) * float(np.finfo(kind).eps)
+            kinds.append((np.column_stack([-2 * x, np.ones(len(x))]).astype(kind), np.column_stack([y, y2 * (1 - slip)]).astype(kind), x2, y2, slip))
+    found = []
+    for at in range(0, len(q), TILE_QUERIES):
+        own = slice(at, at + TILE_QUERIES)
+        while True:
+            left, right, x2, y2, slip = kinds[0]
+            pairs = _within(q_ids[own], left[own], b_ids, right, x2[own], y2, k, slip, np.inf if len(kinds) == 1 else 16 * (k + 8) * TILE_QUERIES)
+            if pairs is not None:
+                break
+            kinds.pop(0)
+        i, j = pairs
+        d = np.concatenate([np.zeros(0), *[np.sqrt(((b[j[x : x + 4096]] - q[own][i[x : x + 4096]]) ** 2).sum(1)) for x in range(0, len(i), 4096)]])
+        order = np.lexsort((b_ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(d)
+        found.append((i[first] + at, j[first], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def all_pairs(q: DataFrame, b: DataFrame, dim: int, k: int) -> DataFrame:
+    """The k nearest base rows (b, v) of every block for each query (q, v)."""
+    low, high = BLOCK_ROWS
+    blocks = lambda n, parts: max(1, math.ceil(n / min(max(-(-n // parts), low), high, max(1, BLOCK_NUMBERS // max(1, dim)))))
+    # Of equal vectors only the k + 1 smallest ids can be among the k nearest.
+    b = materialise(b.withColumn("same", F.dense_rank().over(W.partitionBy("v").orderBy("b"))).where(F.col("same") <= k + 1).drop("same"), "knn-base")
+    n_q, n_b = blocks(q.count(), QUERY_BLOCKS), blocks(b.count(), BASE_BLOCKS)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c, F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    asked = q.withColumn("x", deal("q", n_q)).withColumn("y", spread(n_b)).repartition(2 * n_q * n_b, "x", "y")
+    rows = b.withColumn("y", deal("b", n_b)).withColumn("x", spread(n_q)).repartition(2 * n_q * n_b, "x", "y")
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q_ids, b_ids = left.column("q").to_numpy(), right.column("b").to_numpy()
+        if len(q_ids) and len(b_ids):
+            i, j, d = block_nearest(q_ids, _vectors(left), b_ids, _vectors(right), k)
+        return pa.table({"q": pa.array(q_ids[i], pa.int64()), "b": pa.array(b_ids[j], pa.int64()), "distance": pa.array(d, pa.float64())})
+
+    return asked.groupBy("x", "y").cogroup(rows.groupBy("x", "y")).applyInArrow(near, "q long, b long, distance double")
+
+
 def knn(query: DataFrame, base: DataFrame, query_id: str, base_id: str, vector: str, k: int = 5, block: int = 4096, opened: list | None = None) -> DataFrame:
     """The k nearest rows of ``base`` (Euclidean over array<double>) for every query: query_id, rank, neighbour_id, distance.
 
@@ -169,6 +277,10 @@ def knn(query: DataFrame, base: DataFrame, query_id: str, base_id: str, vector:
         return none
     n, rows = b.count(), _matrix(sample["v"])
     pivots = choose_pivots(rows, min(PIVOTS, max(1, math.ceil((n / CELL_ROWS) ** 0.75))))
+    if opened is None and unbounded(rows, pivots) > OPENED:
+        out = materialise(_best(all_pairs(q, b, rows.shape[1], k), k).select(F.col("q").alias("query_id"), "rank", F.col("b").alias("neighbour_id"), "distance"), "knn")
+        discard(q)
+        return out
     rings = min(RINGS, max(1, math.ceil(n / CELL_ROWS / len(pivots))))
     width = max(float(distances(rows, pivots).min(1).max()) / rings, 1e-300)
     placed = materialise(_with_cells(b, pivots, width, rings), "knn-cells")

@@ -64,3 +64,40 @@ def test_lookalike_mean_standardises(spark):
     z = lambda v: (v - x.mean(0)) / x.std(0, ddof=1)
     want = [10.0 * np.argsort(((z(x) - z(p)) ** 2).sum(1), kind="stable")[:3].mean() for p in q]
     assert got[100] == (3, pytest.approx(want[0])) and got[101][0] == 3
+
+
+@pytest.mark.parametrize("kind", ["plain", "offset", "huge", "tiny", "outlier", "alike"])
+def test_block_nearest_equals_brute_force(kind, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 64)
+    monkeypatch.setattr(neighbours, "TILE_QUERIES", 32)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 24)) * {"huge": 1e150, "tiny": 1e-25}.get(kind, 1.0)
+    if kind == "offset":
+        x = 1e9 + x * 1e-3
+    if kind == "outlier":
+        x[3] = 1e12
+    if kind == "alike":
+        x[100:300] = x[7]
+        x[300:] = x[7] * (1 + 1e-15)
+    ids = np.concatenate([rng.permutation(390), np.full(10, 389)])  # an id with many rows
+    q, b, d = neighbours.block_nearest(ids, x, ids, x, 5)
+    got = sorted(zip(ids[q].tolist(), ids[b].tolist(), d.tolist()))
+    want = []
+    for i, v in zip(ids.tolist(), x):
+        near = sorted((float(np.sqrt(((v - y) ** 2).sum())), j) for j, y in zip(ids.tolist(), x) if j != i)[:5]
+        want += [(i, j, e) for e, j in near]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("dim", [3, 48])
+def test_knn_compares_all_pairs_where_bounds_say_little(spark, dim, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", (100, 300))
+    used, all_pairs = [], neighbours.all_pairs
+    monkeypatch.setattr(neighbours, "all_pairs", lambda *a: used.append(1) or all_pairs(*a))
+    rng = np.random.default_rng(dim)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(700, dim)).tolist())]
+    rows += [(1000 + i, rows[7][1]) for i in range(30)]  # ties by id
+    df = spark.createDataFrame([*rows, (9000, None)], "id long, v array<double>")
+    asked = df.where(F.col("id") % 3 == 1)
+    got = sorted((r.query_id, r.rank, r.neighbour_id) for r in neighbours.knn(asked, df, "id", "id", "v", 5).collect())
+    assert got == brute([x for x in rows if x[0] % 3 == 1], rows, 5) and bool(used) == (dim == 48)
