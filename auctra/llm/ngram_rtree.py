@@ -15,7 +15,8 @@ fine groups (``fine_keys``): any two linked documents have one key in common. Wh
    Within a family the points are sorted and tiled (by total, then group counts) into leaf pages, pages
    into inner nodes, each with its lower and upper corners. Nodes are paired by their bounds, then the pages of surviving
    nodes, then points; only points travel to that. Pages and points of documents that are joined up already are
-   not paired. Surviving pairs of documents are verified on whole shingle sets.
+   not paired. Surviving pairs of documents are verified on whole shingle sets: at first, for each document, its likeliest ones of
+   every page that its page meets, which joins up large groups of near copies; then all pairs of what is still apart.
 
 Exact copies are merged before any of this. A set is named by 64 bits of its digest, as a shingle is by 64 bits of its words; should two sets
 meet in them, both are compared and no link is lost.
@@ -198,8 +199,11 @@ def _by_groups(members) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {g: (array(ms, "nid"), array(ms, "component"), np.array([np.frombuffer(m["point"], np.uint16) for m in ms]).reshape(len(ms), g)) for g, ms in found.items()}
 
 
-def page_pairs(a, b, pct: int) -> list[tuple[int, int]]:
-    """Pairs of two pages' members (or of one page's, if b is None), of different components, whose points allow a link."""
+def page_pairs(a, b, pct: int, best: bool = False) -> list[tuple[int, int]]:
+    """Pairs of two pages' members (or of one page's, if b is None), of different components, whose points allow a link.
+
+    ``best``: for each member only its likeliest pairs, one for each number of groups.
+    """
     pages_a = _by_groups(a)
     pages_b = pages_a if b is None else _by_groups(b)
     found = []
@@ -209,21 +213,27 @@ def page_pairs(a, b, pct: int) -> list[tuple[int, int]]:
                 continue  # linked sets are less than one power of two apart
             n = min(ga, gb)
             pa, pb = folded(points_a, n), folded(points_b, n)
-            possible = overlaps(pa, pb) >= _needed(pa.sum(1)[:, None] + pb.sum(1)[None, :], pct)
+            over, total = overlaps(pa, pb), pa.sum(1)[:, None] + pb.sum(1)[None, :]
+            possible = over >= _needed(total, pct)
             possible &= comps_a[:, None] != comps_b[None, :]
             if b is None and ga == gb:
                 possible &= np.arange(len(ids_a))[:, None] < np.arange(len(ids_b))[None, :]
+            if best:
+                share, likeliest = np.where(possible, over / total, -1), np.zeros(possible.shape, bool)
+                likeliest[np.arange(len(ids_a)), share.argmax(1)] = True
+                likeliest[share.argmax(0), np.arange(len(ids_b))] = True
+                possible &= likeliest
             found += [(int(ids_a[i]), int(ids_b[j])) for i, j in zip(*np.nonzero(possible))]
     return found
 
 
-def _pairs(pct: int):
+def _pairs(pct: int, best: bool):
     """Over rows of members and, for a pair of pages, others."""
 
     def run(batches):
         for pdf in batches:
             others = pdf["others"] if "others" in pdf else [None] * len(pdf)
-            pairs = [x for m, o in zip(pdf["members"], others) for x in page_pairs(m, o, pct)]
+            pairs = [x for m, o in zip(pdf["members"], others) for x in page_pairs(m, o, pct, best)]
             yield pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
 
     return run
@@ -314,14 +324,14 @@ def leaf_pages(members: DataFrame, page_docs: int = PAGE_DOCS, node_pages: int =
         return materialise(members.drop("band", "tile").mapInPandas(_tile(page_docs, node_pages), _PAGES), "rtree-pages")
 
 
-def page_joins(pages: DataFrame, pct: int) -> DataFrame:
-    """Pairs (u, v) of documents within and between leaf pages that may be linked."""
+def page_joins(pages: DataFrame, pct: int, best: bool = False) -> DataFrame:
+    """Pairs (u, v) of documents within and between leaf pages that may be linked; ``best``: for each document only its likeliest ones of every page that its page meets."""
     within = pages.where("docs > 1 AND first != last").select("members")
     content = pages.select("page", "members")
     joined = tree_pairs(pages, pct).join(content, "page").select(F.col("page_b").alias("page"), F.col("members").alias("others")).join(content, "page")
     with batches_of(pages.sparkSession, "2m"):
-        inner = materialise(within.mapInPandas(_pairs(pct), "u long, v long"), "rtree-within")
-        return inner.unionByName(materialise(joined.select("members", "others").mapInPandas(_pairs(pct), "u long, v long"), "rtree-across"))
+        inner = materialise(within.mapInPandas(_pairs(pct, best), "u long, v long"), "rtree-within")
+        return inner.unionByName(materialise(joined.select("members", "others").mapInPandas(_pairs(pct, best), "u long, v long"), "rtree-across"))
 
 
 def _verified(pairs: DataFrame, full: DataFrame, n: int, pct: int) -> DataFrame:
@@ -386,11 +396,19 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     met = shared.join(open_keys, "key", "left_semi").select("nid", "hub").distinct()
     members = _component(met.select("nid").union(met.select("hub")).distinct(), joined, "nid", "component")
     members = materialise(members.join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component"), "rtree-members")
-    large = materialise(members.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") >= OWN_PAGES).select("component", F.col("component").alias("bin")), "rtree-large")
-    members = members.join(large, "component", "left").select("family", F.coalesce("bin", F.lit(-1)).alias("bin"), "nid", "component").join(full.drop("text"), "nid")
-    found = _verified(page_joins(leaf_pages(members, page_docs, node_pages), pct), full, n, pct)
-    found = _component(_component(found, joined, "u", "a"), joined, "v", "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = materialise(connected_components(found), "rtree-found")
+    # First each set meets its likeliest ones, then those whose components are still apart meet all.
+    found = None
+    for best in (True, False):
+        large = materialise(members.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") >= OWN_PAGES).select("component", F.col("component").alias("bin")), "rtree-large")
+        placed = members.join(large, "component", "left").select("family", F.coalesce("bin", F.lit(-1)).alias("bin"), "nid", "component").join(full.drop("text"), "nid")
+        linked = _verified(page_joins(leaf_pages(placed, page_docs, node_pages), pct, best), full, n, pct)
+        linked = _component(_component(linked, joined, "u", "a"), joined, "v", "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        linked = materialise(connected_components(linked), "rtree-found")
+        if best:
+            members = materialise(_component(members, linked, "component", "component"), "rtree-merged")
+            found = linked
+        else:
+            found = materialise(connected_components(found.unionByName(linked).select(F.col("node").alias("u"), F.col("component").alias("v"))), "rtree-found")
 
     nodes = materialise(_component(_component(nodes.select("nid", "least"), joined, "nid", "c"), found, "c", "component"), "rtree-ends")
     ids = materialise(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "rtree-least")

@@ -387,3 +387,15 @@ def test_pipeline_results_stay_and_nothing_else(spark):
     for table in (a, b, lines, near):
         discard(table)
     assert set(folder.iterdir()) <= before
+
+
+def test_likeliest_pairs_of_pages_grow_with_their_members():
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 2**63, 180).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 12).astype(np.uint64)])) for _ in range(70)]
+    members = [{"nid": i, "component": i, "point": ngram_rtree.point_of(s).tobytes()} for i, s in enumerate(sets)]
+    a, b = members[:40], members[40:]
+    for other, n in ((b, 70), (None, 80)):
+        every, best = ngram_rtree.page_pairs(a, other, 85), ngram_rtree.page_pairs(a, other, 85, best=True)
+        assert set(best) <= set(every) and len(best) <= n < len(every)
+        assert {x for p in best for x in p} == {x for p in every for x in p}
