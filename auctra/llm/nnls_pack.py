@@ -38,6 +38,8 @@ DEPTH = 2
 BUCKET_ROWS = 50_000
 #: Words in a worker's memory of token ids, by generation.
 CACHED_WORDS = 250_000
+#: Texts whose new words are encoded together.
+TEXTS = 256
 
 #: A Latin letter or digit, then ASCII signs but the apostrophe, up to the end.
 _ENDED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
@@ -99,14 +101,18 @@ class WordTokens:
             new[w] = new[stem] + new[marks]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        data = text.encode("utf-8", "surrogatepass")
-        # Special tokens are spelled with "<|" and count in lower case only.
-        words = (data if b"<|" in data else data.lower()).split()
-        if missing := set(words).difference(self.new):
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of several texts; the words that are new in them are encoded together."""
+        split = []
+        for text in texts:
+            data = text.encode("utf-8", "surrogatepass") if text else b""
+            # Special tokens are spelled with "<|" and count in lower case only.
+            split.append((data if b"<|" in data else data.lower()).split())
+        if missing := set().union(*split).difference(self.new):
             self._learn(missing)
-        out = b"".join(map(self.new.__getitem__, words))
+        out = [b"".join(map(self.new.__getitem__, words)) for words in split]
         if len(self.new) > CACHED_WORDS:
             self.new, self.old = {}, self.new
         return out
@@ -144,8 +150,8 @@ def _pieces_udf(path: str, window: int, unit: int, eos: int, with_ids: bool):
         tokens = _tokens(path)
         for batch in texts:
             rows = []
-            for text in batch:
-                ids = tokens.encode(text) + end
+            for ids in chain.from_iterable(tokens.encode_all(batch.iloc[at : at + TEXTS].tolist()) for at in range(0, len(batch), TEXTS)):
+                ids += end
                 own = []
                 for start, length in cuts(len(ids) // 4, window, unit):
                     part = ids[4 * start : 4 * (start + length)]

@@ -108,3 +108,12 @@ def test_packing_round_trip(spark):
         assert [r.offset for r in parts] == [sum(q.length for q in parts[:k]) for k in range(len(parts))] and sum(r.length for r in parts) <= 2048
     assert len(seq) <= 1.01 * sum(r.length for r in rows) / 2048 + 1
     assert gga.pack(df.limit(0), PATH).count() == 0
+
+
+def test_new_words_of_several_texts_are_encoded_together(monkeypatch):
+    tokens, tok, calls = gga._pieces_udf.__globals__["WordTokens"](PATH), Tokenizer.from_file(PATH), []
+    learn = tokens._learn
+    monkeypatch.setattr(tokens, "_learn", lambda words: calls.append(1) or learn(words))
+    texts = ["One two, three.", None, "", "two FOUR <|endoftext|> It's É. x., ÿ", "five " * 50]
+    assert tokens.encode_all(texts) == [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts] and len(calls) == 1
+    assert tokens.encode_all(texts) == [tokens.encode(t) for t in texts] and len(calls) == 1
