@@ -47,6 +47,8 @@ from auctra.tables import discard
 GROUPS, FILL = 64, 8
 #: A leaf page holds up to so many documents and, but for one long document, shingles; a node so many pages.
 PAGE_DOCS, PAGE_SHINGLES, NODE_PAGES = 512, 1 << 19, 16
+#: Slices in which keys are brought together, one after the other.
+KEY_SLICES = 4
 #: Documents of one component from which they get pages of their own.
 OWN_PAGES = 256
 
@@ -360,12 +362,15 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     nid = F.when(F.col("n_shingles") > 0, F.xxhash64("digest")).alias("nid")
     rows = materialise(featured.select("doc_id", "doc_key", "text_key", "n_shingles", "digest", "point", nid), "rtree-rows")
 
-    # Keys with two sets or more: every set but the smallest meets that one, the hub.
-    keys = featured.select(nid, F.explode("keys").alias("key"))
-    hubs = materialise(keys.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"), "rtree-hubs")
-    shared = materialise(keys.join(hubs, "key").where("nid != hub").select("key", "nid", "hub"), "rtree-shared")
+    # Keys with two sets or more: every set but the smallest meets that one, the hub. A slice of the keys at a time, as they are many bytes to shuffle.
+    shared = None
+    for at in range(KEY_SLICES):
+        keys = featured.select(nid, F.explode(F.filter("keys", lambda k: F.pmod(k, F.lit(KEY_SLICES)) == at)).alias("key"))  # noqa: B023
+        hubs = materialise(keys.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"), "rtree-hubs")
+        part = materialise(keys.join(hubs, "key").where("nid != hub").select("key", "nid", "hub"), "rtree-shared")
+        discard(hubs)
+        shared = part if shared is None else shared.unionByName(part)
     discard(featured)
-    discard(hubs)
     stars = materialise(shared.select("nid", "hub").distinct(), "rtree-stars")
 
     # Exact copies: one text for each distinct set that shares a key.
@@ -375,7 +380,7 @@ def near_components(docs: DataFrame, n: int = 5, pct: int = 80, page_docs: int =
     nodes = materialise(nodes.select("digest", "nid", "least", "r.*", "size", "point"), "rtree-nodes")
     met = materialise(stars.select("nid").union(stars.select("hub")).distinct(), "rtree-met")
     wanted = materialise(nodes.join(met, "nid").select("doc_key", "text_key", "digest", "nid", "size", "point"), "rtree-wanted")
-    full = materialise(texts.join(wanted, ["doc_key", "text_key"]).select("digest", "nid", "size", "point", "text").dropDuplicates(["digest"]).drop("digest"), "rtree-texts")
+    full = materialise(texts.join(wanted, ["doc_key", "text_key"]).dropDuplicates(["doc_key", "text_key", "digest"]).select("nid", "size", "point", "text"), "rtree-texts")
 
     # Every set against the hubs of its keys.
     points = lambda i, p, size: full.select(F.col("nid").alias(i), F.col("point").alias(p), F.col("size").alias(size))

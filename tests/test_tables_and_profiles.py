@@ -83,3 +83,20 @@ def test_declared_schemas_reject_and_report(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.csv").write_text("lot_id,area_m2\n" + "".join(f"{i},{rng.random()}\n" for i in range(5000)))
     assert files.read_declared(spark, str(tmp_path / "c"), files.LOTS)[0].count() == 5000
+
+
+def test_shuffle_files_go_with_the_table_that_is_written(spark):
+    import time
+    from pathlib import Path
+
+    from auctra.tables import materialise
+
+    folders = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    table = materialise(spark.range(10_000).repartition(3, "id").groupBy("id").count(), "swept")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert table.count() == 10_000
