@@ -139,3 +139,25 @@ def test_payback_in_reach_equals_the_pairs_without_joining_them(spark):
     want = _rows(L.payback_by_use(lots, rents).select(columns))
     assert len(want) > 60 and _rows(L.payback_in_reach(lots, past, 1000).select(columns)) == want
     assert "asin" not in core.queries()["payback_by_use"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_clusters_equal_components_of_all_pairs_by_few_links(spark):
+    from pyspark.sql import functions as F
+
+    from auctra.operators import components
+    from auctra.plans import queries as core
+
+    rng = random.Random(4)
+    rows = [(i, 55 + rng.randrange(60) * 0.002 + rng.random() * 0.001, 37 + rng.random() * 0.08) for i in range(400)] + [(i, 56.0, 37.0) for i in range(500, 700)] + [(900, 10.0, 179.9999), (901, 10.0, -179.9999), (902, -70.0, 3.0), (903, None, 3.0), (17, 57.0, 37.0), (904, 57.001, 37.0), (17, 58.0, 37.0), (905, 59.0, 37.0), (905, 59.0, 37.0)]
+    df = spark.createDataFrame(rows, "k long, lat double, lon double")
+    pairs = spatial.radius_join(df, spatial._mirror(df), 300).where("k < r_k").select(F.col("k").alias("u"), F.col("r_k").alias("v"))
+    want = sorted(map(tuple, components.connected_components(pairs).collect()))
+    assert len({c for _, c in want}) > 5 and sorted(map(tuple, spatial.clusters(df, "k", 300).collect())) == want
+    seen, whole = [], spatial.connected_components
+    spatial.connected_components = lambda e: seen.append(e.count()) or whole(e)
+    try:
+        core.queries()["location_clusters"](spark, "/root/testdata/sf0.01").count()
+        spatial.clusters(df.where("k BETWEEN 500 AND 699"), "k", 300)
+    finally:
+        spatial.connected_components = whole
+    assert len(seen) == 2 and seen[1] == 0  # 200 rows at one place: no link, 19900 pairs
