@@ -5,6 +5,9 @@ distances around it; a cell keeps the least and largest distance of its rows to
 bound the distance of a query to all rows of a cell. A query first meets its closest cells until they hold k rows, and then only
 cells whose bound is not beyond its k-th distance so far. Cells, at most ``PIVOTS * RINGS``, are the only table that goes to every task.
 
+Vectors of few components (``FLAT`` at most) need no pivots: medians of a sample cut space into boxes of some ``BOX_ROWS`` rows, a query meets its own box
+and then those that its k-th distance reaches into.
+
 Where bounds say little (in the sample those of single rows leave more than ``OPENED`` of it) all pairs are compared: blocks of queries meet blocks
 of base rows, a matrix product gives squared distances with a bound of their rounding, and what may be among the k nearest is computed exactly.
 """
@@ -31,6 +34,8 @@ SLACK = 1e-9
 PROBES, OPENED = 256, 0.25
 #: Least and most rows of a block (fewer, if it would have more than ``BLOCK_NUMBERS`` numbers), blocks of queries and of base rows below that; queries and base rows of one product.
 BLOCK_ROWS, BLOCK_NUMBERS, QUERY_BLOCKS, BASE_BLOCKS, TILE_QUERIES, TILE_ROWS = (2048, 65_536), 1 << 22, 16, 3, 256, 2048
+#: Most components of vectors that are dealt into boxes; most boxes, rows and queries of one, rows of the sample that cuts them.
+FLAT, BOXES, BOX_ROWS, BOX_QUERIES, BOX_SAMPLE = 6, 4096, 2048, 16_384, 65_536
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,6 +266,136 @@ def all_pairs(q: DataFrame, b: DataFrame, dim: int, k: int) -> DataFrame:
     return asked.groupBy("x", "y").cogroup(rows.groupBy("x", "y")).applyInArrow(near, "q long, b long, distance double")
 
 
+class Boxes:
+    """Halves of a sample by the widest component, down to ``n`` boxes."""
+
+    def __init__(self, rows: np.ndarray, n: int):
+        self.cuts: list[tuple[int, float, int, int]] = []
+        self.count = 0
+        self.root = self._cut(rows, n)
+
+    def _cut(self, rows: np.ndarray, n: int) -> int:
+        """Number of a cut, or of a box as -1 less it."""
+        spans = rows.max(0) / 2 - rows.min(0) / 2 if len(rows) else np.zeros(1)
+        axis = int(spans.argmax())
+        if n > 1 and spans[axis] > 0:
+            # The median, or the least value beyond the smallest one, so that both halves hold rows.
+            at = max(float(np.median(rows[:, axis])), float(rows[rows[:, axis] > rows[:, axis].min(), axis].min()))
+            low = rows[:, axis] < at
+            if low.any() and not low.all():
+                k = len(self.cuts)
+                self.cuts.append((axis, at, 0, 0))
+                self.cuts[k] = (axis, at, self._cut(rows[low], n // 2), self._cut(rows[~low], n - n // 2))
+                return k
+        self.count += 1
+        return -self.count
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        out, left = np.zeros(len(rows), np.int64), [(self.root, np.arange(len(rows)))]
+        while left:
+            node, own = left.pop()
+            if node < 0:
+                out[own] = -1 - node
+            elif len(own):
+                axis, at, low, high = self.cuts[node]
+                below = rows[own, axis] < at
+                left += [(low, own[below]), (high, own[~below])]
+        return out
+
+
+def _k_nearest(q_ids: np.ndarray, q: np.ndarray, b_ids: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, base row, distance) of the k nearest by exact distances, ties to the smaller id; for vectors of few components."""
+    by = np.argsort(b_ids, kind="stable")
+    columns, found, step = [np.ascontiguousarray(b[by, c]) for c in range(b.shape[1])], [], max(1, (1 << 17) // max(1, len(b)))
+    for lo in range(0, len(q), step):
+        part = q[lo : lo + step]
+        s = np.zeros((len(part), len(b)))
+        for c, y in enumerate(columns):
+            gap = y - part[:, c, None]
+            gap *= gap
+            s += gap
+        s[q_ids[lo : lo + step, None] == b_ids[by]] = np.inf
+        kth = np.partition(s, k - 1, 1)[:, k - 1 : k] if k < len(b) else np.full((len(part), 1), np.inf)
+        i, j = np.divmod(np.flatnonzero(s <= kth * (1 + SLACK)), len(b))
+        d = np.sqrt(s[i, j])
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(d)
+        found.append((i[first] + lo, by[j[first]], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _met(asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(q, b, distance): the k nearest rows (b, v) of a box for each of its queries (q, v); a box with many queries has several parts."""
+    parts = F.broadcast(materialise(asked.groupBy("box").agg(F.ceil(F.count("*") / BOX_QUERIES).cast("int").alias("parts")), "knn-parts"))  # a row a box
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = asked.join(parts, "box").select("box", F.pmod(F.xxhash64("q", "v"), F.col("parts")).cast("int").alias("part"), "q", "v").repartition(n, "box", "part")
+    right = placed.join(parts, "box").select("box", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b", "v").repartition(n, "box", "part")
+
+    def near(x: pa.Table, y: pa.Table) -> pa.Table:
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q_ids, b_ids = x.column("q").to_numpy(), y.column("b").to_numpy()
+        if len(q_ids) and len(b_ids):
+            i, j, d = _k_nearest(q_ids, _vectors(x), b_ids, _vectors(y), k)
+        return pa.table({"q": pa.array(q_ids[i], pa.int64()), "b": pa.array(b_ids[j], pa.int64()), "distance": pa.array(d, pa.float64())})
+
+    keys = ["box", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "q long, b long, distance double")
+
+
+def by_boxes(q: DataFrame, b: DataFrame, dim: int, k: int) -> DataFrame:
+    """The k nearest base rows (b, v) for each query (q, v), of boxes that may hold one; ``q`` is a written table."""
+    # Of equal vectors only the k + 1 smallest ids can be among the k nearest.
+    b = materialise(b.withColumn("same", F.row_number().over(W.partitionBy("v").orderBy("b"))).where(F.col("same") <= k + 1).drop("same"), "knn-base")
+    n = b.count()
+    boxes = Boxes(_matrix(b.orderBy(F.xxhash64("b"), "b").limit(BOX_SAMPLE).toPandas()["v"]), min(BOXES, math.ceil(n / BOX_ROWS)))
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(box=boxes.of(_matrix(pdf["v"])))
+
+    placed = materialise(b.mapInPandas(place, "b long, v array<double>, box long"), "knn-placed")
+    discard(b)
+    own = materialise(q.mapInPandas(place, "q long, v array<double>, box long"), "knn-own")
+    corners = placed.groupBy("box").agg(F.count("*").alias("n"), *[f(F.col("v")[c]).alias(f"{x}{c}") for x, f in (("lo", F.min), ("hi", F.max)) for c in range(dim)]).orderBy("box").toPandas()  # BOXES rows at most
+    ids, sizes = corners["box"].to_numpy(np.int64), corners["n"].to_numpy(np.int64)
+    lo, hi = (corners[[f"{x}{c}" for c in range(dim)]].to_numpy(float) for x in ("lo", "hi"))
+
+    first = materialise(_met(own, placed, k), "knn-first")
+    # Null: the own box holds fewer than k.
+    limits = first.groupBy("q").agg(F.when(F.count("*") >= k, F.max("distance")).alias("reach"))
+
+    def openings(batches):
+        for pdf in batches:
+            v, home, reach = (_matrix(pdf["v"]) if len(pdf) else np.zeros((0, dim))), pdf["box"].to_numpy(), pdf["reach"].to_numpy(float)
+            for at in range(0, len(pdf), 256):
+                x, limit = v[at : at + 256], reach[at : at + 256].copy()
+                least, most = np.zeros((len(x), len(ids))), np.zeros((len(x), len(ids)))
+                short = np.isnan(limit)
+                for c in range(dim):
+                    y = x[:, c, None]
+                    least += np.maximum(np.maximum(lo[:, c] - y, y - hi[:, c]), 0.0) ** 2
+                    if short.any():
+                        most += np.maximum(np.abs(y - lo[:, c]), np.abs(hi[:, c] - y)) ** 2
+                if short.any():  # within the farthest corners of the nearest boxes that hold enough
+                    by = np.argsort(most[short], 1, kind="stable")
+                    enough = np.cumsum(sizes[by], 1) > k
+                    far = np.sqrt(np.take_along_axis(most[short], by, 1))
+                    limit[short] = np.where(enough.any(1), far[np.arange(len(by)), enough.argmax(1)], np.inf)
+                i, j = np.nonzero(np.sqrt(least) * (1 - SLACK) <= limit[:, None] * (1 + SLACK))
+                other = ids[j] != home[at : at + 256][i]
+                i, j = i[other] + at, j[other]
+                yield pd.DataFrame({"q": pdf["q"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "box": ids[j]})
+
+    asked = own.join(limits, "q", "left").select("q", "v", "box", "reach")
+    rest = materialise(asked.mapInPandas(openings, "q long, v array<double>, box long"), "knn-rest")
+    found = materialise(first.unionByName(_met(rest, placed, k)), "knn-found")
+    for table in (placed, own, first, rest):
+        discard(table)
+    return found
+
+
 def knn(query: DataFrame, base: DataFrame, query_id: str, base_id: str, vector: str, k: int = 5, block: int = 4096, opened: list | None = None) -> DataFrame:
     """The k nearest rows of ``base`` (Euclidean over array<double>) for every query: query_id, rank, neighbour_id, distance.
 
@@ -275,7 +410,12 @@ def knn(query: DataFrame, base: DataFrame, query_id: str, base_id: str, vector:
     none = spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance double")
     if not len(sample):
         return none
-    n, rows = b.count(), _matrix(sample["v"])
+    rows = _matrix(sample["v"])
+    if opened is None and 0 < rows.shape[1] <= FLAT and not b.where(F.size("v") != rows.shape[1]).limit(1).count():
+        out = materialise(_best(by_boxes(q, b, rows.shape[1], k), k).select(F.col("q").alias("query_id"), "rank", F.col("b").alias("neighbour_id"), "distance"), "knn")
+        discard(q)
+        return out
+    n = b.count()
     pivots = choose_pivots(rows, min(PIVOTS, max(1, math.ceil((n / CELL_ROWS) ** 0.75))))
     if opened is None and unbounded(rows, pivots) > OPENED:
         out = materialise(_best(all_pairs(q, b, rows.shape[1], k), k).select(F.col("q").alias("query_id"), "rank", F.col("b").alias("neighbour_id"), "distance"), "knn")

@@ -70,3 +70,25 @@ def test_preexisting_equals_brute_force(spark):
     }
     got = [(r.lot_id, r.org_id) for r in matching.preexisting(c, s).collect()]
     assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(cand)
+
+
+def test_flat_vectors_are_dealt_into_boxes(spark, monkeypatch):
+    import random
+
+    from auctra.operators import neighbours
+
+    rng = random.Random(8)
+    monkeypatch.setattr(neighbours, "BOX_ROWS", 16)
+    monkeypatch.setattr(neighbours, "BOX_QUERIES", 10)
+    monkeypatch.setattr(neighbours, "_summary", None)  # pivots, as before
+    base = [(i, [float(rng.randrange(12)), rng.random(), -3.0]) for i in range(300)] + [(i, [5.0, 0.5, -3.0]) for i in range(300, 340)] + [(400, [1e200, 0.0, 0.0]), (401, [9e9, 1.0, 1.0]), (402, None)]
+    ask = [r for r in base if r[0] % 3 == 0] + [(500, [60.0, 0.1, 7.0]), (501, [5.0, 0.5, -3.0])]
+    import math
+
+    def nearest(i, v):
+        d = sorted((math.sqrt(s), b) for b, y in base if y and b != i for s in [sum((p - o) * (p - o) for p, o in zip(y, v))] if s < math.inf)
+        return [(i, r, b) for r, (_, b) in enumerate(d[:5], 1)]
+
+    schema = "id long, v array<double>"
+    found = neighbours.knn(spark.createDataFrame(ask, schema), spark.createDataFrame(base, schema), "id", "id", "v")
+    assert sorted((r.query_id, r.rank, r.neighbour_id) for r in found.collect()) == sorted(x for i, v in ask if v for x in nearest(i, v))
